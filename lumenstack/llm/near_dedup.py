@@ -7,15 +7,20 @@ Registers merge by maximum; two sets' registers agree about as often as the sets
 Bands of ROWS registers give bucket keys. At similarity 0.8 a pair shares no band with
 probability (1 - 0.8**5)**40, about 1e-7.
 
-1. Every member of a bucket is paired with the bucket's smallest member; the pair with the
-   best joint likelihood estimate of each member is verified on full sets, and verified
-   links are connected.
-2. Members of a bucket that are still in different components are paired, leaving out
-   pairs within the bucket's largest component; all such pairs whose estimate is not
-   far too low are verified, and connected with the rest.
+1. Every member of a bucket is paired with the bucket's smallest member, its hub; of the hubs that the
+   joint likelihood estimate finds near, each member is compared in full with the one that most
+   members are near to, and links are connected.
+2. Members of a bucket that are still in different components are candidates. Two members with
+   the same verified-against hub can only share shingles of the hub, or shingles that both have
+   beyond it. So either the smaller of their numbers of shingles that are the hub's, or that over COMMON of its
+   members have beyond it, is large enough for a link already, or they share a rarer shingle beyond the hub, on which they are joined: near copies
+   of one text, each edited elsewhere, are not paired with each other. Other members of a bucket are paired
+   one by one, leaving out pairs within the bucket's largest component, and those that shingles
+   which no other open class holds rule out. All these bounds are exact. What they
+   leave is verified, but for pairs whose estimate is far too low, and connected with the rest.
 
 No link between classes that share a band is lost: its ends are either connected by step 1 or paired in
-step 2. Pairs within a group of copies never multiply.
+step 2. Pairs within a component never multiply.
 
 Null and empty texts have no shingles, and are components of their own. Texts with fewer
 than k words have one shingle, the whole sequence. Repeated rows belong to the same
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .components import components
-from .words import ROLL_2, SPACED_LOWER, U, mix, words
+from .words import ROLL_2, SPACED_LOWER, U, lists, mix, words
 
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
@@ -41,6 +46,8 @@ B, RATE, TOP = 1.001, 20.0, 65535
 #: An estimate this far below the threshold is over six standard deviations off.
 SLACK = 0.2
 BLOCK = 512
+#: How many members of a hub may share a shingle beyond it for the shingle to be joined on.
+COMMON = 16
 
 _rng = np.random.default_rng(20240229)
 _FACTOR = _rng.integers(1, 1 << 63, M, np.int64).astype(U) * U(2) + U(1)
@@ -137,16 +144,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def _sets(k):
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
+            sets = shingle_sets(batch.column(1), k)
+            items = lists(np.concatenate([*sets, np.zeros(0, U)]).view(np.int64), np.array([len(x) for x in sets], np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), items], ["node", "items"])
 
     return run
 
 
-def _binary(column, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
-
-
 def _estimates(batches):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, M) for i in (2, 4))
@@ -158,7 +162,8 @@ def _confirm(percent):
     def run(batches):
         for batch in batches:
             good = []
-            for a, b in zip(_binary(batch.column(2), U), _binary(batch.column(3), U), strict=True):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * same >= percent * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -166,6 +171,20 @@ def _confirm(percent):
     return run
 
 
+def _compare(batches):
+    """Of pairs of a node with a hub: the size of the intersection, and the node's items beyond the hub."""
+    for batch in batches:
+        same, extra = [], []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            both = np.intersect1d(a, b, assume_unique=True)
+            same.append(len(both))
+            extra.append(np.setdiff1d(a, both, assume_unique=True))
+        more = lists(np.concatenate([*extra, np.zeros(0, np.int64)]), np.array([len(x) for x in extra], np.int64), pa.int64())
+        sizes = (pa.array(batch.column(i).value_lengths(), pa.int64()) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64()), *sizes, more], ["node", "hub", "same", "size", "hub_size", "extra"])
+
+
 def _rated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """pairs (u, v) with their estimate, without those whose sizes or estimate rule a link out."""
     a = reps.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
@@ -174,15 +193,44 @@ def _rated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(_estimates, "u long, v long, estimate double").where(F.col("estimate") >= percent / 100 - SLACK)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets meet the threshold, each set computed once."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = work.cut(texts.mapInArrow(_sets(k), "node long, items binary"), f"{name}-sets")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("node").alias("u"), F.col("items").alias("ia"))
     b = sets.select(F.col("node").alias("v"), F.col("items").alias("ib"))
-    both = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ia", "ib")
-    return work.cut(both.mapInArrow(_confirm(percent), "u long, v long"), f"{name}-links")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ia", "ib")
+
+
+def _same_hub(near: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that were compared with the same hub and may be linked.
+
+    near has (node, hub, same, size, extra), with a row for each hub itself.
+    """
+    beyond = near.select("hub", "node", F.explode("extra").alias("item"))
+    counts = beyond.groupBy("hub", "item").agg(F.count("*").alias("n")).where("n > 1")
+    listed = beyond.join(counts, ["hub", "item"])
+    often = listed.where(f"n > {COMMON}").groupBy("hub", "node").agg(F.count("*").alias("often"))
+    parts = near.drop("extra").join(often, ["hub", "node"], "left").join(found, "node", "left")
+    own = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
+    parts = parts.join(own, "hub", "left").select(
+        "hub", "node", "size", F.coalesce("component", "node").alias("part"),
+        (F.col("same") + F.coalesce("often", F.lit(0))).alias("reach"),
+        (F.coalesce("component", "node") != F.coalesce("hub_part", "hub")).alias("outside"),
+    )
+    a = parts.where("outside").select("hub", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("reach").alias("cu"), F.col("size").alias("su"))
+    b = parts.select("hub", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("reach").alias("cv"), F.col("size").alias("sv"), "outside")
+    apart = "pu <> pv and (not outside or pu < pv)"
+    covered = a.join(b, "hub").where(f"{apart} and 100 * least(cu, cv) >= {percent} * (su + sv - least(cu, cv))").select("u", "v")
+    rare = listed.where(f"n <= {COMMON}").select("hub", "node", "item")
+    left = rare.join(a.select("hub", F.col("u").alias("node"), "pu"), ["hub", "node"]).withColumnRenamed("node", "u")
+    right = rare.join(b.select("hub", F.col("v").alias("node"), "pv", "outside"), ["hub", "node"]).withColumnRenamed("node", "v")
+    shared = left.join(right, ["hub", "item"]).where(apart).select("u", "v")
+    return covered.union(shared)
+
+
+def _shared_sizes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, common): set sizes, and how many of a set's shingles another of the nodes holds too."""
+    held = sets.join(nodes, "node", "left_semi")
+    alone = held.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    return held.select("node", F.size("items").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -198,24 +246,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     members = work.cut(keyed.join(hubs, "key"), "members")
 
-    first = _rated(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), reps, percent)
-    best = first.groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
-    links = _verified(work.cut(best, "best"), docs, work, "first", k, percent)
-    found = work.cut(components(links, work, "c1"), "components-1")
+    wanted = members.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = work.cut(texts.mapInArrow(_sets(k), "node long, items array<long>"), "sets")
 
-    parts = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    parts = work.cut(parts, "parts")
+    first = _rated(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), reps, percent)
+    # The hub that most members are near to: so few pairs as possible have different hubs.
+    rated = work.cut(first, "rated")
+    weight = rated.groupBy("v").agg(F.count("*").alias("n"))
+    best = rated.join(weight, "v").groupBy("u").agg(F.max(F.struct("n", "estimate", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+    compared = _with_sets(best, sets).mapInArrow(_compare, "node long, hub long, same long, size long, hub_size long, extra array<long>")
+    near = work.cut(compared, "near")
+    links = near.where(f"100 * same >= {percent} * (size + hub_size - same)").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    found = work.cut(components(links, work, "c1"), "components")
+
+    parts = work.cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "parts")
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.part").alias("main"))
     mixed = work.cut(parts.join(main, "key"), "mixed")
-    minor = mixed.where("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("pu"))
-    other = mixed.select("key", F.col("node").alias("v"), F.col("part").alias("pv"), "main")
+    shared = work.cut(_shared_sizes(sets, mixed.select("node").distinct()), "shared")
+    # A set keeps at most `common` shingles in any intersection; below the threshold on its own, it has no link.
+    hubs = near.select("node", F.col("hub").alias("near_hub"))
+    open_ = work.cut(mixed.join(shared, "node").where(f"100 * common >= {percent} * size").join(hubs, "node", "left"), "open")
+    minor = open_.where("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("size").alias("su"), F.col("common").alias("cu"), F.coalesce("near_hub", "node").alias("hu"))
+    other = open_.select("key", F.col("node").alias("v"), F.col("part").alias("pv"), "main", F.col("size").alias("sv"), F.col("common").alias("cv"), F.coalesce("near_hub", "node").alias("hv"))
     # Two minor parts meet once, from the smaller; a minor part and the main one meet once.
-    cross = minor.join(other, "key").where("pu <> pv and (pv = main or pu < pv)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    second = work.cut(_rated(cross, reps, percent), "second")
-    more = _verified(second, docs, work, "more", k, percent)
-    work.drop("members", "parts", "mixed")
+    possible = f"100 * least(cu, cv) >= {percent} * (su + sv - least(cu, cv))"
+    cross = minor.join(other, "key").where(f"pu <> pv and (pv = main or pu < pv) and hu <> hv and {possible}").select("u", "v")
+    itself = near.select(F.col("hub").alias("node"), "hub", F.col("hub_size").alias("same"), F.col("hub_size").alias("size"), F.array().cast("array<long>").alias("extra")).dropDuplicates(["node"])
+    same_hub = _same_hub(near.select("node", "hub", "same", "size", "extra").unionByName(itself), found, percent)
+    pairs = cross.union(same_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    more = work.cut(_with_sets(_rated(work.cut(pairs, "pairs"), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
     final = components(links.union(more), work, "c2")
+    work.drop("members", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
 
     label = classes.join(final, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     joined = all_.select("doc_id", "n_shingles", "c1", "c2").join(label, ["c1", "c2"], "left")

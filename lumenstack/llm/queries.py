@@ -70,3 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_classifier, op2_near_dedup, op3_license_scan, op4_html_extraction, op5_mixing, op6_language_id, op7_substring_dedup, op8_quality_rules, op9_chat_format, op10_decontamination)
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -139,6 +139,8 @@ class Parsed:
 
         exploded = known.select("doc_id", "c1", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", "c1", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
         twice = exploded.groupBy("seed").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low < high").select("seed")
+        # Written first: a join of two plain exchanges is one whose hot seeds Spark can split.
+        twice = work.cut(twice, "twice")
         places = exploded.select("seed", "doc_id", "place").join(twice, "seed").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
         places = work.cut(places.join(classes, places.doc_id == classes.source, "left_semi"), "places")
 
@@ -146,10 +148,11 @@ class Parsed:
         found = work.cut(with_places.mapInArrow(_windows(window), "doc_id long, w1 array<long>, w2 array<long>, place array<int>"), "windows")
         rows = found.select("doc_id", F.explode(F.arrays_zip("w1", "w2", "place")).alias("x")).select("doc_id", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), F.col("x.place").alias("place"))
         origin = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("w1", "w2", "source")
+        origin = work.cut(origin, "origin")
         hits = rows.join(origin, ["w1", "w2"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("place", "source")).alias("x"))
         spans = hits.select("doc_id", F.col("x.place").alias("places"), F.col("x.source").alias("sources")).mapInArrow(_spans(window), f"doc_id long, factors {SPAN}")
         self.factors = work.cut(spans, "factors")
-        work.drop("windows", "places")
+        work.drop("windows", "places", "twice", "origin")
         self.texts, self.window = docs, window
 
 

@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     piece = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keyed = reps.select("node", F.explode(piece).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    members = work.cut(keyed.join(hubs, "key"), "members")
+    # Written first: a join of two plain exchanges is one whose hot buckets Spark can split.
+    members = work.cut(keyed.join(work.cut(hubs, "hubs"), "key"), "members")
 
     wanted = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = work.cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "parts")
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.part").alias("main"))
-    mixed = work.cut(parts.join(main, "key"), "mixed")
+    mixed = work.cut(parts.join(work.cut(main, "main"), "key"), "mixed")
     shared = work.cut(_shared_sizes(sets, mixed.select("node").distinct()), "shared")
     # A set keeps at most `common` shingles in any intersection; below the threshold on its own, it has no link.
     hubs = near.select("node", F.col("hub").alias("near_hub"))
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = cross.union(same_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = work.cut(_with_sets(_rated(work.cut(pairs, "pairs"), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
     final = components(links.union(more), work, "c2")
-    work.drop("members", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
+    work.drop("members", "hubs", "main", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
 
     label = classes.join(final, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     joined = all_.select("doc_id", "n_shingles", "c1", "c2").join(label, ["c1", "c2"], "left")

@@ -141,7 +141,7 @@ def costs(b: Block, has_main: bool) -> tuple[float, float]:
         return 0.0, STRONG + STRONG * b.bad
     length = log1p(len(b.text) / 20)
     keep = STRONG * min(b.good, 2) + length * (1 - b.linked)
-    drop = 2 * STRONG * b.bad + 4.0 * b.linked + (1.0 if not b.good else 0.0)
+    drop = 2 * STRONG * b.bad + 4.0 * b.linked + (0.3 if not b.good else 0.0)
     return keep, drop
 
 

@@ -220,9 +220,11 @@ def _same_hub(near: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     apart = "pu <> pv and (not outside or pu < pv)"
     covered = a.join(b, "hub").where(f"{apart} and 100 * least(cu, cv) >= {percent} * (su + sv - least(cu, cv))").select("u", "v")
     rare = listed.where(f"n <= {COMMON}").select("hub", "node", "item")
-    left = rare.join(a.select("hub", F.col("u").alias("node"), "pu"), ["hub", "node"]).withColumnRenamed("node", "u")
-    right = rare.join(b.select("hub", F.col("v").alias("node"), "pv", "outside"), ["hub", "node"]).withColumnRenamed("node", "v")
-    shared = left.join(right, ["hub", "item"]).where(apart).select("u", "v")
+    left = rare.join(a.withColumnRenamed("u", "node"), ["hub", "node"]).withColumnRenamed("node", "u")
+    right = rare.join(b.withColumnRenamed("v", "node"), ["hub", "node"]).withColumnRenamed("node", "v")
+    # An intersection has no more than the hub's part and the rarer shingles that both have.
+    most = left.join(right, ["hub", "item"]).where(apart).groupBy("hub", "u", "v").agg((F.count("*") + F.min(F.least("cu", "cv"))).alias("most"), F.min(F.col("su") + F.col("sv")).alias("sizes"))
+    shared = most.where(f"100 * most >= {percent} * (sizes - most)").select("u", "v")
     return covered.union(shared)
 
 

@@ -43,11 +43,11 @@ BANDS, ROWS = 40, 5
 M = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value.
 B, RATE, TOP = 1.001, 20.0, 65535
-#: An estimate this far below the threshold is over six standard deviations off.
-SLACK = 0.2
+#: An estimate this far below the threshold is over five standard deviations off.
+SLACK = 0.15
 BLOCK = 512
 #: How many members of a hub may share a shingle beyond it for the shingle to be joined on.
-COMMON = 16
+COMMON = 64
 
 _rng = np.random.default_rng(20240229)
 _FACTOR = _rng.integers(1, 1 << 63, M, np.int64).astype(U) * U(2) + U(1)

@@ -73,4 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB's SQL where it can express a query. Trained models, markup and hash sampling have tests instead."""
+    from . import oracle
+
+    return {"op3_license_scan": oracle.licenses(), "op7_substring_dedup": oracle.SUBSTRING, "op9_chat_format": oracle.CHAT, "op10_decontamination": oracle.LEAKS}

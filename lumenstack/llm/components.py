@@ -1,4 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components: of any edge table by alternating large-star and small-star steps, of a
+forest of links to smaller nodes by pointer jumping."""
 
 from __future__ import annotations
 
@@ -37,3 +38,24 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         work.drop(f"{name}-{k - 1}")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select("v", "v")).distinct()
+
+
+def roots(links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(node, component) for each node of links (u, v), where each u has one row and v < u: component is the
+    node at the end of its chain, the least of its tree. Each step halves the chains that are left.
+
+    Both sides of a step's join are written tables, so that Spark can split a v that many nodes have.
+    """
+    now, k = work.cut(links.select("u", "v"), f"{name}-0"), 0
+    while True:
+        k += 1
+        up = now.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        # A chain of one link has its end already.
+        step = now.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved"))
+        step = work.cut(step, f"{name}-{k}")
+        work.drop(f"{name}-{k - 1}")
+        now = step.select("u", "v")
+        if step.where("moved").isEmpty():
+            break
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(now.select("v", "v").distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .components import components
+from .components import components, roots
 from .words import ROLL_2, SPACED_LOWER, U, lists, mix, words
 
 BANDS, ROWS = 40, 5
@@ -256,12 +256,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = _rated(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), reps, percent)
     # The hub that most members are near to: so few pairs as possible have different hubs.
     rated = work.cut(first, "rated")
-    weight = rated.groupBy("v").agg(F.count("*").alias("n"))
+    weight = work.cut(rated.groupBy("v").agg(F.count("*").alias("n")), "weight")
     best = rated.join(weight, "v").groupBy("u").agg(F.max(F.struct("n", "estimate", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
     compared = _with_sets(best, sets).mapInArrow(_compare, "node long, hub long, same long, size long, hub_size long, extra array<long>")
     near = work.cut(compared, "near")
     links = near.where(f"100 * same >= {percent} * (size + hub_size - same)").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    found = work.cut(components(links, work, "c1"), "components")
+    # One link a node, to a smaller one.
+    found = work.cut(roots(links, work, "c1"), "components")
 
     parts = work.cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "parts")
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
@@ -280,8 +281,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     same_hub = _same_hub(near.select("node", "hub", "same", "size", "extra").unionByName(itself), found, percent)
     pairs = cross.union(same_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = work.cut(_with_sets(_rated(work.cut(pairs, "pairs"), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
-    final = components(links.union(more), work, "c2")
-    work.drop("members", "hubs", "main", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
+    # Only components that the second step's links connect are left to join.
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    bridges = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    merged = work.cut(components(bridges, work, "c2"), "merged")
+    lone = merged.join(found, "node", "left_anti")
+    moved = found.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
+    final = moved.select("node", F.coalesce("new", "component").alias("component")).union(lone)
+    work.drop("members", "weight", "hubs", "main", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
 
     label = classes.join(final, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     joined = all_.select("doc_id", "n_shingles", "c1", "c2").join(label, ["c1", "c2"], "left")

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenstack.llm import chat_format, decontamination, html_extraction, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup
+from lumenstack.llm.common import Workspace
+from lumenstack.llm.components import roots
 from lumenstack.llm.queries import queries
 from tests.conftest import MIDDLE, SMALL
 
@@ -64,6 +66,14 @@ def test_near_finds_chains_and_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 2, 80).collect()} == want
 
 
+def test_roots_of_chains_and_stars(spark):
+    chain = [(i, i - 1) for i in range(2, 40)]
+    star = [(i, 100) for i in range(101, 140)] + [(200, 120)]
+    got = {r.node: r.component for r in roots(spark.createDataFrame(chain + star, "u long, v long"), Workspace(spark, "roots"), "r").collect()}
+    assert got == {i: 1 for i in range(1, 40)} | {i: 100 for i in (*range(100, 140), 200)}
+    assert not roots(spark.createDataFrame([], "u long, v long"), Workspace(spark, "roots"), "r").collect()
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_substring(request, name):
     df = request.getfixturevalue(name)

@@ -123,6 +123,26 @@ def test_perplexity_model_is_a_distribution():
     assert list(model.keys) == sorted(model.keys)
 
 
+def test_perplexity_bands_reject_junk_on_either_side(spark):
+    """Planted junk that passes the base rules goes, labelled junk goes, labelled good documents stay."""
+    import random
+
+    rnd = random.Random(7)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang")
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    planted = {
+        -1: " | ".join(word("etaoinshr", 8) for _ in range(120)),  # above, hidden by cheap words
+        -2: " ".join(word("qxzjkwvy", 2) for _ in range(150)),  # above per symbol, short words
+        -3: " ".join(rnd.choice("th an in on er re at of ti ed".split()) for _ in range(150)),  # below
+    }
+    rows = docs.union(spark.createDataFrame([(i, t, "en") for i, t in planted.items()], docs.schema))
+    got = {r.doc_id: r for r in quality_rules.judge(rows).collect() if not r.base_failed}
+    assert set(planted) <= set(got) and not any(got[i].kept for i in planted)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    share = lambda q: sum(got[i].kept for i in got if quality.get(i) == q) / sum(quality.get(i) == q for i in got)
+    assert share(1) >= 0.99 and share(0) <= 0.05
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_licenses(request, name):
     df = request.getfixturevalue(name)

@@ -1,22 +1,24 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; it and a template are sets of words. A template is found
-where a block holds at least THRESHOLD of its words. Template words are ordered by how many blocks of
-all documents hold them, rarest first. A block that meets the threshold must hold one of the first |T| - need + 1
-words (prefix), hold at least `need` template words at all (length), and the words
-that follow the shared one in both orders must suffice (position); what is left is counted in full.
+A block is a paragraph of a text: lines up to a blank one, so that a notice may be wrapped. A template
+is a set of words. It is found where a run of a block's words, as long as the template is at the threshold
+(its words / THRESHOLD), holds at least THRESHOLD of the set. Template words are ordered by how many blocks
+of all documents hold them, rarest first. A run that meets the threshold must hold one of the first
+|T| - need + 1 words (prefix); the words around that place must hold at least `need` template words at
+all (length and position); what is left is counted in full, run by run.
 
 All of it is DataFrame functions. The templates are constants of this module, so what is
 broadcast does not grow.
 
 Null texts are empty. Rows that share a doc_id share the labels that the join adds. Repeated
-lines count once for labels; base places count each. An empty table gives an empty result.
+blocks count once for labels; base places count each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 from .common import tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = re.compile(r"[a-z0-9]+")
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 THRESHOLD = 0.8
+#: Words of the pieces that long blocks are cut into; pieces overlap by the longest run.
+PIECE = 512
 #: (label, opening words of a public license or its usual notice).
 TEMPLATES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -77,43 +82,54 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def _template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[a-z0-9]+", text.lower())))
+    return sorted(set(WORD.findall(text.lower())))
 
 
 def _literal(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line): the lines of all texts, as words."""
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return lines.select("doc_id", normal(F.col("line")).alias("line"))
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, block): the lines of all texts, as words."""
+    found = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block"))
+    return found.select("doc_id", normal(F.col("block")).alias("block"))
 
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, label, containment) for every block and template that meet the threshold."""
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, block): the lines of all texts up to a blank one, as words."""
+    found = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"\n[ \t\r\f\x0B]*\n")).alias("block"))
+    return found.select("doc_id", normal(F.col("block")).alias("block"))
+
+
+def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, blocks: Callable[[DataFrame], DataFrame] = lines) -> DataFrame:
+    """(doc_id, label, containment) for every template and the runs of blocks that meet the threshold."""
     spark = docs.sparkSession
-    sets = [(label, _template_words(t)) for label, t in templates]
-    vocabulary = sorted({w for _, t in sets for w in t})
-    lines = blocks(docs)
-    known = lines.select("doc_id", F.array_intersect(F.split("line", " "), _literal(vocabulary)).alias("words"))
-    counted = known.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    frequency = {r["word"]: r["n"] for r in counted}  # at most one row a template word
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    rows, least = [], []
-    for k, (label, t) in enumerate(sets):
+    sets = [(label, _template_words(t), math.ceil(len(WORD.findall(t.lower())) / threshold - 1e-9)) for label, t in templates]
+    vocabulary = sorted({w for _, t, _ in sets for w in t})
+    split = blocks(docs).select("doc_id", F.split("block", " ").alias("words"))
+    known = split.select(F.explode(F.array_intersect("words", _literal(vocabulary))).alias("word"))
+    frequency = {r["word"]: r["n"] for r in known.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most one row a template word
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
+    rows = []
+    for label, t, run in sets:
         t, need = sorted(t, key=rank.get), math.ceil(threshold * len(t) - 1e-9)
-        least.append(need)
-        rows += [(w, k, label, t, need, i) for i, w in enumerate(t[: len(t) - need + 1])]
-    prefix = spark.createDataFrame(rows, "word string, template int, label string, t_words array<string>, need int, t_place int")
-    held = lines.select("doc_id", F.array_intersect(_literal(order), F.split("line", " ")).alias("words")).where(F.size("words") >= min(least))
-    probes = held.select("doc_id", "words", F.posexplode("words").alias("b_place", "word"))
-    left_t, left_b = F.size("t_words") - F.col("t_place") - 1, F.size("words") - F.col("b_place") - 1
-    bound = F.least("t_place", "b_place") + 1 + F.least(left_t, left_b)
-    pairs = probes.join(F.broadcast(prefix), "word").where((F.size("words") >= F.col("need")) & (bound >= F.col("need")))
-    shared = F.size(F.array_intersect("t_words", "words"))
-    return pairs.where(shared >= F.col("need")).select("doc_id", "label", (shared / F.size("t_words")).alias("containment"))
+        rows += [(w, label, t, need, run) for w in t[: len(t) - need + 1]]
+    prefix = spark.createDataFrame(rows, "word string, label string, t_words array<string>, need int, run int")
+    rare, longest = _literal(sorted({r[0] for r in rows})), max(run for *_, run in sets)
+    held = split.where(F.arrays_overlap("words", rare))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(PIECE))
+    pieces = held.select("doc_id", "words", F.explode(starts).alias("start")).select("doc_id", F.slice("words", F.col("start"), F.lit(PIECE + longest)).alias("words")).where(F.arrays_overlap("words", rare))
+    near = lambda p: F.slice("words", F.greatest(p - longest + 1, F.lit(1)), F.least(p, F.lit(longest)) + longest - 1)
+    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda p: F.array_contains(rare, F.get("words", p - 1)))
+    around = F.transform(places, lambda p: F.struct(F.get("words", p - 1).alias("word"), F.least(p, F.lit(longest)).alias("at"), near(p).alias("near")))
+    pairs = pieces.select("doc_id", F.inline(around)).join(F.broadcast(prefix), "word")
+    first = F.greatest(F.col("at") - F.col("run") + 1, F.lit(1))
+    pairs = pairs.withColumn("near", F.slice("near", first, F.col("at") + F.col("run") - first))
+    shared = lambda words: F.size(F.array_intersect("t_words", words))
+    pairs = pairs.where(shared(F.col("near")) >= F.col("need"))
+    runs = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("run") + 1, F.lit(1)))
+    best = pairs.withColumn("best", F.array_max(F.transform(runs, lambda i: shared(F.slice("near", i, F.col("run"))))))
+    return best.where("best >= need").select("doc_id", "label", (F.col("best") / F.size("t_words")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -122,7 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
     score is 1 where a base phrase stands, else the largest containment found, else 0.
     """
     tune(docs.sparkSession)
-    added = template_matches(docs).groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "found_id")
+    added = template_matches(docs, blocks=paragraphs).groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "found_id")
     joined = base(docs).join(added, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("added", F.array().cast("array<string>"))))
     return joined.select(

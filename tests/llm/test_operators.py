@@ -164,6 +164,25 @@ def test_license_join_is_exact(spark):
     assert {(r.doc_id, r.label) for r in license_scan.template_matches(df).collect()} == want and want
 
 
+def test_wrapped_license_notices(spark):
+    """Notices as they stand in files: wrapped, behind comment marks, deep in a long text."""
+    wrapped = [
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+        ("isc", " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted"),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0"),
+        ("lgpl", "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License"),
+        ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense as published by the Free Software Foundation"),
+    ]
+    filler = " ".join(f"w{i}" for i in range(507))  # the notice lies across two pieces
+    rows = [(i, f"{filler if i % 2 else 'head'}\n{text}\n{filler}") for i, (_, text) in enumerate(wrapped)]
+    rows.append((99, "\n".join(f"{w} {filler}" for w in wrapped[1][1].split())))  # all the words, far apart
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(wrapped):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, label
+    assert (got[99].labels, got[99].score) == ("", 0.0)
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_mixing(request, name):
     df = request.getfixturevalue(name)

@@ -3,7 +3,8 @@
 A block is a paragraph of a text: lines up to a blank one, so that a notice may be wrapped. A template
 is a set of words. It is found where a run of a block's words, as long as the template is at the threshold
 (its words / THRESHOLD), holds at least THRESHOLD of the set. Template words are ordered by how many blocks
-of all documents hold them, rarest first. A run that meets the threshold must hold one of the first
+of all documents hold them, rarest first. A run must hold the words that name the template's license, and no others that name one (MARKS): what a
+short template shares with another license is often over the threshold. A run that meets it must hold one of the first
 |T| - need + 1 words (prefix); the words around that place must hold at least `need` template words at
 all (length and position); what is left is counted in full, run by run.
 
@@ -48,6 +49,25 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
 ]
+#: Templates that only differ from another in few words: a run must hold the words that tell them apart (MARKS).
+#: They are kept from TEMPLATES, from which the SQL counterpart is made: it knows no marks.
+CLOSE = [
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("bsd", "Released under the BSD License"),
+    ("mpl", "Licensed under the Mozilla Public License, Version 2.0"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+]
+#: Words that name a license. A run must hold those that its template holds, and a run that holds others is of another license.
+MARKS = "gnu lesser affero apache mit bsd mozilla cc creative nc sa nd noncommercial sharealike noderivatives noderivs commercial alike derivatives derivs unencumbered".split()
 
 
 def normal(text: Column) -> Column:
@@ -102,7 +122,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, blocks: Callable[[DataFrame], DataFrame] = lines) -> DataFrame:
-    """(doc_id, label, containment) for every template and the runs of blocks that meet the threshold."""
+    """(doc_id, label, containment) for every template and the runs of blocks that meet the threshold and hold its marks."""
     spark = docs.sparkSession
     sets = [(label, _template_words(t), math.ceil(len(WORD.findall(t.lower())) / threshold - 1e-9)) for label, t in templates]
     vocabulary = sorted({w for _, t, _ in sets for w in t})
@@ -112,9 +132,11 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     rows = []
     for label, t, run in sets:
+        own, other = [m for m in MARKS if m in t], [m for m in MARKS if m not in t]
+        terms = f" {' '.join(label.split('-')[1:])} " if "cc" in t else ""  # by, nc, sa and nd stand together
         t, need = sorted(t, key=rank.get), math.ceil(threshold * len(t) - 1e-9)
-        rows += [(w, label, t, need, run) for w in t[: len(t) - need + 1]]
-    prefix = spark.createDataFrame(rows, "word string, label string, t_words array<string>, need int, run int")
+        rows += [(w, label, t, need, run, own, other, terms) for w in t[: len(t) - need + 1]]
+    prefix = spark.createDataFrame(rows, "word string, label string, t_words array<string>, need int, run int, own array<string>, other array<string>, terms string")
     rare, longest = _literal(sorted({r[0] for r in rows})), max(run for *_, run in sets)
     held = split.where(F.arrays_overlap("words", rare))
     starts = F.sequence(F.lit(1), F.size("words"), F.lit(PIECE))
@@ -127,8 +149,12 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     pairs = pairs.withColumn("near", F.slice("near", first, F.col("at") + F.col("run") - first))
     shared = lambda words: F.size(F.array_intersect("t_words", words))
     pairs = pairs.where(shared(F.col("near")) >= F.col("need"))
-    runs = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("run") + 1, F.lit(1)))
-    best = pairs.withColumn("best", F.array_max(F.transform(runs, lambda i: shared(F.slice("near", i, F.col("run"))))))
+    # A word that names another license ends a run: with "" in its place, runs from all starts are cut before it.
+    pairs = pairs.withColumn("near", F.transform("near", lambda w: F.when(F.array_contains(F.col("other"), w), F.lit("")).otherwise(w)))
+    run = lambda i: F.slice("near", i, F.least(F.coalesce(F.nullif(F.array_position(F.slice("near", i, F.col("run")), F.lit("")), F.lit(0)) - 1, F.col("run")), F.col("run")).cast("int"))
+    named = lambda words: (F.size(F.array_intersect("own", words)) == F.size("own")) & F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.col("terms"))
+    found = F.transform(F.sequence(F.lit(1), F.size("near")), lambda i: F.when(named(run(i)), shared(run(i))).otherwise(F.lit(0)))
+    best = pairs.withColumn("best", F.array_max(found))
     return best.where("best >= need").select("doc_id", "label", (F.col("best") / F.size("t_words")).alias("containment")).distinct()
 
 
@@ -138,7 +164,7 @@ def scan(docs: DataFrame) -> DataFrame:
     score is 1 where a base phrase stands, else the largest containment found, else 0.
     """
     tune(docs.sparkSession)
-    added = template_matches(docs, blocks=paragraphs).groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "found_id")
+    added = template_matches(docs, [*TEMPLATES, *CLOSE], blocks=paragraphs).groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "found_id")
     joined = base(docs).join(added, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("added", F.array().cast("array<string>"))))
     return joined.select(

@@ -183,6 +183,22 @@ def test_wrapped_license_notices(spark):
     assert (got[99].labels, got[99].score) == ("", 0.0)
 
 
+def test_licenses_are_told_apart(spark):
+    """Each template's text, and notices of licenses that share most words, against all templates."""
+    texts = [(t, {label}) for label, t in [*license_scan.TEMPLATES, *license_scan.CLOSE]]
+    texts += [
+        ("Licensed under CC BY-SA 4.0", {"cc-by-sa"}), ("Licensed under CC BY-NC-SA 4.0.", {"cc-by-nc-sa"}), ("Licensed under CC BY 4.0, sa source", {"cc-by"}),
+        ("Released under the BSD License", {"bsd"}), ("Licensed under the Mozilla Public License, Version 2.0", {"mpl"}), ("Released under the Foo License", set()),
+        ("Released under the MIT License, BSD parts apart", {"mit"}), ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", {"lgpl"}),
+        ("was released " + "x " * 40 + "under " + "x " * 40 + "the mit " + "x " * 40 + "license", set()),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(texts):
+        assert set(filter(None, got[i].labels.split(","))) - set(got[i].base_labels.split(",")) == want - set(got[i].base_labels.split(",")), t
+        assert want <= set(got[i].labels.split(",")), t
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_mixing(request, name):
     df = request.getfixturevalue(name)

@@ -24,44 +24,53 @@ from .common import tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas xmp".split())
+RAW = frozenset("script style title textarea noscript template iframe svg canvas xmp annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("head nav footer aside form button select option menu dialog fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none".split())
+#: Elements that are never content, and those that are not but for an article or main element within them.
+NEVER = frozenset("head nav footer aside button select option menu dialog fieldset".split())
+WRAPS = frozenset("form header".split())
 CONTENT = frozenset("article main".split())
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 NAMES = re.compile(r"[a-z]+")
 SURE, STRONG, PARENT_EDGE, NEXT_EDGE = 1000.0, 12.0, 1.0, 1.5
+#: What a block within a form that holds most of the page costs as content: labels stay out, paragraphs do not.
+FORM = 1.0
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "bad", "good", "sure")
+    __slots__ = ("text", "path", "linked", "bad", "good", "sure", "form")
 
-    def __init__(self, text, path, linked, bad, good, sure):
-        self.text, self.path, self.linked, self.bad, self.good, self.sure = text, path, linked, bad, good, sure
+    def __init__(self, text, path, linked, bad, good, sure, form):
+        self.text, self.path, self.linked, self.bad, self.good, self.sure, self.form = text, path, linked, bad, good, sure, form
 
 
 def _marks(tag: str, attributes: str, above: tuple) -> tuple:
-    """(bad, good, sure, in_article) of an element, given its parent's."""
-    bad, good, sure, inside = above
-    if tag in NEVER or tag == "header" and not inside:
+    """(bad, good, sure, in_article, wrapped) of an element, given its parent's. wrapped: in a header or (2) a form."""
+    bad, good, sure, inside, wrapped = above
+    if tag in NEVER:
         sure = True
+    if tag == "form":
+        wrapped = wrapped or 2
+    if tag == "header" and not inside:
+        wrapped = 1
     if tag in CONTENT:
-        good, inside = good + 1, True
+        good, inside, wrapped = good + 1, True, 0
     if attributes:
+        known = {tag} if tag in WRAPS and not inside else set()  # a form called form is no worse than a form
         for a in ATTRIBUTE.findall(attributes):
             names = set(NAMES.findall(a.lower()))
-            if names & BAD_WORDS and tag not in ("html", "body") and tag not in CONTENT:
+            if names & BAD_WORDS - known and tag not in ("html", "body") and tag not in CONTENT:
                 bad += 1
             elif names & GOOD_WORDS:
                 good += 1
-    return bad, good, sure, inside
+    return bad, good, sure, inside, wrapped
 
 
 def blocks(html: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple] = [("", 0, (0, 0, False, False))]
+    stack: list[tuple] = [("", 0, (0, 0, False, False, 0))]
     pieces: list[str] = []
     linked = at = serial = 0
     links = 0
@@ -72,9 +81,9 @@ def blocks(html: str) -> list[Block]:
         pieces.clear()
         if text:
             top = next(x for x in reversed(stack) if x[0] not in INLINE)
-            bad, good, sure, _ = top[2]
+            bad, good, sure, _, wrapped = top[2]
             path = tuple(x[1] for x in stack if x[0] not in INLINE)
-            out.append(Block(text, path, linked / len(text), bad, good, sure))
+            out.append(Block(text, path, linked / len(text), bad, good, sure or wrapped > 0, not sure and wrapped == 2))
         linked = 0
 
     def add(raw):
@@ -141,7 +150,7 @@ def costs(b: Block, has_main: bool) -> tuple[float, float]:
         return 0.0, STRONG + STRONG * b.bad
     length = log1p(len(b.text) / 20)
     keep = STRONG * min(b.good, 2) + length * (1 - b.linked)
-    drop = 2 * STRONG * b.bad + 4.0 * b.linked + (0.3 if not b.good else 0.0)
+    drop = 2 * STRONG * b.bad + 4.0 * b.linked + (0.3 if not b.good else 0.0) + FORM * b.form
     return keep, drop
 
 
@@ -233,6 +242,11 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
+    forms = [b for b in found if b.form]
+    # A form around most of the page's text is a plain container: many pages are wrapped in one.
+    if 2 * sum(len(b.text) for b in forms) > sum(len(b.text) for b in found if not b.sure or b.form):
+        for b in forms:
+            b.sure = False
     has_main = any(b.good and not b.sure and not b.bad for b in found)
     terminals = [costs(b, has_main) for b in found]
     # A node that prefers neither side counts as boilerplate; so does one that ties.

@@ -299,6 +299,24 @@ def test_page_shapes(page, text):
     assert html_extraction.main_text(page) == text
 
 
+PARAGRAPH = "A paragraph of the article that is long enough to be told from the labels of a form, which are short. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><form id=aspnetForm><nav>menu</nav><article><p>the article</p></article><footer>f</footer></form>", "the article"),
+        ("<body><form class=form><header><main><p>a</p></main></header><aside>x</aside></form>", "a"),
+        (f"<body><form id=f><nav>menu</nav><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><p><label>Name</label></form>", f"{PARAGRAPH}{PARAGRAPH}".strip()),
+        ("<article><p>long enough to stay here</p><form><label>Name</label><button>Send</button></form></article>", "long enough to stay here"),
+        ("<aside><article>teaser</article></aside><article><p>long enough to stay here</p></article>", "long enough to stay here"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=a.pdf><p>and this is said</p></object></article>", "so x=2 holds and this is said"),
+    ],
+)
+def test_wrapped_pages(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_min_cut_against_all_labellings():
     import itertools
     import random

@@ -6,6 +6,7 @@ up with None.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -16,6 +17,8 @@ from ..functions.dates import gps_time, rfc_3339
 HEAD = 1 << 16
 #: Limits of the QuickTime metadata reader.
 META_MAX, VALUE_MAX = 1 << 20, 4096
+#: Directories of a TIFF file that are read at most; more are hostile.
+DIRECTORIES = 16
 CONTENT_KEY = b"com.apple.quicktime.content.identifier"
 # ISO base media brands.
 BRANDS = {b"heic": "Heic", b"heix": "Heic", b"hevc": "Heic", b"hevx": "Heic", b"heim": "Heic", b"heis": "Heic", b"mif1": "Heic", b"msf1": "Heic", b"avif": "Avif", b"avis": "Avif", b"crx ": "Cr3", b"qt  ": "Mov", b"M4V ": "M4v", b"M4VH": "M4v", b"M4VP": "M4v"}
@@ -24,8 +27,26 @@ TAGS = {0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x0100: "ImageWi
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
-def sniff(head: bytes, name: str = "") -> str:
-    """The accurate file type of a file's first bytes; .json goes by name."""
+class View:
+    """A part of a seekable file, read slice by slice as bytes are."""
+
+    def __init__(self, f: IO[bytes], start: int, end: int):
+        self.f, self.start, self.end = f, start, max(start, end)
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(len(self))
+        self.f.seek(self.start + a)
+        return self.f.read(max(0, b - a))
+
+    def part(self, a: int, b: int) -> View:
+        return View(self.f, min(self.start + a, self.end), min(self.start + b, self.end))
+
+
+def sniff(head: bytes, name: str = "", data: View | None = None) -> str:
+    """The accurate file type of a file's first bytes; .json goes by name, the maker of a TIFF by the whole file if given."""
     if name.lower().endswith(".json"):
         return "Json"
     if head[4:8] == b"pnot":
@@ -49,7 +70,7 @@ def sniff(head: bytes, name: str = "") -> str:
     if head[:4] in (b"II*\0", b"MM\0*"):
         if head[8:10] == b"CR":
             return "Cr2"
-        maker = (read_tiff(head) or {}).get("Make", "").upper()
+        maker = (read_tiff(head if data is None else data) or {}).get("Make", "").upper()
         return "Nef" if maker.startswith("NIKON") and name.lower().endswith(".nef") else "Arw" if maker.startswith("SONY") else "Tif"
     if head[4:8] == b"ftyp":
         brand = head[8:12]
@@ -67,21 +88,19 @@ def sniff(head: bytes, name: str = "") -> str:
     return "Csv" if name.lower().endswith(".csv") and head[:512].isascii() and b"," in head[:512] else "Unsupported"
 
 
-def _entries(data: bytes, base: int, offset: int, order: str) -> Iterator[tuple[int, int, int, bytes]]:
+def _entries(data: bytes | View, base: int, offset: int, order: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(tag, kind, count, value bytes) of one directory; offsets count from base."""
     at = base + offset
     if not 0 <= at <= len(data) - 2:
         return
-    (n,) = struct.unpack_from(order + "H", data, at)
-    for i in range(n):
-        e = at + 2 + 12 * i
-        if e + 12 > len(data):
-            return
-        tag, kind, count = struct.unpack_from(order + "HHI", data, e)
+    (n,) = struct.unpack(order + "H", data[at : at + 2])
+    table = data[at + 2 : at + 2 + 12 * n]
+    for i in range(len(table) // 12):
+        tag, kind, count = struct.unpack_from(order + "HHI", table, 12 * i)
         size = SIZES.get(kind, 0) * count
         if not 0 < size <= 65536:
             continue
-        where = e + 8 if size <= 4 else base + struct.unpack_from(order + "I", data, e + 8)[0]
+        where = at + 10 + 12 * i if size <= 4 else base + struct.unpack_from(order + "I", table, 12 * i + 8)[0]
         if where + size <= len(data):
             yield tag, kind, count, data[where : where + size]
 
@@ -112,16 +131,16 @@ def maker_note_identifier(note: bytes) -> str | None:
     return None
 
 
-def read_tiff(data: bytes) -> dict | None:
-    """Tags by name, with latitude, longitude and content_identifier where known; undefined and long values are dropped."""
+def read_tiff(data: bytes | View, gps_first: bool = False) -> dict | None:
+    """Tags by name, with latitude, longitude and content_identifier where known; undefined and long values are dropped. gps_first: its first directory holds the place."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or len(data) < 8:
         return None
     out: dict = {}
-    todo, seen = [(struct.unpack_from(order + "I", data, 4)[0], False)], set()
+    todo, seen = [(struct.unpack(order + "I", data[4:8])[0], gps_first)], set()
     while todo:
         offset, gps = todo.pop()
-        if offset in seen:
+        if offset in seen or len(seen) == DIRECTORIES:
             continue
         seen.add(offset)
         place: dict[int, tuple[int, int, bytes]] = {}
@@ -149,28 +168,106 @@ def read_tiff(data: bytes) -> dict | None:
     return out
 
 
-def exif_block(data: bytes) -> bytes | None:
-    """The TIFF block within a JPEG, PNG or HEIF head, or the data itself if it is TIFF."""
-    if data[:2] in (b"II", b"MM"):
+def exif_block(data: bytes | View) -> View | None:
+    """The TIFF block within a JPEG, PNG, RAF or HEIF file, or the data itself if it is TIFF."""
+    if not isinstance(data, View):
+        data = View(io.BytesIO(data), 0, len(data))
+    head = data[:HEAD]
+    if head[:2] in (b"II", b"MM"):
         return data
-    if data.startswith(b"\xff\xd8"):
+    if head.startswith(b"\xff\xd8"):
         at = 2
-        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
-            size = int.from_bytes(data[at + 2 : at + 4], "big")
-            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                return data[at + 10 : at + 2 + size]
+        while at + 4 <= len(data):
+            mark = data[at : at + 10]
+            if mark[0] != 0xFF or mark[1] in (0xDA, 0xD9):
+                return None
+            size = int.from_bytes(mark[2:4], "big")
+            if mark[1] == 0xE1 and mark[4:10] == b"Exif\0\0":
+                return data.part(at + 10, at + 2 + size)
             at += 2 + max(size, 2)
         return None
-    if data.startswith(b"\x89PNG"):
+    if head.startswith(b"\x89PNG"):
         at = 8
         while at + 8 <= len(data):
-            size = int.from_bytes(data[at : at + 4], "big")
-            if data[at + 4 : at + 8] == b"eXIf":
-                return data[at + 8 : at + 8 + size]
+            mark = data[at : at + 8]
+            size = int.from_bytes(mark[:4], "big")
+            if mark[4:] == b"eXIf":
+                return data.part(at + 8, at + 8 + size)
             at += 12 + size
         return None
-    at = data.find(b"Exif\0\0")
-    return data[at + 6 :] if at >= 0 else None
+    if head.startswith(b"FUJIFILMCCD-RAW") and len(head) >= 92:
+        at, size = struct.unpack_from(">II", head, 84)
+        inner = data.part(at, at + size)
+        if inner[:2] == b"\xff\xd8" and (block := exif_block(inner)):
+            return block
+    if head[4:8] == b"ftyp" and (block := _heif_item(data)):
+        return block
+    at = head.find(b"Exif\0\0")
+    return data.part(at + 6, len(data)) if at >= 0 else None
+
+
+def _heif_item(data: View) -> View | None:
+    """The TIFF block of a HEIF file's Exif item: its number from iinf, its place from iloc."""
+    meta = _inside(data.f, data.start, data.end, b"meta")
+    if not meta:
+        return None
+    iinf, iloc, idat = (_inside(data.f, meta[0] + 4, meta[1], k) for k in (b"iinf", b"iloc", b"idat"))
+    if not iinf or not iloc:
+        return None
+    wide, wanted = _read(data.f, *iinf, 1) != b"\0", None
+    for kind, a, b in _atoms(data.f, iinf[0] + (8 if wide else 6), iinf[1]):
+        raw = _read(data.f, a, b, 16)
+        at = 4 + (4 if raw[:1] == b"\3" else 2)
+        if kind == b"infe" and raw[:1] in (b"\2", b"\3") and raw[at + 2 : at + 6] == b"Exif":
+            wanted = int.from_bytes(raw[4:at], "big")
+            break
+    raw = _read(data.f, *iloc, META_MAX)
+    if wanted is None or len(raw) < 8:
+        return None
+    version, at = raw[0], 6
+
+    def number(n: int) -> int:
+        nonlocal at
+        at += n
+        return int.from_bytes(raw[at - n : at], "big")
+
+    offset_size, length_size, base_size, index_size = raw[4] >> 4, raw[4] & 15, raw[5] >> 4, raw[5] & 15 if version else 0
+    for _ in range(number(4 if version == 2 else 2)):
+        item, method = number(4 if version == 2 else 2), number(2) & 15 if version else 0
+        number(2)
+        base, extents = number(base_size), number(2)
+        if at > len(raw):
+            return None
+        if item != wanted:
+            at += extents * (index_size + offset_size + length_size)
+            continue
+        number(index_size)
+        start, size = base + number(offset_size), number(length_size)
+        if method > 1 or extents != 1 or method == 1 and not idat:
+            return None
+        start += idat[0] - data.start if method == 1 else 0
+        whole = data.part(start, start + size if size else len(data))
+        skip = int.from_bytes(whole[:4], "big")
+        return whole.part(4 + skip, len(whole))
+    return None
+
+
+CANON = bytes.fromhex("85c0b687820f11e08111f4ce462b6a48")
+
+
+def read_exif(data: View) -> dict | None:
+    """The tags of a photo's file. CR3 files hold a TIFF block for each directory, in boxes of their own."""
+    if data[4:12] != b"ftypcrx ":
+        block = exif_block(data)
+        return read_tiff(block) if block else None
+    out: dict = {}
+    moov = _inside(data.f, data.start, data.end, b"moov")
+    for kind, a, b in _atoms(data.f, *moov) if moov else ():
+        if kind == b"uuid" and _read(data.f, a, b, 16) == CANON:
+            for name, c, d in _atoms(data.f, a + 16, b):
+                if name in (b"CMT1", b"CMT2", b"CMT4"):
+                    out = (read_tiff(View(data.f, c, d), name == b"CMT4") or {}) | out
+    return out or ((block := exif_block(data)) and read_tiff(block)) or None
 
 
 def _atoms(f: IO[bytes], at: int, end: int) -> Iterator[tuple[bytes, int, int]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import capture_reading, fallback_reading, output_zone, track_reading
 from ..functions.media_types import EXIF_TYPES, TRACK_TYPES
 from .files import open_entry
-from .formats import HEAD, exif_block, read_tiff, read_track, sniff
+from .formats import HEAD, View, read_exif, read_track, sniff
 
 RECORD = (
     "path string, file_size long, modified long, created long, quick_file_type string, accurate_file_type string, long_hash string, short_hash string, status string, "
@@ -31,9 +31,10 @@ def _inspect(uri: str, path: str, zone) -> dict:
             size += len(block)
         f.seek(0)
         head = f.read(HEAD)
-        kind = sniff(head, path)
+        whole = View(f, 0, size)
+        kind = sniff(head, path, whole)
         out = {"accurate_file_type": kind, "long_hash": digest.hexdigest(), "short_hash": digest.hexdigest()[:7], "status": "Unsupported" if kind == "Unsupported" else "ok"}
-        if kind in EXIF_TYPES and (block := exif_block(head)) and (tags := read_tiff(block)):
+        if kind in EXIF_TYPES and (tags := read_exif(whole)):
             out |= {"exif_latitude": tags.pop("latitude", None), "exif_longitude": tags.pop("longitude", None), "content_identifier": tags.pop("content_identifier", None)}
             out |= {"tags": tags, "capture": capture_reading(tags), "fallback": fallback_reading(tags, zone)}
         elif kind in TRACK_TYPES and (track := read_track(f, size)):

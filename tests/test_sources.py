@@ -49,6 +49,36 @@ def test_formats():
         formats.read_tiff(formats.exif_block(jpeg()[:cut]) or b"")
 
 
+def tiff(make=b"NIKON CORPORATION\0", gap=0):
+    """A TIFF file whose directory and value follow a gap."""
+    at = 8 + gap
+    return b"II*\0" + struct.pack("<I", at) + bytes(gap) + struct.pack("<HHHIII", 1, 0x010F, 2, len(make), at + 18, 0) + make
+
+
+def test_exif_past_the_head(tmp_path):
+    """Metadata that lies past the first 64 KB of each kind of file."""
+    gap, block = 3 * formats.HEAD, tiff()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    segment = lambda n, body: b"\xff" + bytes([n]) + struct.pack(">H", len(body) + 2) + body
+    heif = lambda at: atom(b"ftyp", b"heic" + bytes(4)) + atom(b"meta", bytes(4) + atom(b"iinf", bytes(4) + b"\0\1" + atom(b"infe", b"\2\0\0\0\0\7\0\0Exif\0")) + atom(b"iloc", bytes(4) + b"\x44\0\0\1" + struct.pack(">HHHII", 7, 0, 1, at, len(block) + 10)))
+    start = len(heif(0)) + 8 + gap
+    jpg = b"\xff\xd8" + segment(0xE2, bytes(65000)) * 2 + segment(0xE1, b"Exif\0\0" + block) + b"\xff\xd9"
+    boxes = atom(b"uuid", bytes.fromhex("85c0b687820f11e08111f4ce462b6a48") + atom(b"CMT1", block))
+    found = {
+        "a.tif": tiff(b"Canon\0", gap), "b.nef": tiff(gap=gap), "c.png": b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", bytes(gap)) + chunk(b"eXIf", block), "d.jpg": jpg,
+        "e.heic": heif(start) + atom(b"mdat", bytes(gap) + struct.pack(">I", 6) + b"Exif\0\0" + block),
+        "f.cr3": atom(b"ftyp", b"crx " + bytes(4)) + atom(b"free", bytes(gap)) + atom(b"moov", boxes),
+        "g.raf": b"FUJIFILMCCD-RAW".ljust(84) + struct.pack(">II", 92 + gap, len(jpg)) + bytes(gap) + jpg,
+    }
+    for name, raw in found.items():
+        (tmp_path / name).write_bytes(raw)
+        got = inspect._inspect(str(tmp_path), name, dates.output_zone("+00:00"))
+        assert got.get("tags") == {"Make": "Canon" if name == "a.tif" else "NIKON CORPORATION"}, name
+        assert got["accurate_file_type"] == name[2:].capitalize()
+        for cut in [*range(0, 400, 7), *range(len(raw) - 200, len(raw), 7)]:
+            formats.read_exif(formats.View(io.BytesIO(raw[:cut]), 0, cut))
+
+
 def test_directory_and_zip_agree(spark, tmp_path):
     root = tmp_path / "in"
     (root / "a").mkdir(parents=True)

@@ -7,7 +7,7 @@ weighted mean of the encodings, with the weighted squares, is scored by a logist
 weights are learnt together from document labels by Adam.
 
 The fit takes a bounded sample of labelled documents: up to SAMPLE of them (by hash of
-doc_id, so the choice does not depend on order) of up to SAMPLE_BYTES bytes each. Every
+doc_id, so the choice does not depend on order), each with up to MOST passages, spread evenly over its text. Every
 document is scored over all its passages; passages stream through the attention in
 blocks with a running softmax, so a very long text needs no more memory.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import tune
 from .words import SPACED, words
 
-PASSAGE, SAMPLE, SAMPLE_BYTES = 64, 4000, 40_000
+PASSAGE, SAMPLE, MOST = 64, 4000, 104
 PAIRS, HIDDEN, EPOCHS, RATE = 64, 16, 30, 0.01
 #: Byte classes: lower, upper, digit, white space, non-ASCII, and each ASCII mark.
 _marks = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -141,8 +141,8 @@ class AttentionModel:
 def _encoded(batches):
     for batch in batches:
         h, first = encode(batch.column(0))
-        parts = [h[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column(1)], ["bag", "label"])
+        parts = [h[a + np.arange(min(b - a, MOST)) * (b - a) // min(b - a, MOST)].astype(np.float32).tobytes() for a, b in zip(first, first[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *batch.columns[1:]], ["bag", "label", "place"])
 
 
 def _score(held):
@@ -161,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     share = min(1.0, sample / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # At most about `sample` rows, whatever the input: fit to be broadcast.
-    texts = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")
-    rows = texts.orderBy(F.xxhash64("doc_id"), "text").select("text", F.col("label").cast("int").alias("label")).mapInArrow(_encoded, "bag binary, label int").limit(2 * sample).toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
+    rows = texts.mapInArrow(_encoded, "bag binary, label int, place long").orderBy("place", "bag").select("bag", "label").limit(2 * sample).toPandas()
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in rows["bag"]]
     y = rows["label"].to_numpy(float)
     stacked = np.concatenate(bags) if bags else np.zeros((1, WIDTH))

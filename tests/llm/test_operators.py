@@ -257,6 +257,14 @@ def test_quality_of_odd_texts(spark, hostile):
     assert {r.score for r in quality_classifier.score(hostile, quality_classifier.train(hostile, labels.where("1 = 0"))).collect()} == {0.5}
 
 
+def test_quality_learns_from_long_documents(spark):
+    """Labelled documents that are all long: none is left out of the fit."""
+    rows = [(i, ("plain words of a text " if i % 2 else "### $$$ *** %%% ") * 4000, i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, quality_classifier.train(df, df.select("doc_id", "label"))).collect()}
+    assert all((got[i] > 0.5) == (label == 1) and got[i] != 0.5 for i, _, label in rows)
+
+
 def test_attention_gradient():
     """The learnt weights' gradient against finite differences, through one Adam-free step."""
     import numpy as np

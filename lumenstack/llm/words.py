@@ -1,8 +1,10 @@
 """Vectorised word work on Arrow string columns.
 
 A whole Arrow batch is tokenised at once with numpy: no Python loop per word. Words are
-runs of bytes that a 256-entry table maps to non-zero; the table may fold case. A word's
-hash is a polynomial over its mapped bytes modulo 2**64, then mixed.
+runs of bytes that a 256-entry table maps to non-zero; the table may fold case. A word's mapped bytes
+are a polynomial, whose values at two points modulo a prime make its 62-bit hash; two different words
+of n bytes have both values equal for a share of (n / PRIME)**2 of the choices of points at most. Two more points
+make a second, independent hash, where a lone hash decides over many words.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 1 << 20
-BASE, ROLL, ROLL_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
+SLICE = 1 << 18
+ROLL, ROLL_2 = 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
+#: Sums of bytes times powers stay below 2**64 over any slice: 8 + 31 + 20 bits.
+PRIME = (1 << 31) - 1
+POINTS = tuple(np.random.default_rng(20240301).integers(1 << 20, PRIME - 1, 4).tolist())
 
 _bytes = np.arange(256, dtype=np.uint8)
 #: Words `[^\x20\x09-\x0D]+`, bytes unchanged; 0 separates. A NUL byte is a word byte, so it maps to 255, which UTF-8 never uses.
@@ -38,21 +43,27 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a point and of its inverse modulo PRIME, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, point: int) -> None:
+        self.point = point
         self.up = self.down = np.ones(1, U)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, SLICE + 4096)
-            up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 1 << 64), U)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self.up, self.down = self._grown(self.point, size), self._grown(pow(self.point, -1, PRIME), size)
         return self.up, self.down
 
+    @staticmethod
+    def _grown(base: int, size: int) -> np.ndarray:
+        out = np.ones(1, U)
+        while len(out) < size:
+            out = np.concatenate((out, out * U(pow(base, len(out), PRIME)) % U(PRIME)))
+        return out[:size]
 
-_powers = _Powers()
+
+_powers = [_Powers(p) for p in POINTS]
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +88,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # of each value, and the count of all words last
+    other: np.ndarray | None = None  # second hashes
 
     @property
     def counts(self) -> np.ndarray:
@@ -86,15 +98,15 @@ class Words:
         """The value that each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def grams(self, k: int, roll: int = ROLL) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of k consecutive words by first word, and a mask of those within one value."""
-        n = len(self.hash) - k + 1
+    def grams(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (or second ones) of k consecutive words by first word, and a mask of those within one value."""
+        n, h, roll = len(self.hash) - k + 1, *((self.other, ROLL_2) if second else (self.hash, ROLL))
         if n <= 0:
             return np.zeros(0, U), np.zeros(0, bool)
-        g = self.hash[:n].copy()
+        g = h[:n].copy()
         for j in range(1, k):
             g *= U(roll)
-            g += self.hash[j : j + n]
+            g += h[j : j + n]
         owner = self.owner()
         return mix(g), owner[:n] == owner[k - 1 :]
 
@@ -111,46 +123,43 @@ def slices(data: np.ndarray, word_byte: np.ndarray):
         at = to
 
 
-def words(column: pa.Array, table: np.ndarray) -> Words:
+def words(column: pa.Array, table: np.ndarray, second: bool = False) -> Words:
+    """The words of a column; second: with second hashes."""
     data, offsets = flat(column)
-    hashes, starts, ends = [], [], []
+    pairs = 2 if second else 1
+    hashes, starts, ends = [[np.zeros(0, U)] for _ in range(pairs)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in slices(data, table):
         mapped = table[data[a:b]]
-        if b - a > 2 * SLICE:
-            h, s, e = _long(mapped)
-            hashes.append(h)
-            starts.append(s + a)
-            ends.append(e + a)
-            continue
-        inside = np.zeros(b - a + 2, np.int8)
-        inside[1:-1] = mapped != 0
-        edge = np.diff(inside)
+        edge = np.diff(np.concatenate(([0], (mapped != 0).astype(np.int8), [0])))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers.of(b - a + 1)
-        total = np.zeros(b - a + 1, U)
-        np.cumsum(mapped.astype(U) * up[: b - a], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U)))
+        value = _long if b - a > 2 * SLICE else _values
+        for i in range(pairs):
+            hashes[i].append(mix((value(mapped, s, e, _powers[2 * i]) << U(32)) | value(mapped, s, e, _powers[2 * i + 1])))
         starts.append(s + a)
         ends.append(e + a)
-    if not hashes:
-        hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     start = np.concatenate(starts)
-    return Words(data, offsets, np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets))
+    return Words(data, offsets, np.concatenate(hashes[0]), start, np.concatenate(ends), np.searchsorted(start, offsets), np.concatenate(hashes[1]) if second else None)
+
+
+def _values(mapped: np.ndarray, s: np.ndarray, e: np.ndarray, powers: _Powers) -> np.ndarray:
+    """The polynomials of words at a point, from running sums over a slice."""
+    up, down = powers.of(len(mapped) + 1)
+    total = np.zeros(len(mapped) + 1, U)
+    np.cumsum(mapped * up[: len(mapped)], out=total[1:])
+    return (total[e] - total[s]) % U(PRIME) * down[s] % U(PRIME)
 
 
-def _long(mapped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a slice that a huge word stretches: the same hashes, piece by piece."""
-    edge = np.diff(np.concatenate(([0], (mapped != 0).astype(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, _ = _powers.of(SLICE)
+def _long(mapped: np.ndarray, s: np.ndarray, e: np.ndarray, powers: _Powers) -> np.ndarray:
+    """The same of a slice that a huge word stretches, piece by piece."""
+    up, _ = powers.of(SLICE)
     out = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+    for a, b in zip(s.tolist(), e.tolist(), strict=True):
         h = 0
-        for at in range(s, e, SLICE):
-            piece = mapped[at : min(e, at + SLICE)].astype(U)
-            h += int((piece * up[: len(piece)]).sum(dtype=U)) * pow(BASE, at - s, 1 << 64)
-        out.append((h + e - s) % (1 << 64))
-    return mix(np.array(out, U)), starts, ends
+        for at in range(a, b, SLICE):
+            piece = mapped[at : min(b, at + SLICE)]
+            h += int((piece * up[: len(piece)]).sum(dtype=U)) * pow(powers.point, at - a, PRIME)
+        out.append(h % PRIME)
+    return np.array(out, U)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

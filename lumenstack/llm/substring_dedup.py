@@ -3,18 +3,23 @@
 Every document is a block of the reference. The index of blocks holds, for each block, the
 minimizers of its windows (among the SEED-word hashes in a window of `window` words, the least):
 equal windows have the same minimizer at the same place, so a window that no minimizer of
-another text matches cannot recur. Windows at matching minimizers are looked up in full, by
-128-bit hashes: each gets the smallest document in which it starts. A document is then parsed
-greedily into factors: maximal runs of consecutive windows with the same source, an earlier document.
-At factor boundaries, windows that reach from one factor into the next were looked up themselves, so a
-word is in a duplicate span exactly if a window over it starts in an earlier document.
-
-Texts of equal words form a class; only its smallest document takes part in the
-lookup, and the others are single factors, copied whole.
-
-Null texts have no words. Texts of fewer words than the window are left alone. Documents with a null
+another text matches cannot recur. Windows at matching minimizers are looked up in full, by two
+independent 64-bit hashes: each gets its first place in the smallest document that holds it. A document is
+then parsed greedily into factors (start, end, source, source_start): a factor takes the place of its first
+window in an earlier document and grows for as long as the next window stands next to it there, so the words of a factor are those of
+the source from source_start on. At factor boundaries, windows that reach from one factor
+into the next were looked up themselves and begin factors of their own, so a word is in a duplicate span exactly if a window
+over it starts in an earlier document.
+
+Rows of equal text form a class; only one of its smallest document takes part in the
+lookup, and those of other documents are single factors, copied whole.
+
+Null texts have no words. Texts of fewer words than the window are left alone, and empty texts stay empty. Very long texts are taken whole:
+memory grows with the longest text, not with the table. Rows with a null
 doc_id are returned unchanged and are no source. Repeated rows of one doc_id are not each other's
-source. An empty table gives an empty result.
+source; rows of one doc_id with different texts are judged each by its own text, and all of them are sources of larger ids.
+A window that stands in several smaller documents counts once, for the smallest (ties within a document: its first place). Other columns may
+have any name: they are carried packed and returned unchanged (remove) or not read (digest). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace
-from .words import ROLL_2, SPACED, U, Words, lists, mix, signed, spread, words
+from .words import SPACED, U, Words, lists, mix, signed, spread, words
 
 SEED = 5
 
@@ -57,103 +63,121 @@ def _joined(w: Words, i: int, keep: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(raw)).hexdigest()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, cid, sid, text): sid tells texts apart, cid those of one doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("cid"), F.unhex(F.sha2(text, 256)).alias("sid"), "text")
+
+
 def _parse(window):
     def run(batches):
         for batch in batches:
-            w = words(batch.column(1), SPACED)
+            w = words(batch.column(3), SPACED)
             _, at, g = minimizers(w, window)
             at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
             per = np.diff(np.searchsorted(at, w.first))
             place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.counts)
-            power = np.concatenate((np.ones(1, U), np.multiply.accumulate(np.full(max(1, int(w.counts.max(initial=1))), ROLL_2, U))))
-            digest = []
-            for salt in (1, 2):
-                total = np.concatenate((np.zeros(1, U), np.cumsum(mix(w.hash + U(salt)) * power[place], dtype=U)))
-                digest.append(signed(mix((total[w.first[1:]] - total[w.first[:-1]]) ^ mix(w.counts.astype(U)))))
             sha = [_joined(w, i) for i in range(batch.num_rows)]
-            cols = [batch.column(0), pa.array(w.counts, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(sha), lists(signed(g[at]), per, pa.int64()), lists(place[at], per, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "c1", "c2", "sha", "seeds", "places"])
+            cols = [*batch.columns[:3], pa.array(w.counts, pa.int64()), pa.array(sha), lists(signed(g[at]), per, pa.int64()), lists(place[at], per, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "sid", "n_words", "sha", "seeds", "places"])
 
     return run
 
 
+def _first_places(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each window, the first place in its text where the same window starts."""
+    key = hashes ^ mix(owner.astype(U) + U(1))
+    order = np.argsort(key, kind="stable")
+    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(key)]
+    out = np.empty_like(place)
+    out[order] = place[order][np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+    return out
+
+
 def _windows(window):
     def run(batches):
         for batch in batches:
-            w = words(batch.column(1), SPACED)
+            w = words(batch.column(2), SPACED, second=True)
             first, at, _ = minimizers(w, window)
-            wanted = batch.column(2)
+            wanted = batch.column(3)
             mark = np.zeros(len(w.hash) + 1, bool)
             mark[wanted.flatten().to_numpy() + np.repeat(w.first[:-1], wanted.value_lengths().fill_null(0).to_numpy())] = True
             first = first[mark[at]]
-            g1, g2 = w.grams(window)[0], w.grams(window, ROLL_2)[0]
+            g1, g2 = w.grams(window)[0][first], w.grams(window, second=True)[0][first]
             per = np.diff(np.searchsorted(first, w.first))
-            place = first - np.repeat(w.first[:-1], per)
-            cols = [batch.column(0), lists(signed(g1[first]), per, pa.int64()), lists(signed(g2[first]), per, pa.int64()), lists(place, per, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "w1", "w2", "place"])
+            owner = np.repeat(np.arange(len(per)), per)
+            place = first - w.first[:-1][owner]
+            cols = [*batch.columns[:2], lists(signed(g1), per, pa.int64()), lists(signed(g2), per, pa.int64()), lists(place, per, pa.int32()), lists(_first_places(g1, owner, place), per, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "w1", "w2", "place", "earliest"])
 
     return run
 
 
-def factors(places: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, end, source): maximal runs of consecutive windows with one source."""
+def factors(places: np.ndarray, sources: np.ndarray, spots: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, source, source_start) from windows at places that start at spots of sources.
+
+    A factor grows while the next window follows in the same source; the next begins with the window that did not.
+    """
     if not len(places):
         return []
     order = np.argsort(places, kind="stable")
-    places, sources = places[order], sources[order]
-    cut = np.flatnonzero((np.diff(places) != 1) | (np.diff(sources) != 0)) + 1
+    places, sources, spots = places[order], sources[order], spots[order]
+    cut = np.flatnonzero((np.diff(places) != 1) | (np.diff(sources) != 0) | (np.diff(spots) != 1)) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(places)])) - 1
-    return [(int(places[a]), int(places[b]) + window, int(sources[a])) for a, b in zip(starts, ends, strict=True)]
+    return [(int(places[a]), int(places[b]) + window, int(sources[a]), int(spots[a])) for a, b in zip(starts, ends, strict=True)]
 
 
-def _spans(window):
+def _factors(window):
     def run(batches):
         for batch in batches:
             out = []
-            for places, sources in zip(batch.column(1), batch.column(2), strict=True):
-                found = factors(places.values.to_numpy(), sources.values.to_numpy(), window)
-                out.append([{"start": a, "end": b, "source": s} for a, b, s in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "factors"])
+            for found in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                out.append([dict(zip(FACTOR, f, strict=True)) for f in factors(*(x.values.to_numpy() for x in found), window)])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], ["doc_id", "cid", "factors"])
 
     return run
 
 
-SPAN = "array<struct<start:int,end:int,source:long>>"
+FACTOR = ("start", "end", "source", "source_start")
+SPAN = "array<struct<start:int,end:int,source:long,source_start:int>>"
 
 
 class Parsed:
-    """The parse of a table: documents (doc_id, n_words, c1, c2, sha), copies (doc_id, source)
-    of whole texts, and factors (doc_id, factors) of the others, where there are any."""
+    """The parse of a table: documents (doc_id, cid, n_words, sha), copies (doc_id, cid, source)
+    of whole texts, and factors (doc_id, cid, factors) of the others, where there are any. cid tells
+    texts of one doc_id apart."""
 
     def __init__(self, docs: DataFrame, window: int = 13):
         if window <= SEED:
             raise ValueError(f"a window has over {SEED} words")
         work = Workspace(docs.sparkSession, "substring")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        parsed = work.cut(texts.mapInArrow(_parse(window), "doc_id long, n_words long, c1 long, c2 long, sha string, seeds array<long>, places array<int>"), "parsed")
-        self.documents = parsed.select("doc_id", "n_words", "c1", "c2", "sha")
+        texts = keyed(docs)
+        parsed = work.cut(texts.mapInArrow(_parse(window), "doc_id long, cid long, sid binary, n_words long, sha string, seeds array<long>, places array<int>"), "parsed")
+        self.documents = parsed.select("doc_id", "cid", "n_words", "sha")
         known = parsed.where(f"doc_id is not null and n_words >= {window}")
-        classes = work.cut(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("source")), "classes")
-        self.copies = known.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).where("doc_id > source").select("doc_id", "source").distinct()
+        classes = work.cut(known.groupBy("sid").agg(F.min("doc_id").alias("source"), F.first("cid").alias("class")), "classes")
+        self.copies = known.select("doc_id", "cid", "sid").join(classes, "sid").where("doc_id > source").select("doc_id", "cid", "source").distinct()
+        own = classes.select(F.col("source").alias("doc_id"), F.col("class").alias("cid")).distinct()
 
-        exploded = known.select("doc_id", "c1", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", "c1", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-        twice = exploded.groupBy("seed").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low < high").select("seed")
+        exploded = known.select("doc_id", "cid", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", "cid", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
+        # A seed matters if two texts hold it; the ids of one text's copies do not.
+        twice = exploded.groupBy("seed").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("seed")
         # Written first: a join of two plain exchanges is one whose hot seeds Spark can split.
         twice = work.cut(twice, "twice")
-        places = exploded.select("seed", "doc_id", "place").join(twice, "seed").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-        places = work.cut(places.join(classes, places.doc_id == classes.source, "left_semi"), "places")
+        places = exploded.select("seed", "doc_id", "cid", "place").join(twice, "seed").groupBy("doc_id", "cid").agg(F.collect_set("place").alias("places"))
+        places = work.cut(places.join(own, ["doc_id", "cid"], "left_semi"), "places")
 
-        with_places = texts.join(places, "doc_id").select("doc_id", "text", "places")
-        found = work.cut(with_places.mapInArrow(_windows(window), "doc_id long, w1 array<long>, w2 array<long>, place array<int>"), "windows")
-        rows = found.select("doc_id", F.explode(F.arrays_zip("w1", "w2", "place")).alias("x")).select("doc_id", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), F.col("x.place").alias("place"))
-        origin = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("w1", "w2", "source")
+        with_places = texts.select("doc_id", "cid", "text").join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places")
+        found = work.cut(with_places.mapInArrow(_windows(window), "doc_id long, cid long, w1 array<long>, w2 array<long>, place array<int>, earliest array<int>"), "windows")
+        rows = found.select("doc_id", "cid", F.inline(F.arrays_zip("w1", "w2", "place", "earliest")))
+        origin = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("earliest", "doc_id").alias("spot")).where("source < last").select("w1", "w2", "source", "spot")
         origin = work.cut(origin, "origin")
-        hits = rows.join(origin, ["w1", "w2"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("place", "source")).alias("x"))
-        spans = hits.select("doc_id", F.col("x.place").alias("places"), F.col("x.source").alias("sources")).mapInArrow(_spans(window), f"doc_id long, factors {SPAN}")
+        hits = rows.join(origin, ["w1", "w2"]).where("doc_id > source").groupBy("doc_id", "cid").agg(F.collect_set(F.struct("place", "source", "spot")).alias("x"))
+        spans = hits.select("doc_id", "cid", F.col("x.place").alias("places"), F.col("x.source").alias("sources"), F.col("x.spot").alias("spots")).mapInArrow(_factors(window), f"doc_id long, cid long, factors {SPAN}")
         self.factors = work.cut(spans, "factors")
         work.drop("windows", "places", "twice", "origin")
-        self.texts, self.window = docs, window
+        self.texts, self.window = texts, window
 
 
 def _keep(w: Words, spans: pa.ListArray) -> np.ndarray:
@@ -168,10 +192,10 @@ def _keep(w: Words, spans: pa.ListArray) -> np.ndarray:
 
 def _reduce(batches):
     for batch in batches:
-        w = words(batch.column(1), SPACED)
-        keep = _keep(w, batch.column(2))
+        w = words(batch.column(2), SPACED)
+        keep = _keep(w, batch.column(3))
         sha = [_joined(w, i, keep) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spread(~keep, w.first), pa.int64()), pa.array(sha)], ["doc_id", "cut", "cut_sha"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spread(~keep, w.first), pa.int64()), pa.array(sha)], ["doc_id", "cid", "cut", "cut_sha"])
 
 
 def _rewrite(batches):
@@ -187,10 +211,9 @@ def _rewrite(batches):
 def digest(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): what is left of each document."""
     parsed = Parsed(docs, window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = texts.join(parsed.factors, "doc_id").select("doc_id", "text", "factors").mapInArrow(_reduce, "doc_id long, cut long, cut_sha string").dropDuplicates(["doc_id"])
-    copies = parsed.copies.select("doc_id", F.lit(True).alias("copied"))
-    joined = parsed.documents.join(cut, "doc_id", "left").join(copies, "doc_id", "left")
+    cut = parsed.texts.select("doc_id", "cid", "text").join(parsed.factors, ["doc_id", "cid"]).select("doc_id", "cid", "text", "factors").mapInArrow(_reduce, "doc_id long, cid long, cut long, cut_sha string").dropDuplicates(["doc_id", "cid"])
+    copies = parsed.copies.select("doc_id", "cid", F.lit(True).alias("copied"))
+    joined = parsed.documents.join(cut, ["doc_id", "cid"], "left").join(copies, ["doc_id", "cid"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return joined.select(
         "doc_id", "n_words",
@@ -203,10 +226,12 @@ def remove(docs: DataFrame, window: int = 13) -> DataFrame:
     """docs with duplicate spans cut out of text: words that stay are joined by one space;
     texts without such spans are unchanged, whole copies become empty."""
     parsed = Parsed(docs, window)
-    row = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
-    tagged = row.join(parsed.factors.withColumnRenamed("doc_id", "key"), "key", "left").join(parsed.copies.select(F.col("doc_id").alias("key"), F.lit(True).alias("copied")), "key", "left")
-    kind = tagged.schema["row"].dataType.simpleString()
-    hit = tagged.where("factors is not null").select("key", F.col("row.text").alias("text"), "factors", "row").mapInArrow(_rewrite, f"row {kind}, kept_text string")
+    row = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cid"), F.struct("*").alias("row"))
+    found = parsed.factors.withColumnRenamed("doc_id", "key")
+    copies = parsed.copies.select(F.col("doc_id").alias("key"), "cid", F.lit(True).alias("copied"))
+    tagged = row.join(found, ["key", "cid"], "left").join(copies, ["key", "cid"], "left")
+    out = T.StructType([tagged.schema["row"], T.StructField("kept_text", T.StringType())])
+    hit = tagged.where("factors is not null").select("key", F.col("row.text").alias("text"), "factors", "row").mapInArrow(_rewrite, out)
     clean = tagged.where("factors is null").select("row", F.when(F.col("copied"), F.lit("")).otherwise(F.col("row.text")).alias("kept_text"))
     whole = clean.unionByName(hit)
     return whole.select(*(F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -39,24 +39,29 @@ def near(docs, k=2, percent=80):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def substring(docs, window=13):
-    """{doc_id: (n_words, n_removed, sha of what is kept)}"""
+def substring_rows(docs, window=13):
+    """(doc_id, text, n_words, n_removed, sha of what is kept), where ids may repeat"""
     first = {}
     for i, t in sorted(docs):
         w = SPACED.findall(t or "")
         for a in range(len(w) - window + 1):
             first.setdefault(tuple(w[a : a + window]), i)
-    out = {}
+    out = []
     for i, t in docs:
         w = SPACED.findall(t or "")
         keep = [True] * len(w)
         for a in range(len(w) - window + 1):
             if first[tuple(w[a : a + window])] < i:
                 keep[a : a + window] = [False] * window
-        out[i] = len(w), keep.count(False), sha(" ".join(x for x, k in zip(w, keep, strict=True) if k))
+        out.append((i, t, len(w), keep.count(False), sha(" ".join(x for x, k in zip(w, keep, strict=True) if k))))
     return out
 
 
+def substring(docs, window=13):
+    """{doc_id: (n_words, n_removed, sha of what is kept)}"""
+    return {i: x for i, _, *x in substring_rows(docs, window)}
+
+
 def leaks(docs, items, window=10):
     """{doc_id: (n_words, n_hit, n_items, sha of item ids)}"""
     known = defaultdict(set)

@@ -81,13 +81,64 @@ def test_substring(request, name):
     got = substring_dedup.digest(df).collect()
     assert len(got) == df.count()
     for r in got:
-        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+        assert [r.n_words, r.n_removed, r.kept_sha256] == want[r.doc_id]
     left = substring_dedup.remove(df)
     assert left.columns == df.columns and left.count() == df.count()
     for r in left.where("text is not null").collect():
         assert hashlib.sha256(" ".join(brute.SPACED.findall(r.text)).encode()).hexdigest() == want[r.doc_id][2]
 
 
+def _thue_morse(k=10):
+    """Two words of 2**k letters, which a polynomial modulo a power of two does not tell apart."""
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_substring_of_ids_with_several_texts(spark):
+    """Rows of one id with different texts, and words that only a good hash tells apart."""
+    one, other = _thue_morse()
+    long, tail = " ".join(f"x{i}" for i in range(500)), " ".join(f"x{i}" for i in range(480, 500))
+    rows = [(5, long), (5, tail), (5, long), (6, f"y {tail}"), (6, f"{tail}  z"), (4, f"{tail} {tail}"), (8, " ".join([one] * 20)), (9, " ".join([other] * 20)), (10, " ".join([other] * 14)), (None, long), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, *x) for i, _, *x in brute.substring_rows([r for r in rows if r[0] is not None]))
+    got = sorted(tuple(r) for r in substring_dedup.digest(df).where("doc_id is not null").select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == want
+    left = substring_dedup.remove(df.withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("a b", F.lit(2)))
+    assert left.columns == ["doc_id", "text", "row", "key", "a b"] and left.count() == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_are_copies(spark, seed):
+    """Each factor's words are those of its source from its start on; no window begun elsewhere is missed."""
+    import random
+
+    rnd = random.Random(seed)
+    pool = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(1, 13):
+        w = []
+        while len(w) < 120:
+            if i > 1 and rnd.random() < 0.6:
+                src = texts[rnd.randrange(1, i)]
+                at = rnd.randrange(len(src))
+                w += src[at : at + rnd.randrange(5, 40)]
+            else:
+                w += rnd.choices(pool, k=rnd.randrange(1, 12))
+        texts[i] = w
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.factors for r in substring_dedup.Parsed(df).factors.collect()}
+    assert any(len(x) > 1 for x in found.values())
+    for i, parts in found.items():
+        for f in parts:
+            size = f.end - f.start
+            assert f.source < i and size >= 13 and texts[i][f.start : f.end] == texts[f.source][f.source_start : f.source_start + size]
+    want = brute.substring([(i, " ".join(w)) for i, w in texts.items()])
+    for i, w in texts.items():
+        assert sum(any(f.start <= k < f.end for f in found.get(i, ())) for k in range(len(w))) == want[i][1]
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 @pytest.mark.parametrize("block_words", [200_000, 300])
 def test_leaks(request, spark, name, block_words):

@@ -1,32 +1,45 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into blocks of text. A classifier gives each block a cost of being called
-boilerplate (its capacity from the source, content) and of being called content (its capacity to the
-sink). Smoothness edges join neighbours in page order and blocks of the same DOM parent, stronger
-the nearer they are in the DOM. The minimum cut, found by max-flow, labels all blocks at once.
+A page is cut into blocks of text. A classifier of shallow features (words, sentence marks, share of link text,
+the block's tag, and what its ancestors are and are called) gives each block log-odds of being content: its capacity from the
+source (content) where they are positive, to the sink (boilerplate) where they are negative. Smoothness edges
+join neighbours in page order and blocks of one DOM parent, stronger the nearer they are in the DOM, and of the size of
+what text alone tells: a short line among paragraphs goes with them, a short sentence among links with those. The minimum
+cut, found by max-flow, labels all blocks at once.
 
 Broken mark-up is read as browsers mostly do: a block-level tag ends an open paragraph, an
-end tag closes up to its start tag and is ignored without one. Null and empty pages have
-empty text. Repeated rows give equal results. An empty table gives an empty result.
+end tag closes up to its start tag and is ignored without one, quotes count after an equals sign only, and what is nested deeper than DEPTH
+elements is read as if it lay at that depth. Reading takes time in proportion to the page; the cut has as many rounds as
+capacities (multiples of STEP / 2) allow, whatever the page's length.
+
+Null and empty pages have empty text; so have pages without text. Very long pages are read whole, in memory for one batch. Repeated rows give equal results, and a
+block that ties is boilerplate. Columns to keep may have any name but text and n_chars. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
+from functools import cache
 from html import unescape
 from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import tune
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>=]")
+VALUE = re.compile(r"\s*([\"'])")
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-RAW = frozenset("script style title textarea noscript template iframe svg canvas xmp annotation annotation-xml".split())
+HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
+#: Elements whose text is not shown, or not as text; a foreign one may close itself.
+RAW = frozenset("script style title textarea noscript template iframe canvas xmp annotation annotation-xml desc metadata defs".split())
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img tspan math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none".split())
 #: Elements that are never content, and those that are not but for an article or main element within them.
 NEVER = frozenset("head nav footer aside button select option menu dialog fieldset".split())
 WRAPS = frozenset("form header".split())
@@ -34,29 +47,46 @@ CONTENT = frozenset("article main".split())
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 NAMES = re.compile(r"[a-z]+")
-SURE, STRONG, PARENT_EDGE, NEXT_EDGE = 1000.0, 12.0, 1.0, 1.5
-#: What a block within a form that holds most of the page costs as content: labels stay out, paragraphs do not.
-FORM = 1.0
+DEPTH = 512
+
+#: Log-odds of content. By words: PER_WORD * log(1 + words) + ALONE, at most LONG.
+PER_WORD, ALONE, LONG = 0.9, -1.2, 2.5
+SENTENCE, LINKED = 0.5, -3.0
+TAGS = {t: 0.7 for t in "p blockquote pre h1 h2 h3 h4 h5 h6".split()} | {t: 0.0 for t in "li dt dd td th caption figcaption text".split()} | {"label": -1.0, "legend": -1.0}
+PLAIN = -0.3
+#: By ancestors: an article or main element, names, elements that are never content, and lying outside of the page's article.
+INSIDE, GOOD, BAD, SURE, OUTSIDE = 4.0, 1.5, -10.0, -12.0, -8.0
+#: A copyright mark; links in an article's header; any block of a form that holds most of the page.
+RIGHTS, HEADLINKS, FORM = -3.0, -3.0, -1.0
+#: Smoothness between neighbours in page order, lessened by their distance in the DOM, and between blocks of one parent.
+NEXT_EDGE, PARENT_EDGE, STEP = 1.2, 0.6, 0.05
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "bad", "good", "sure", "form")
+    """A run of text: its container (a number), the container's tag, link share, and the marks of its ancestors."""
+
+    __slots__ = ("text", "node", "tag", "linked", "bad", "good", "sure", "inside", "form", "head")
+
+    def __init__(self, text, node, tag, linked, bad, good, sure, inside, form, head):
+        self.text, self.node, self.tag, self.linked = text, node, tag, linked
+        self.bad, self.good, self.sure, self.inside, self.form, self.head = bad, good, sure, inside, form, head
 
-    def __init__(self, text, path, linked, bad, good, sure, form):
-        self.text, self.path, self.linked, self.bad, self.good, self.sure, self.form = text, path, linked, bad, good, sure, form
+
+#: bad, good, sure, inside, wrapped (1 in a header, 2 in a form), gone (not shown), head (in a header within an article).
+ROOT = (0, 0, False, False, 0, False, False)
 
 
 def _marks(tag: str, attributes: str, above: tuple) -> tuple:
-    """(bad, good, sure, in_article, wrapped) of an element, given its parent's. wrapped: in a header or (2) a form."""
-    bad, good, sure, inside, wrapped = above
+    """The marks of an element, given its parent's."""
+    bad, good, sure, inside, wrapped, gone, head = above
     if tag in NEVER:
         sure = True
     if tag == "form":
         wrapped = wrapped or 2
-    if tag == "header" and not inside:
-        wrapped = 1
+    if tag == "header":
+        wrapped, head = (wrapped, True) if inside else (1, head)
     if tag in CONTENT:
-        good, inside, wrapped = good + 1, True, 0
+        good, inside, wrapped, head = good + 1, True, 0, False
     if attributes:
         known = {tag} if tag in WRAPS and not inside else set()  # a form called form is no worse than a form
         for a in ATTRIBUTE.findall(attributes):
@@ -65,111 +95,183 @@ def _marks(tag: str, attributes: str, above: tuple) -> tuple:
                 bad += 1
             elif names & GOOD_WORDS:
                 good += 1
-    return bad, good, sure, inside, wrapped
+        gone = gone or HIDDEN.search(attributes) is not None
+    return bad, good, sure, inside, wrapped, gone, head
 
 
-def blocks(html: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple] = [("", 0, (0, 0, False, False, 0))]
-    pieces: list[str] = []
-    linked = at = serial = 0
-    links = 0
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
 
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
-        if text:
-            top = next(x for x in reversed(stack) if x[0] not in INLINE)
-            bad, good, sure, _, wrapped = top[2]
-            path = tuple(x[1] for x in stack if x[0] not in INLINE)
-            out.append(Block(text, path, linked / len(text), bad, good, sure or wrapped > 0, not sure and wrapped == 2))
-        linked = 0
-
-    def add(raw):
-        nonlocal linked
-        if raw:
-            text = unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if links:
-                linked += len(text)
-
-    n = len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        tag = name.lower()
-        if not m[1]:
-            if tag in RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = end.end() if end else n
+
+class _Tokens:
+    """Tags of a page in order: (text before, tag in lower case or "", what stands in it, whether it ends an element, whether it closes itself)."""
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+
+    def skip(self, end: re.Pattern) -> None:
+        """Leave out all up to an end tag, or the rest of the page."""
+        m = end.search(self.html, self.at)
+        self.at = m.end() if m else len(self.html)
+
+    def __iter__(self):
+        html, quotes = self.html, True
+        look = self.at
+        while (i := html.find("<", max(look, self.at))) >= 0:
+            ends = html.startswith("/", i + 1)
+            m = NAME.match(html, i + 1 + ends)
+            if m is None and not html.startswith(("!", "?"), i + 1):
+                look = i + 1
                 continue
-            if tag not in INLINE:
-                flush()
-                # A block-level start tag ends an open paragraph, and what is open within it.
-                if tag not in VOID:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == "p" or tag == "li" == stack[i][0]:
-                            links -= sum(x[0] == "a" for x in stack[i:])
-                            del stack[i:]
-                            break
-                        if stack[i][0] not in INLINE:
-                            break
-            if tag in VOID:
+            if html.startswith("<!--", i):
+                stop = html.find("-->", i + 2 if html.startswith(("<!-->", "<!--->"), i) else i + 4)
+                stop = len(html) if stop < 0 else stop + 2
+            else:
+                stop = _tag_end(html, m.end()) if m and quotes else -1
+                if stop < 0:
+                    # After a quote that never ends, quotes count no more.
+                    quotes, stop = quotes and m is None, html.find(">", i)
+                    if stop < 0:
+                        break
+            before, self.at = html[self.at : i], stop + 1
+            inside = html[m.end() : stop] if m else ""
+            yield before, m[0].lower() if m else "", inside, ends, inside.endswith("/")
+        yield html[self.at :], "", "", False, False
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where a tag's > is, -1 without one: quotes count after an equals sign."""
+    while (m := STOP.search(html, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if q := VALUE.match(html, at):
+            at = html.find(q[1], q.end()) + 1
+            if not at:
+                return -1
+    return -1
+
+
+class Reader:
+    """Blocks of a page, and the tree of their containers: parent and depth of each."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [-1], [0]
+        self.stack: list[tuple] = [("", 0, ROOT)]
+        self.pieces: list[str] = []
+        self.linked = self.links = self.foreign = 0
+        self.open: Counter[str] = Counter()
+        self.deep: Counter[str] = Counter()
+        steps = _Tokens(html)
+        for before, tag, inside, ends, own in steps:
+            self._add(before)
+            if not tag:
                 continue
-            serial += 1
-            links += tag == "a"
-            stack.append((tag, serial, _marks(tag, m[3], stack[-1][2])))
-        else:
-            if tag not in INLINE:
-                flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+            if ends:
+                self._end(tag)
+            elif tag in RAW:
+                if not (own and self.foreign):
+                    steps.skip(_end_of(tag))
+            else:
+                self._start(tag, inside, own)
+        self._flush()
+
+    def _add(self, raw: str) -> None:
+        if raw and not self.stack[-1][2][5]:
+            text = unescape(raw) if "&" in raw else raw
+            self.pieces.append(text)
+            if self.links:
+                self.linked += len(text)
+
+    def _flush(self) -> None:
+        text = " ".join("".join(self.pieces).split())
+        self.pieces.clear()
+        if text:
+            tag, node, marks = next(x for x in reversed(self.stack) if x[0] not in INLINE)
+            bad, good, sure, inside, wrapped, _, head = marks
+            self.blocks.append(Block(text, node, tag, self.linked / len(text), bad, good, sure or wrapped > 0, inside, not sure and wrapped == 2, head))
+        self.linked = 0
+
+    def _pop(self, i: int) -> None:
+        for tag, _, _ in self.stack[i:]:
+            self.open[tag] -= 1
+            self.links -= tag == "a"
+            self.foreign -= tag in FOREIGN
+        del self.stack[i:]
+
+    def _start(self, tag: str, inside: str, own: bool) -> None:
+        if tag not in INLINE:
+            self._flush()
+            # A block-level start tag ends an open paragraph, and what is open within it.
+            if tag not in VOID:
+                for i in range(len(self.stack) - 1, 0, -1):
+                    if self.stack[i][0] == "p" or tag == "li" == self.stack[i][0]:
+                        self._pop(i)
+                        break
+                    if self.stack[i][0] not in INLINE:
+                        break
+        if tag in VOID or own and self.foreign:
+            return
+        if len(self.stack) > DEPTH:
+            self.deep[tag] += 1
+            return
+        self.open[tag] += 1
+        self.links += tag == "a"
+        self.foreign += tag in FOREIGN
+        top = self.stack[-1]
+        node = top[1]
+        if tag not in INLINE:
+            node = len(self.parent)
+            self.parent.append(top[1])
+            self.depth.append(self.depth[top[1]] + 1)
+        self.stack.append((tag, node, _marks(tag, inside, top[2])))
+
+    def _end(self, tag: str) -> None:
+        if tag not in INLINE:
+            self._flush()
+        if self.deep[tag]:
+            self.deep[tag] -= 1
+        elif self.open[tag]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == tag:
+                    self._pop(i)
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and self.stack[i][0] not in INLINE:
                     break
-    flush()
-    return out
-
 
-def costs(b: Block, has_main: bool) -> tuple[float, float]:
-    """Capacities (from content, to boilerplate) of a block."""
-    if b.sure:
-        return 0.0, SURE
+    def apart(self, a: int, b: int) -> int:
+        """Steps in the tree from one container to another."""
+        steps = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+def log_odds(b: Block, has_main: bool) -> float:
+    """How much speaks for content: never 0, an odd multiple of STEP / 2."""
+    words = b.text.count(" ") + 1
+    score = min(LONG, PER_WORD * log1p(words) + ALONE) + LINKED * b.linked + TAGS.get(b.tag, PLAIN)
+    score += SENTENCE * (b.text[-1] in ".!?:;\u2026\u3002\u201d\"") + RIGHTS * ("\u00a9" in b.text) + FORM * b.form
+    score += INSIDE * b.inside + GOOD * min(b.good - b.inside, 2) * (not b.bad) + BAD * min(b.bad, 2) + SURE * b.sure
+    if b.head and b.linked > 0.5:
+        score += HEADLINKS
     if has_main and not b.good:
-        return 0.0, STRONG + STRONG * b.bad
-    length = log1p(len(b.text) / 20)
-    keep = STRONG * min(b.good, 2) + length * (1 - b.linked)
-    drop = 2 * STRONG * b.bad + 4.0 * b.linked + (0.3 if not b.good else 0.0) + FORM * b.form
-    return keep, drop
-
+        score += OUTSIDE
+    return (score // STEP + 0.5) * STEP
 
-def _shared(a: tuple, b: tuple) -> int:
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    return k
 
-
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    out, last = [], {}
+def edges(page: Reader) -> list[tuple[int, int, float]]:
+    out, last, found = [], {}, page.blocks
     for i, b in enumerate(found):
         if i:
-            apart = len(b.path) + len(found[i - 1].path) - 2 * _shared(b.path, found[i - 1].path)
-            out.append((i - 1, i, NEXT_EDGE / (1 + apart)))
-        parent = b.path[:-1]
+            out.append((i - 1, i, NEXT_EDGE / (1 + page.apart(b.node, found[i - 1].node) / 2)))
+        parent = page.parent[b.node]
         if parent in last and last[parent] != i - 1:
             out.append((last[parent], i, PARENT_EDGE))
         last[parent] = i
@@ -237,21 +339,23 @@ def min_cut(terminals: list[tuple[float, float]], joined: list[tuple[int, int, f
             x = to[e]
 
 
-def main_text(html: str | None) -> str:
-    """The page's content blocks, joined by one space."""
-    found = blocks(html or "")
-    if not found:
-        return ""
+def labels(page: Reader, smooth: bool = True) -> list[bool]:
+    """Which blocks are content; smooth: with the edges, else by their own log-odds alone."""
+    found = page.blocks
     forms = [b for b in found if b.form]
     # A form around most of the page's text is a plain container: many pages are wrapped in one.
     if 2 * sum(len(b.text) for b in forms) > sum(len(b.text) for b in found if not b.sure or b.form):
         for b in forms:
             b.sure = False
     has_main = any(b.good and not b.sure and not b.bad for b in found)
-    terminals = [costs(b, has_main) for b in found]
-    # A node that prefers neither side counts as boilerplate; so does one that ties.
-    content = min_cut(terminals, edges(found))
-    return " ".join(b.text for b, keep in zip(found, content, strict=True) if keep)
+    odds = [log_odds(b, has_main) for b in found]
+    return min_cut([(max(x, 0.0), max(-x, 0.0)) for x in odds], edges(page) if smooth else [])
+
+
+def main_text(html: str | None) -> str:
+    """The page's content blocks, joined by one space."""
+    page = Reader(html or "")
+    return " ".join(b.text for b, keep in zip(page.blocks, labels(page), strict=True) if keep)
 
 
 def _extract(batches):
@@ -264,5 +368,5 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
     """The columns keep, text and n_chars (code points) of each page."""
     tune(pages.sparkSession)
     src = pages.select(*keep, "html")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", text string, n_chars long"
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return src.mapInArrow(_extract, schema)

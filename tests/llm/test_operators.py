@@ -376,6 +376,57 @@ def test_wrapped_pages(page, text):
     assert html_extraction.main_text(page) == text
 
 
+LINES = "<div>The first line of the story is long enough to stand on its own, as is usual.</div><div>{}</div><div>And the last one is again as long as lines of a story are, with a full stop.</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # A word among long lines goes with them; alone it would not.
+        (f"<body><div>{LINES.format('Yes')}</div></body>", re.sub("<[^>]*>", " ", LINES.format("Yes"))),
+        # So do a dash and a name between paragraphs of a table cell.
+        (f"<table><tr><td>{PARAGRAPH}<br>A. Name<br>{PARAGRAPH}</td></tr></table>", f"{PARAGRAPH}A. Name {PARAGRAPH}"),
+        # A few words between links go with those, though they would pass alone.
+        (f"<div><div><a href=/>Home</a></div><div>Best of all deals here</div><div><a href=/n>News</a></div><div><a href=/s>Sport</a></div></div><section><p>{PARAGRAPH}</p></section>", PARAGRAPH),
+        (f"<ul><li><a href=/>Home</a><li>Your daily read<li><a href=/s>Sport</a></ul><section><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section>", PARAGRAPH * 2),
+    ],
+)
+def test_the_cut_decides(page, text):
+    """Labels that differ from those of the blocks' own log-odds, and are right."""
+    read = html_extraction.Reader(page)
+    assert html_extraction.labels(read) != html_extraction.labels(html_extraction.Reader(page), smooth=False)
+    assert html_extraction.main_text(page) == " ".join(text.split())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>seen by all</p><script src=x/>alert(1)</script><p>and this too</p></article>", "seen by all and this too"),
+        ("<article><p>seen by all</p><p style='color:red; display: none'>not <b>this</b></p><p hidden>nor this</p><p data-hidden=1>but this</p></article>", "seen by all but this"),
+        ("<article><header><h1>Title</h1><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></header><p>The text of it, <a href=/x>with a link</a>.</p></article>", "Title The text of it, with a link."),
+        ("<article><p>a drawing <svg><title>no</title><defs><g>no</g></defs><text>of words</text><style/></svg></p><p>and more</p></article>", "a drawing of words and more"),
+        ('<p class="open>the quote never ends</p><p>so it is read without</p>', "the quote never ends so it is read without"),
+        ("<p title='a > b'>quoted marks</p><p><!--> not cut <!-- this --> at all</p>", "quoted marks not cut at all"),
+        ("<p>x < y and <3 of <", "x < y and <3 of <"),
+        ("<p>lone</p>", "lone"),
+    ],
+)
+def test_page_details(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    pages = ["<div>x" * 160_000, '<a "' * 250_000, '<a ="' * 200_001, "<p>x" * 250_000, "<i>" * 300_000 + "</b>" * 100_000, "<div>" * 100_000 + "</x>" * 125_000, "<b><div>" * 120_000, "<p>the words of it</p><div>x</div>" * 30_000]
+    for page in pages:
+        start = time.process_time()
+        html_extraction.main_text(page)
+        assert time.process_time() - start < 10, page[:20]
+    deep = "<div>" * 2000 + "<p>words at the bottom of all</p>" + "</div>" * 2000 + "<p>and words after them</p>"
+    assert html_extraction.main_text(deep) == "words at the bottom of all and words after them"
+
+
 def test_min_cut_against_all_labellings():
     import itertools
     import random

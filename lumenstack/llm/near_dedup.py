@@ -13,26 +13,31 @@ probability (1 - 0.8**5)**40, about 1e-7.
 2. Members of a bucket that are still in different components are candidates. Two members with
    the same verified-against hub can only share shingles of the hub, or shingles that both have
    beyond it. So either the smaller of their numbers of shingles that are the hub's, or that over COMMON of its
-   members have beyond it, is large enough for a link already, or they share a rarer shingle beyond the hub, on which they are joined: near copies
-   of one text, each edited elsewhere, are not paired with each other. Other members of a bucket are paired
-   one by one, leaving out pairs within the bucket's largest component, and those that shingles
-   which no other open class holds rule out. All these bounds are exact. What they
+   members have beyond it, is large enough for a link already (these pairs are joined by ranges of set sizes, within which
+   alone that can be), or they share a rarer shingle beyond the hub, on which they are joined: near copies
+   of one text, each edited elsewhere, are not paired with each other. Other members of a bucket are paired,
+   by ranges of set sizes again, leaving out pairs within the bucket's largest component or of its main hub, and those that
+   shingles which no other open class holds rule out. All these bounds are exact. What they
    leave is verified, but for pairs whose estimate is far too low, and connected with the rest.
 
 No link between classes that share a band is lost: its ends are either connected by step 1 or paired in
-step 2. Pairs within a component never multiply.
+step 2. Pairs within a component never multiply. What is left of pairs grows with the number of texts that could
+be linked by these bounds: subsets of one text of over PERCENT of their size each are compared with each other.
 
 Null and empty texts have no shingles, and are components of their own. Texts with fewer
-than k words have one shingle, the whole sequence. Repeated rows belong to the same
-class. Rows with a null doc_id get the component of their class, or null if all ids in it
-are null. An empty table gives an empty result.
+than k words have one shingle, the whole sequence. Very long texts are taken whole; a task's memory grows with the longest one. Repeated rows belong to the same
+class. Rows of one doc_id with different texts are classes of their own, each linked by its own text. Rows with a null doc_id get
+the smallest doc_id of their component, or null if all ids in it are null. Ties have no say: a component's id is its smallest doc_id. Other columns are not read,
+so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -48,6 +53,8 @@ SLACK = 0.15
 BLOCK = 512
 #: How many members of a hub may share a shingle beyond it for the shingle to be joined on.
 COMMON = 64
+#: Width of a bin of set sizes, as a share of the size.
+FINE = 0.05
 
 _rng = np.random.default_rng(20240229)
 _FACTOR = _rng.integers(1, 1 << 63, M, np.int64).astype(U) * U(2) + U(1)
@@ -121,7 +128,7 @@ def shingle_sets(text: pa.Array, k: int) -> list[np.ndarray]:
 def _sketch(k):
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1), k)
+            sets = shingle_sets(batch.column(2), k)
             pair = np.zeros((len(sets), 2), np.int64)
             held = []
             for i, s in enumerate(sets):
@@ -131,14 +138,19 @@ def _sketch(k):
                 else:
                     held.append(None)
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(held, pa.binary())], ["doc_id", "n_shingles", "c1", "c2", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(held, pa.binary())], ["doc_id", "text_key", "n_shingles", "c1", "c2", "sketch"])
 
     return run
 
 
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sketch): c1 and c2 are a 128-bit digest of the set."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(k), "doc_id long, n_shingles long, c1 long, c2 long, sketch binary")
+    """(doc_id, text_key, n_shingles, c1, c2, sketch): c1 and c2 are a 128-bit digest of the set."""
+    return docs.select(F.col("doc_id").cast("long"), text_key(), "text").mapInArrow(_sketch(k), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, sketch binary")
 
 
 def _sets(k):
@@ -199,33 +211,52 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ia", "ib")
 
 
-def _same_hub(near: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _bin(size: Column) -> Column:
+    """A number that grows with a set's size, by one for each FINE of it."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(math.log(1 + FINE)))
+
+
+def _sized_pairs(left: DataFrame, right: DataFrame, group: str, percent: int) -> DataFrame:
+    """Rows (node, size, reach, ...) of left and right of one group whose sizes and reach, the most that they can share with
+    another set, allow a link; columns of left end with u, those of right with v. Joined by bins of sizes."""
+    share = percent / 100
+    most = F.least(F.col("sizeu") / share, F.col("reachu") * (1 + share) / share - F.col("sizeu"))
+    least = F.col("sizeu") * share
+    u = left.select(*(F.col(c).alias(c if c == group else f"{c}u") for c in left.columns)).withColumn("most", most).withColumn("least", least).where("most >= least - 1")
+    v = right.select(*(F.col(c).alias(c if c == group else f"{c}v") for c in right.columns)).withColumn("bin", _bin(F.col("sizev")))
+    u = u.withColumn("bin", F.explode(F.sequence(_bin(F.col("least") - 1), _bin(F.col("most") + 1)))).drop("most", "least")
+    possible = f"100 * least(reachu, reachv) >= {percent} * (sizeu + sizev - least(reachu, reachv))"
+    return u.join(v, [group, "bin"]).where(possible)
+
+
+def _same_hub(near: DataFrame, found: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """Pairs (u, v) of different components that were compared with the same hub and may be linked.
 
     near has (node, hub, same, size, extra), with a row for each hub itself.
     """
-    beyond = near.select("hub", "node", F.explode("extra").alias("item"))
-    counts = beyond.groupBy("hub", "item").agg(F.count("*").alias("n")).where("n > 1")
-    listed = beyond.join(counts, ["hub", "item"])
-    often = listed.where(f"n > {COMMON}").groupBy("hub", "node").agg(F.count("*").alias("often"))
-    parts = near.drop("extra").join(often, ["hub", "node"], "left").join(found, "node", "left")
     own = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
-    parts = parts.join(own, "hub", "left").select(
-        "hub", "node", "size", F.coalesce("component", "node").alias("part"),
-        (F.col("same") + F.coalesce("often", F.lit(0))).alias("reach"),
+    parts = near.join(found, "node", "left").join(own, "hub", "left").select(
+        "hub", "node", "size", "same", "extra", F.coalesce("component", "node").alias("part"),
         (F.coalesce("component", "node") != F.coalesce("hub_part", "hub")).alias("outside"),
     )
-    a = parts.where("outside").select("hub", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("reach").alias("cu"), F.col("size").alias("su"))
-    b = parts.select("hub", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("reach").alias("cv"), F.col("size").alias("sv"), "outside")
-    apart = "pu <> pv and (not outside or pu < pv)"
-    covered = a.join(b, "hub").where(f"{apart} and 100 * least(cu, cv) >= {percent} * (su + sv - least(cu, cv))").select("u", "v")
-    rare = listed.where(f"n <= {COMMON}").select("hub", "node", "item")
-    left = rare.join(a.withColumnRenamed("u", "node"), ["hub", "node"]).withColumnRenamed("node", "u")
-    right = rare.join(b.withColumnRenamed("v", "node"), ["hub", "node"]).withColumnRenamed("node", "v")
-    # An intersection has no more than the hub's part and the rarer shingles that both have.
-    most = left.join(right, ["hub", "item"]).where(apart).groupBy("hub", "u", "v").agg((F.count("*") + F.min(F.least("cu", "cv"))).alias("most"), F.min(F.col("su") + F.col("sv")).alias("sizes"))
-    shared = most.where(f"100 * most >= {percent} * (sizes - most)").select("u", "v")
-    return covered.union(shared)
+    parts = work.cut(parts, "hub-parts")
+    # A node's figures go with each of its shingles: no join gathers the shingles of a long text.
+    beyond = parts.select("hub", "node", "size", "same", "part", "outside", F.explode("extra").alias("item"))
+    counts = work.cut(beyond.groupBy("hub", "item").agg(F.count("*").alias("n")).where("n > 1"), "hub-counts")
+    listed = work.cut(beyond.join(counts, ["hub", "item"]), "hub-items")
+    often = work.cut(listed.where(f"n > {COMMON}").groupBy("hub", "node").agg(F.count("*").alias("often")), "hub-often")
+    reached = parts.drop("extra").join(often, ["hub", "node"], "left").select("hub", "node", "size", (F.col("same") + F.coalesce("often", F.lit(0))).alias("reach"), "part", "outside")
+    apart = "partu <> partv and (not outsidev or partu < partv)"
+    covered = _sized_pairs(reached.where("outside"), reached, "hub", percent).where(apart).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
+    rare = listed.where(f"n <= {COMMON}")
+    sides = [rare.select("hub", "item", *(F.col(c).alias(f"{c}{end}") for c in ("node", "size", "same", "part", "outside"))) for end in "uv"]
+    shared = sides[0].where("outsideu").join(sides[1], ["hub", "item"]).where(apart).groupBy("hub", "nodeu", "nodev").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("sizeu", "sizev", "sameu", "samev")))
+    for end in "uv":
+        shared = shared.join(often.select("hub", F.col("node").alias(f"node{end}"), F.col("often").alias(f"often{end}")), ["hub", f"node{end}"], "left")
+    # An intersection has no more than the hub's part, the commoner shingles and the rarer ones that both have.
+    most = F.col("n") + F.least(*(F.col(f"same{end}") + F.coalesce(f"often{end}", F.lit(0)) for end in "uv"))
+    shared = shared.withColumn("most", most).where(f"100 * most >= {percent} * (sizeu + sizev - most)")
+    return covered.union(shared.select("nodeu", "nodev"))
 
 
 def _shared_sizes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -235,22 +266,46 @@ def _shared_sizes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.select("node", F.size("items").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def _cross(parts: DataFrame, sets: DataFrame, near: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Pairs (u, v) of one bucket, but of different components and verified-against hubs, that may be linked. parts: (key, node, part)."""
+    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = work.cut(parts.join(work.cut(sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "several"), "key"), "mixed")
+    shared = work.cut(_shared_sizes(sets, mixed.select("node").distinct()), "shared")
+    # A set shares at most `common` shingles with any other; below the threshold on its own, it has no link.
+    hubs = near.select("node", F.col("hub").alias("near_hub"))
+    open_ = mixed.join(shared, "node").where(f"100 * common >= {percent} * size").join(hubs, "node", "left")
+    open_ = work.cut(open_.select("key", "node", "size", F.col("common").alias("reach"), "part", F.coalesce("near_hub", "node").alias("hub")), "open")
+    # Of a pair, one is outside the bucket's largest component, and one is of another hub than its main one: whichever are fewer are paired.
+    top = lambda by: open_.groupBy("key", by).agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", by)).alias(f"top_{by}"))
+    tops = work.cut(top("part").join(top("hub"), "key"), "tops")
+    fewer = F.when(F.col("top_part.n") >= F.col("top_hub.n"), F.col("part") != F.col("top_part.part")).otherwise(F.col("hub") != F.col("top_hub.hub"))
+    left = open_.join(tops, "key").where(fewer).select(*open_.columns)
+    return _sized_pairs(left, open_, "key", percent).where("partu <> partv and hubu <> hubv").select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document."""
+    """(doc_id, n_shingles, component_id, kept, text_key, chosen) for each row of docs.
+
+    kept: the row's id is its component's. chosen: the row is of the one text that stands for its component, also where
+    ids repeat or are null; rows without shingles are.
+    """
     work = Workspace(docs.sparkSession, "near")
     all_ = work.cut(sketches(docs, k), "sketches")
     full = all_.where("n_shingles > 0")
-    classes = work.cut(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
-    # node is a doc_id: one row of each class, also where rows repeat.
-    reps = work.cut(full.join(classes.select("node"), full.doc_id == classes.node, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "reps")
+    # One row of each class stands for it; node, a number that is fixed once it is written, names the class.
+    grouped = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("first_key"))
+    classes = work.cut(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first_row = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    of_class = classes.select("first_id", "first_key", "node")
+    reps = work.cut(full.join(of_class, first_row).select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "reps")
     piece = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keyed = reps.select("node", F.explode(piece).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     # Written first: a join of two plain exchanges is one whose hot buckets Spark can split.
     members = work.cut(keyed.join(work.cut(hubs, "hubs"), "key"), "members")
 
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    wanted = of_class.join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), text_key(), "text").join(wanted, first_row).select("node", "text").dropDuplicates(["node"])
     sets = work.cut(texts.mapInArrow(_sets(k), "node long, items array<long>"), "sets")
 
     first = _rated(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), reps, percent)
@@ -265,20 +320,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     found = work.cut(roots(links, work, "c1"), "components")
 
     parts = work.cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "parts")
-    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.part").alias("main"))
-    mixed = work.cut(parts.join(work.cut(main, "main"), "key"), "mixed")
-    shared = work.cut(_shared_sizes(sets, mixed.select("node").distinct()), "shared")
-    # A set keeps at most `common` shingles in any intersection; below the threshold on its own, it has no link.
-    hubs = near.select("node", F.col("hub").alias("near_hub"))
-    open_ = work.cut(mixed.join(shared, "node").where(f"100 * common >= {percent} * size").join(hubs, "node", "left"), "open")
-    minor = open_.where("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("size").alias("su"), F.col("common").alias("cu"), F.coalesce("near_hub", "node").alias("hu"))
-    other = open_.select("key", F.col("node").alias("v"), F.col("part").alias("pv"), "main", F.col("size").alias("sv"), F.col("common").alias("cv"), F.coalesce("near_hub", "node").alias("hv"))
-    # Two minor parts meet once, from the smaller; a minor part and the main one meet once.
-    possible = f"100 * least(cu, cv) >= {percent} * (su + sv - least(cu, cv))"
-    cross = minor.join(other, "key").where(f"pu <> pv and (pv = main or pu < pv) and hu <> hv and {possible}").select("u", "v")
+    cross = _cross(parts, sets, near, percent, work)
     itself = near.select(F.col("hub").alias("node"), "hub", F.col("hub_size").alias("same"), F.col("hub_size").alias("size"), F.array().cast("array<long>").alias("extra")).dropDuplicates(["node"])
-    same_hub = _same_hub(near.select("node", "hub", "same", "size", "extra").unionByName(itself), found, percent)
+    same_hub = _same_hub(near.select("node", "hub", "same", "size", "extra").unionByName(itself), found, percent, work)
     pairs = cross.union(same_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = work.cut(_with_sets(_rated(work.cut(pairs, "pairs"), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
     # Only components that the second step's links connect are left to join.
@@ -288,9 +332,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lone = merged.join(found, "node", "left_anti")
     moved = found.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
     final = moved.select("node", F.coalesce("new", "component").alias("component")).union(lone)
-    work.drop("members", "weight", "hubs", "main", "parts", "mixed", "open", "shared", "near", "rated", "sets", "pairs")
 
-    label = classes.join(final, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
-    joined = all_.select("doc_id", "n_shingles", "c1", "c2").join(label, ["c1", "c2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = work.cut(classes.join(final, "node", "left").select("c1", "c2", "node", "first_id", F.coalesce("component", "node").alias("component")), "ids")
+    # Written first, so that Spark can split a component that many classes are in.
+    named = ids.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("least"))
+    named = work.cut(named.select("component", "component_id", F.col("least.node").alias("chosen_node")), "named")
+    label = work.cut(ids.join(named, "component").select("c1", "c2", "component_id", "first_id", (F.col("node") == F.col("chosen_node")).alias("of_chosen")), "label")
+    work.drop("members", "weight", "hubs", "parts", "several", "mixed", "open", "tops", "shared", "near", "rated", "sets", "pairs", "reps", "hub-parts", "hub-counts", "hub-items", "hub-often", "more", "components", "merged", "ids", "named", "classes")
+
+    joined = all_.drop("sketch").join(label, ["c1", "c2"], "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))
+    chosen = ~some | (F.col("of_chosen") & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", chosen.alias("chosen")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "chosen")

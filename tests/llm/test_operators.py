@@ -66,6 +66,44 @@ def test_near_finds_chains_and_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 2, 80).collect()} == want
 
 
+def test_near_of_ids_with_several_texts(spark):
+    """Rows of one id with different texts, null ids, and words that only a good hash tells apart."""
+    one, other = _thue_morse()
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, a), (7, f"{a} end"), (3, f"{b} end"), (8, f"{one} " * 3), (9, f"{other} " * 3), (10, f"{other} " * 2), (None, b), (None, "alone here"), (None, "alone here"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = spark.createDataFrame([(t,) for _, t in rows], "text string").distinct().withColumn("text_key", near_dedup.text_key())
+    got = near_dedup.near_duplicates(df).join(key, "text_key").collect()
+    assert len(got) == len(rows)
+    want = {a: 5, f"{a} end": 5, b: 3, f"{b} end": 3, f"{one} " * 3: 8, f"{other} " * 3: 9, f"{other} " * 2: 10, "alone here": None}
+    for r in got:
+        assert r.component_id == want.get(r.text, r.doc_id) and r.kept == (r.doc_id == r.component_id)
+    assert sorted((str(r.doc_id), r.text[:3]) for r in got if r.chosen) == sorted([("5", "a0 "), ("5", "a0 "), ("3", "b0 "), ("8", one[:3]), ("9", other[:3]), ("10", other[:3]), ("None", "alo"), ("None", "alo"), ("4", "")])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_within_a_template(spark, seed):
+    """Texts of one template around the threshold: edits of their own and shared ones, parts of it, and more than it."""
+    import random
+
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rnd.sample(range(100), rnd.choice((3, 6, 9, 12))):
+            w[j] = rnd.choice((f"e{i}_{j}", f"shared{j}", f"few{j}_{i % 4}"))
+        if i % 5 == 0:
+            w = w[: rnd.randrange(70, 100)]
+        if i % 7 == 0:
+            w += [f"more{j}" for j in range(rnd.randrange(30))]
+        rows.append((i, " ".join(w)))
+    want = brute.near(rows)
+    assert 1 < len({c for _, c in want.values()}) < 150
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_roots_of_chains_and_stars(spark):
     chain = [(i, i - 1) for i in range(2, 40)]
     star = [(i, 100) for i in range(101, 140)] + [(200, 120)]

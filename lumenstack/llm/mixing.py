@@ -5,10 +5,11 @@ source's remaining budget falls into one bucket, which alone is refined, level b
 Everything below the threshold is taken; nothing is sorted. A source whose target exceeds
 its size is taken whole as often as fits, and by the threshold for the rest.
 
-Null text has size 0; a null source is a source of its own, last in order. Rows with the
+Null and empty text has size 0; very long texts are counted whole. A null source is a source of its own, last in order. Rows with the
 same doc_id share a hash and so a decision; a null doc_id hashes like any value. A
 document of size 0 is never taken. An empty table gives an empty result. Ties on a
-threshold fall to the side that brings the source nearer to its target.
+threshold fall to the side that brings the source nearer to its target. A column to keep that is named like one that
+the mix adds (size, source_size, target, taken) is returned as in_size and so on.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CEILING = (1, 2, 3), 3
 #: Bits of the hash that each level of refinement looks at.
 LEVELS, BITS = 3, 8
+#: Columns that the mix adds.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -57,16 +60,20 @@ def _same(a: str, b: str):
 
 
 def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """columns, with size in words and a 24-bit hash of doc_id."""
-    return docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 64 - LEVELS * BITS).alias("mix_hash"))
+    """columns in one struct, carried, beside source, size in words and a 24-bit hash of doc_id."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    carried = F.struct(*(F.col(f"`{c}`").alias(f"in_{c}" if c in ADDED else c) for c in columns))
+    return docs.select(carried.alias("carried"), "source", size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 64 - LEVELS * BITS).alias("mix_hash"))
 
 
-def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """(t_source, whole, threshold): how often a source is taken whole, and below which hash once more."""
+def thresholds(rows: DataFrame, goal: DataFrame, work: Workspace) -> DataFrame:
+    """(t_source, whole, threshold): how often a source is taken whole, and below which hash once more. What is known
+    of each source, a row, is written after each level, so that no level's plan holds the others'."""
     state = goal.select(
         F.col("source").alias("t_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
+    state = work.cut(state, "state")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         inside = rows.join(state, _same("source", "t_source") & (F.shiftright("mix_hash", shift + BITS) == F.col("prefix")))
@@ -84,6 +91,7 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
             F.coalesce("edge.bucket", F.shiftleft(F.col("prefix") + 1, BITS)).alias("prefix"),
             F.col("edge.mass").alias("mass"),
         )
+        state = work.cut(state, f"state-{level}")
     nearer = F.coalesce(F.col("rest") * 2 > F.col("mass"), F.lit(False))
     return state.select("t_source", "source_size", "target", "whole", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
@@ -91,9 +99,8 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """columns of each document, with size, source_size, target, and taken: words the mix takes, repeats counted."""
     work = Workspace(docs.sparkSession, "mixing")
-    names = list(dict.fromkeys([*columns, "source"]))
-    rows = work.cut(sized(docs, names), "sizes")
+    rows = work.cut(sized(docs, list(dict.fromkeys(columns))), "sizes")
     goal = work.cut(targets(rows, weights, ceiling), "targets")
-    edge = work.cut(thresholds(rows, goal), "thresholds")
+    edge = work.cut(thresholds(rows, goal, work), "thresholds")
     copies = F.col("whole") + (F.col("mix_hash") < F.col("threshold")).cast("long")
-    return rows.join(edge, _same("source", "t_source"), "left").select(*columns, "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return rows.join(edge, _same("source", "t_source"), "left").select("carried.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))

@@ -7,8 +7,10 @@ the difference of ranks, at most PROFILE for one the language lacks. The least d
 to the smaller name.
 
 Letters other than a-z are hashed to SLOTS codes, so an n-gram is a number below 128**3 and
-counting tables have a proven bound. Null texts and texts without a letter are `und`, with score 0.
-Without training documents, all are `und`. Repeated rows get equal results. An empty table gives an empty result.
+counting tables have a proven bound. Null and empty texts and texts without a letter are `und`, with score 0; very long ones are
+read whole. Without training documents, all are `und`. Repeated rows get equal results, whatever stands beside them. N-grams that are as
+frequent rank by their number. Profiles hold PROFILE rows a language, and are broadcast: the learned languages must be few enough for that.
+Columns to keep may have any name but lang_pred and score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tune
 from .words import flat
@@ -42,14 +46,16 @@ def letters() -> np.ndarray:
 
 def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a batch's letters and gaps, and where each value's begin. Every value begins and ends with a gap."""
-    data, offsets = flat(text)
+    big = pa.large_string()
+    data, offsets = flat(pc.binary_join_element_wise(pa.scalar(" ", big), pc.fill_null(pc.cast(text, big), ""), pa.scalar("", big)))
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     first = heads[offsets]
     code = letters()[points].astype(np.int32)
     gap = code == 0
     keep = ~gap | np.concatenate(([True], ~gap[:-1]))
-    keep[first[1:] - 1] = True  # the line feed that ends a value
+    # The space that begins a value stands for all gaps there; the line feed that ends one, or the gap before it, for those at its end.
+    keep[first[:-1]] = True
     kept = np.concatenate(([0], np.cumsum(keep)))
     return code[keep], kept[first]
 
@@ -128,10 +134,9 @@ def train(docs: DataFrame, profile: int = PROFILE) -> Profiles:
     counted = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", F.col("gram") % SALT).orderBy(F.desc("n"), "gram")
     best = counted.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= profile).select("lang", "gram", "n")
-    top: dict[str, list] = {}
-    for r in best.collect():  # at most SALT * profile rows a language
-        top.setdefault(r["lang"], []).append((-r["n"], r["gram"]))
-    return Profiles([(lang, gram, rank) for lang, x in top.items() for rank, (_, gram) in enumerate(sorted(x)[:profile])])
+    last = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ranked = best.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= profile)
+    return Profiles([(r["lang"], r["gram"], r["nth"] - 1) for r in ranked.collect()])  # at most `profile` rows a language
 
 
 def _predict(held, profile):
@@ -166,5 +171,5 @@ def predict(docs: DataFrame, model: Profiles, keep: tuple[str, ...] = ("doc_id",
     """The columns keep, lang_pred, and score: 1 less the distance, as a share of the largest possible."""
     tune(docs.sparkSession)
     src = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return src.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), profile), schema)

@@ -12,7 +12,9 @@ document is scored over all its passages; passages stream through the attention
 blocks with a running softmax, so a very long text needs no more memory.
 
 Null and empty texts are one passage without words. Without labels of both kinds, the score
-is the share of label 1 (0.5 without any). Repeated rows get equal scores. An empty table gives an empty result.
+is the share of label 1 (0.5 without any). A document whose labels disagree, or whose label is null or neither 0 nor 1, is not learnt from. Rows of one
+doc_id with different texts each count with its label. At most 2 * SAMPLE rows are fitted, in the order of a hash, so that a repeated
+doc_id cannot fill the driver. Repeated rows get equal scores. Columns to keep may have any name but score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tune
 from .words import SPACED, words
 
 PASSAGE, SAMPLE, MOST = 64, 4000, 104
-PAIRS, HIDDEN, EPOCHS, RATE = 64, 16, 30, 0.01
+PAIRS, HIDDEN, EPOCHS, RATE, DECAY = 64, 16, 30, 0.01, 1e-4
 #: Byte classes: lower, upper, digit, white space, non-ASCII, and each ASCII mark.
 _marks = [b for b in range(33, 127) if not chr(b).isalnum()]
 CLASS = np.full(256, 5 + len(_marks), np.int64)
@@ -55,7 +58,9 @@ def encode(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out[:, :CLASSES] = np.bincount(owner * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES) / size
     if len(w.data) > 1:
         pair = (w.data[:-1].astype(np.int64) * 31 + w.data[1:] * 17) % PAIRS
-        out[:, CLASSES : CLASSES + PAIRS] = np.bincount(owner[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS) / size
+        within = np.ones(len(pair), bool)
+        within[w.offsets[1:-1] - 1] = False  # the line feed that ends a text does not pair with the next one
+        out[:, CLASSES : CLASSES + PAIRS] = np.bincount((owner[:-1] * PAIRS + pair)[within], minlength=total * PAIRS).reshape(total, PAIRS) / size
     n = np.maximum(np.bincount(word_pass, minlength=total), 1)
     long = (w.end - w.start).astype(float)
     mean = np.bincount(word_pass, long, total) / n
@@ -109,6 +114,24 @@ class AttentionModel:
             top = new
         return _sigmoid(pooled / mass[:, None] @ self.p["c"] + self.p["b"][0])
 
+    def loss(self, h: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Weighted log loss of bags of inputs h (bag i from first[i]), with decay on the last layer, and its gradient."""
+        p, n = self.p, len(labels)
+        own = np.repeat(np.arange(n), np.diff(first))
+        t, s, a = self._attend(h)
+        e = np.exp(a - np.maximum.reduceat(a, first[:-1])[own])
+        att = e / np.add.reduceat(e, first[:-1])[own]
+        q = np.concatenate((h, h * h / 6), axis=1)
+        z = np.add.reduceat(q * att[:, None], first[:-1], axis=0)
+        logit = z @ p["c"] + p["b"][0]
+        d = (_sigmoid(logit) - labels) * weight / n
+        dz = d[:, None] * p["c"]
+        datt = (q * dz[own]).sum(axis=1)
+        da = att * (datt - np.add.reduceat(att * datt, first[:-1])[own])
+        grad = {"c": z.T @ d + DECAY * p["c"], "b": np.array([d.sum()]), "w": (t * s).T @ da, "V": (da[:, None] * p["w"] * s * (1 - t * t)).T @ h, "U": (da[:, None] * p["w"] * t * s * (1 - s)).T @ h}
+        value = ((np.logaddexp(0, logit) - labels * logit) * weight).sum() / n + DECAY / 2 * (p["c"] ** 2).sum()
+        return float(value), grad
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> None:
         """Adam over single bags in batches of 32, classes weighted to count alike."""
         rng, p = np.random.default_rng(seed), self.p
@@ -117,19 +140,8 @@ class AttentionModel:
         m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 32)):
-                h = np.concatenate([bags[i] for i in part])
                 first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in part])))
-                own = np.repeat(np.arange(len(part)), np.diff(first))
-                t, s, a = self._attend(h)
-                e = np.exp(a - np.maximum.reduceat(a, first[:-1])[own])
-                att = e / np.add.reduceat(e, first[:-1])[own]
-                q = np.concatenate((h, h * h / 6), axis=1)
-                z = np.add.reduceat(q * att[:, None], first[:-1], axis=0)
-                d = (_sigmoid(z @ p["c"] + p["b"][0]) - labels[part]) * weight[part] / len(part)
-                dz = d[:, None] * p["c"]
-                datt = (q * dz[own]).sum(axis=1)
-                da = att * (datt - np.add.reduceat(att * datt, first[:-1])[own])
-                grad = {"c": z.T @ d + 1e-4 * p["c"], "b": np.array([d.sum()]), "w": (t * s).T @ da, "V": (da[:, None] * p["w"] * s * (1 - t * t)).T @ h, "U": (da[:, None] * p["w"] * t * s * (1 - s)).T @ h}
+                _, grad = self.loss(np.concatenate([bags[i] for i in part]), first, labels[part], weight[part])
                 step += 1
                 for k, g in grad.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -156,7 +168,7 @@ def _score(held):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel:
     """Fit on labels (doc_id, label 0 or 1), of which at most about `sample` documents are taken."""
-    known = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").drop("other")
     n = known.count()
     share = min(1.0, sample / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -176,5 +188,5 @@ def score(docs: DataFrame, model: AttentionModel, keep: tuple[str, ...] = ("doc_
     """The columns keep and score, 0 to 1, of each document."""
     tune(docs.sparkSession)
     src = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double"
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -291,8 +292,9 @@ def test_licenses_are_told_apart(spark):
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_mixing(request, name):
     df = request.getfixturevalue(name)
-    rows = mixing.mix(df, ("doc_id", "source")).collect()
-    assert sorted(rows) == sorted(mixing.mix(df, ("doc_id", "source")).collect())
+    rows = mixing.mix(df, tuple(df.columns)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df, tuple(df.columns)).collect()))
+    assert rows[0].__fields__ == [f"in_{c}" if c == "size" else c for c in df.columns] + ["size", "source_size", "target", "taken"]
     sizes, biggest = {}, {}
     for r in rows:
         sizes[r.source] = sizes.get(r.source, 0) + r.size
@@ -324,6 +326,51 @@ def test_language(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def _plain_grams(text):
+    """Counts of a text's n-grams, in plain words: letters and gaps, one to three at a time."""
+    from collections import Counter
+
+    codes = [0]
+    for c in [*(text or ""), "\n"]:
+        low = ord(c.lower()[0]) if c.isalpha() else 0
+        code = 0 if not low else low - 96 if 97 <= low <= 122 else 27 + (low * 40503 >> 4) % language_id.SLOTS
+        if code or codes[-1]:
+            codes.append(code)
+    out = Counter()
+    for n, offset in ((1, 0), (2, 128), (3, 128 + 128**2)):
+        for a in range(len(codes) - n + 1):
+            number = sum(x * 128 ** (n - 1 - j) for j, x in enumerate(codes[a : a + n]))
+            out[number + offset] += number > 0
+    return {k: v for k, v in out.items() if v}
+
+
+def _ranked(counts, profile):
+    return {g: i for i, (_, g) in enumerate(sorted((-n, g) for g, n in counts.items())[:profile])}
+
+
+def test_language_against_brute_force(spark):
+    """Every document's language and score by plain counting, as the query has them."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(-1, " abc", "en"), (-2, "abc", "en"), (-3, None, "de"), (-4, "Ünïcode ßtraße", None), (-5, "\n\n?", "xx"), (-6, "İstanbul ÅÅ", "tr")]
+    rows = docs.union(spark.createDataFrame(extra, docs.schema)).collect()
+    totals = {}
+    for r in rows:
+        if r.lang is not None:
+            totals.setdefault(r.lang, Counter()).update(_plain_grams(r.text))
+    profiles = {lang: p for lang, c in totals.items() if (p := _ranked(c, 300))}
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    for r in language_id.predict(df, language_id.train(df), keep=("doc_id", "text")).collect():
+        own = _ranked(_plain_grams(r.text), 300)
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(abs(p.get(g, 10**6) - i), 300) for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - far[best] / (300 * len(own)), 9)), r.doc_id
+
+
 def test_language_of_odd_texts(spark, hostile):
     model = language_id.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
     got = {r.doc_id: r for r in language_id.predict(hostile, model).collect()}
@@ -355,20 +402,84 @@ def test_quality_learns_from_long_documents(spark):
 
 
 def test_attention_gradient():
-    """The learnt weights' gradient against finite differences, through one Adam-free step."""
+    """The gradient of every weight against finite differences of the loss."""
     import numpy as np
 
     q = quality_classifier
     rng = np.random.default_rng(3)
-    bags = [rng.normal(size=(n, q.WIDTH)) for n in (1, 3, 2, 5)]
+    sizes = [1, 3, 2, 5]
+    first, h = np.concatenate(([0], np.cumsum(sizes))), rng.normal(size=(sum(sizes), q.WIDTH))
+    labels, weight = np.array([1.0, 0, 1, 0]), np.array([0.7, 1.2, 0.7, 1.4])
     model = q.AttentionModel(np.zeros(q.WIDTH), np.ones(q.WIDTH), 0.5)
-    first = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+    model.p["c"] = rng.normal(0, 0.1, 2 * q.WIDTH)
+    _, grad = model.loss(h, first, labels, weight)
+    for name, value in model.p.items():
+        flat, got = value.reshape(-1), grad[name].reshape(-1)
+        for i in rng.choice(len(flat), min(len(flat), 12), replace=False):
+            kept, sides = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = kept + step
+                sides.append(model.loss(h, first, labels, weight)[0])
+            flat[i] = kept
+            assert got[i] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8), name
+
+
+def test_attention_learns_and_scores_in_blocks():
+    """The fit tells bags apart, and the streamed score is that of a plain re-statement."""
+    import numpy as np
+
+    q = quality_classifier
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(n, q.WIDTH)) for n in (1, 3, 2, 5)]
+    model = q.AttentionModel(np.full(q.WIDTH, 0.1), np.full(q.WIDTH, 1.3), 0.5)
     labels = np.array([1.0, 0, 1, 0])
     model.fit(bags, labels, epochs=60)
-    model.trained = True
+    first = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
     scores = model.scores(np.concatenate(bags), first)
     assert ((scores > 0.5) == (labels == 1)).all()
     assert np.allclose(scores, model.scores(np.concatenate(bags), first, block=2))
+    p = model.p
+    for bag, score in zip(bags, scores, strict=True):
+        h = np.clip((bag - 0.1) / 1.3, -6, 6)
+        gate = [float(p["w"] @ (np.tanh(p["V"] @ x) / (1 + np.exp(-(p["U"] @ x))))) for x in h]
+        a = np.exp(gate) / np.exp(gate).sum()
+        z = sum(w * np.concatenate((x, x * x / 6)) for w, x in zip(a, h, strict=True))
+        assert score == pytest.approx(1 / (1 + np.exp(-(z @ p["c"] + p["b"][0]))))
+
+
+def _plain_encoding(text):
+    """One passage's figures, counted plainly."""
+    q, raw = quality_classifier, text.encode()
+    words = [x for x in re.split(rb"[\x20\x09-\x0D]+", raw) if x]
+    out = [0.0] * q.WIDTH
+    size = len(raw) + 1  # with the line feed that ends a text
+    for b in raw + b"\n":
+        out[q.CLASS[b]] += 1 / size
+    for x, y in zip(raw, raw[1:] + b"\n", strict=True):
+        out[q.CLASSES + (x * 31 + y * 17) % q.PAIRS] += 1 / size
+    long = [len(x) for x in words]
+    mean = sum(long) / len(long)
+    return out[:-4] + [mean, (sum(x * x for x in long) / len(long) - mean**2) ** 0.5, sum(x <= 2 for x in long) / len(long), math.log1p(len(words))]
+
+
+def test_encoding_of_passages():
+    import numpy as np
+    import pyarrow as pa
+
+    q = quality_classifier
+    texts = ["Plain words, of a text!", "Zwölf große Ähren 12 % &", " ".join(f"w{i}" for i in range(150)), None]
+    got, first = q.encode(pa.array(texts))
+    assert first.tolist() == [0, 1, 2, 5, 6]
+    for i in range(2):
+        assert np.allclose(got[i][:-4], _plain_encoding(texts[i])[:-4]) and np.allclose(got[i][-4:], _plain_encoding(texts[i])[-4:])
+    assert np.allclose([x[-1] for x in got[2:5]], np.log1p([64, 64, 22]))
+
+
+def test_labels_that_disagree(spark):
+    """Documents labelled both ways, or neither 0 nor 1, are not learnt from."""
+    df = spark.createDataFrame([(i, "some words here") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (2, None), (3, 7)], "doc_id long, label int")
+    assert quality_classifier.train(df, labels).prior == 1.0
 
 
 def test_pages(spark):

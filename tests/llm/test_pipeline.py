@@ -25,3 +25,40 @@ def test_stages(spark):
     hit = brute.leaks(texts[3], bench)
     assert {i for i, _ in texts[4]} == {i for i, x in hit.items() if not x[1]}
     assert {r.doc_id for r in rows[5]} <= {i for i, _ in texts[4]} and all(r.taken > 0 for r in rows[5])
+
+
+def test_stages_on_hostile_rows(spark):
+    """Null and repeated ids, empty and long texts, columns with the stages' own names: each row is judged by its own text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    good = [r for r in docs.collect() if not brute.rules(r.text)[5] and len(r.text) < 4000][:40]
+    a, b, c, d = (r.text for r in good[:4])
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in good[4:]]
+    rows += [(None, a, "en", None), (None, a, "en", None), (None, "too short", "en", "s"), (None, None, None, None), (None, "", None, None)]
+    rows += [(10**9, b, "en", "s"), (10**9, c, "en", "s"), (10**9, b, "en", "s"), (10**9 + 1, f"{c} more", "en", "s"), (10**9 + 2, " ".join(f"{w}x{i}" for i in range(4000) for w in d.split()[:9]), "en", "s")]
+    names = ["size", "taken", "packed_row", "kept_id", "key", "row", "node", "a b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    work, tables = Workspace(spark, "hostile"), [df]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        tables.append(work.cut(stage(spark, tables[-1], SMALL), str(k)))
+    for t in tables[1:-1]:
+        assert t.columns == df.columns and all(r[n] == f"own {n}" for r in t.collect() for n in names)
+    kept, single, cut, clean, mixed = ([(r.doc_id, r.text) for r in t.collect()] for t in tables[1:])
+    assert all(not brute.rules(t)[5] for _, t in kept) and kept.count((10**9, b)) in (0, 2) and kept.count((None, a)) in (0, 2)
+    # One row of each group stays; groups by brute force, with a number for each row.
+    numbered = dict(enumerate(sorted(kept, key=lambda x: (x[0] is None, x[0] or 0))))
+    groups = brute.near([(i, t) for i, (_, t) in numbered.items()], 5)
+    assert len(single) == len({c for _, c in groups.values()})
+    assert {i for i, _ in single} == {numbered[c][0] for _, c in groups.values()}
+    assert sorted(x[-1] for x in brute.substring_rows([x for x in single if x[0] is not None])) == sorted(brute.sha(" ".join(brute.SPACED.findall(t))) for i, t in cut if i is not None)
+    assert [x for x in cut if x[0] is None] == [x for x in single if x[0] is None]
+    assert set(clean) <= set(cut) and set(mixed) <= set(clean)
+    assert tables[-1].columns == [f"in_{c}" if c in ("size", "taken") else c for c in df.columns] + ["size", "source_size", "target", "taken"]
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("1 = 0")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns[: len(docs.columns)] == docs.columns and out.count() == 0, name

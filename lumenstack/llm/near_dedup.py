@@ -9,7 +9,8 @@ probability (1 - 0.8**5)**40, about 1e-7.
 
 1. Every member of a bucket is paired with the bucket's smallest member, its hub; of the hubs that the
    joint likelihood estimate finds near, each member is compared in full with the one that most
-   members are near to, and links are connected.
+   members are near to, and links are connected. Those that are not connected to it are also compared with the member that has least of its own, of their hub and of a
+   bucket's main hub: near copies of one text, which are farther from each other than from it, find it so.
 2. Members of a bucket that are still in different components are candidates. Two members with
    the same verified-against hub can only share shingles of the hub, or shingles that both have
    beyond it. So either the smaller of their numbers of shingles that are the hub's, or that over COMMON of its
@@ -229,36 +230,63 @@ def _sized_pairs(left: DataFrame, right: DataFrame, group: str, percent: int) ->
     return u.join(v, [group, "bin"]).where(possible)
 
 
-def _same_hub(near: DataFrame, found: DataFrame, percent: int, work: Workspace) -> DataFrame:
+def _reached(near: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Shingles beyond the hub that two or more members have, with how many do (hub, item, n), and each member's figures
+    (hub, node, size, same, often), often being how many of the commoner ones it has."""
+    beyond = near.select("hub", "node", F.explode("extra").alias("item"))
+    counts = work.cut(beyond.groupBy("hub", "item").agg(F.count("*").alias("n")).where("n > 1"), "hub-counts")
+    often = beyond.join(counts.where(f"n > {COMMON}"), ["hub", "item"]).groupBy("hub", "node").agg(F.count("*").alias("often"))
+    figures = near.drop("extra").join(often, ["hub", "node"], "left").select("hub", "node", "size", "same", F.coalesce("often", F.lit(0)).alias("often"))
+    return counts, work.cut(figures, "reached")
+
+
+def _central(figures: DataFrame, members: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs (u, v) of nodes with a central member that they are not connected to: of the hub that they were compared with, or of the hub
+    that most members of a bucket were compared with. The central member is the one that has least of its own: if all are
+    copies of one text, edited here and there, that is the text, or near to it."""
+    others = figures.where("node <> hub")
+    center = work.cut(others.groupBy("hub").agg(F.min_by("node", (F.col("size") - F.col("same") - F.col("often")) / F.col("size")).alias("v")), "center")
+    of_hub = others.select("hub", F.col("node").alias("u")).join(center, "hub").select("u", "v")
+    hub_of = others.select("node", "hub").unionByName(center.select(F.col("hub").alias("node"), "hub"))
+    main = members.select("key", "node").join(hub_of, "node").groupBy("key", "hub").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "hub")).alias("top"))
+    of_key = work.cut(main.select("key", F.col("top.hub").alias("hub")).join(center, "hub").select("key", "v"), "key-center")
+    pairs = of_hub.union(members.select("key", F.col("node").alias("u")).join(of_key, "key").select("u", "v")).distinct()
+    part = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    apart = pairs.join(part("u"), "u", "left").join(part("v"), "v", "left").where("u <> v and coalesce(cu, u) <> coalesce(cv, v)")
+    return work.cut(apart.select("u", "v"), "central-pairs")
+
+
+def _same_hub(near: DataFrame, counts: DataFrame, figures: DataFrame, found: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """Pairs (u, v) of different components that were compared with the same hub and may be linked.
 
     near has (node, hub, same, size, extra), with a row for each hub itself.
     """
-    own = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
-    parts = near.join(found, "node", "left").join(own, "hub", "left").select(
-        "hub", "node", "size", "same", "extra", F.coalesce("component", "node").alias("part"),
-        (F.coalesce("component", "node") != F.coalesce("hub_part", "hub")).alias("outside"),
-    )
-    parts = work.cut(parts, "hub-parts")
-    # A node's figures go with each of its shingles: no join gathers the shingles of a long text.
-    beyond = parts.select("hub", "node", "size", "same", "part", "outside", F.explode("extra").alias("item"))
-    counts = work.cut(beyond.groupBy("hub", "item").agg(F.count("*").alias("n")).where("n > 1"), "hub-counts")
-    listed = work.cut(beyond.join(counts, ["hub", "item"]), "hub-items")
-    often = work.cut(listed.where(f"n > {COMMON}").groupBy("hub", "node").agg(F.count("*").alias("often")), "hub-often")
-    reached = parts.drop("extra").join(often, ["hub", "node"], "left").select("hub", "node", "size", (F.col("same") + F.coalesce("often", F.lit(0))).alias("reach"), "part", "outside")
+    parts = figures.join(found, "node", "left").select("hub", "node", "size", "same", "often", F.coalesce("component", "node").alias("part"))
+    sizes = parts.groupBy("hub", "part").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    parts = work.cut(parts.join(sizes.select("hub", F.col("top.part").alias("main")), "hub").withColumn("outside", F.col("part") != F.col("main")).drop("main"), "hub-parts")
     apart = "partu <> partv and (not outsidev or partu < partv)"
+    reached = parts.select("hub", "node", "size", (F.col("same") + F.col("often")).alias("reach"), "part", "outside")
     covered = _sized_pairs(reached.where("outside"), reached, "hub", percent).where(apart).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
-    rare = listed.where(f"n <= {COMMON}")
-    sides = [rare.select("hub", "item", *(F.col(c).alias(f"{c}{end}") for c in ("node", "size", "same", "part", "outside"))) for end in "uv"]
-    shared = sides[0].where("outsideu").join(sides[1], ["hub", "item"]).where(apart).groupBy("hub", "nodeu", "nodev").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("sizeu", "sizev", "sameu", "samev")))
-    for end in "uv":
-        shared = shared.join(often.select("hub", F.col("node").alias(f"node{end}"), F.col("often").alias(f"often{end}")), ["hub", f"node{end}"], "left")
+    # A node's figures go with each of its shingles: no join gathers the shingles of a long text.
+    beyond = near.select("hub", "node", "extra").join(parts, ["hub", "node"]).select("hub", "node", "size", "same", "often", "part", "outside", F.explode("extra").alias("item"))
+    rare = work.cut(beyond.join(counts.where(f"n <= {COMMON}"), ["hub", "item"]), "hub-items")
+    sides = [rare.select("hub", "item", *(F.col(c).alias(f"{c}{end}") for c in ("node", "size", "same", "often", "part", "outside"))) for end in "uv"]
+    shared = sides[0].where("outsideu").join(sides[1], ["hub", "item"]).where(apart).groupBy("hub", "nodeu", "nodev").agg(F.count("*").alias("n"), *(F.first(f"{c}{end}").alias(f"{c}{end}") for c in ("size", "same", "often") for end in "uv"))
     # An intersection has no more than the hub's part, the commoner shingles and the rarer ones that both have.
-    most = F.col("n") + F.least(*(F.col(f"same{end}") + F.coalesce(f"often{end}", F.lit(0)) for end in "uv"))
-    shared = shared.withColumn("most", most).where(f"100 * most >= {percent} * (sizeu + sizev - most)")
+    shared = shared.withColumn("most", F.expr("n + least(sameu + oftenu, samev + oftenv)")).where(f"100 * most >= {percent} * (sizeu + sizev - most)")
     return covered.union(shared.select("nodeu", "nodev"))
 
 
+def _joined(found: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Components (node, component) with further links (u, v): only components that those connect are joined anew."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    bridges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    merged = work.cut(components(bridges, work, name), f"{name}-merged")
+    lone = merged.join(found, "node", "left_anti")
+    moved = found.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
+    return work.cut(moved.select("node", F.coalesce("new", "component").alias("component")).union(lone), f"{name}-all")
+
+
 def _shared_sizes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, size, common): set sizes, and how many of a set's shingles another of the nodes holds too."""
     held = sets.join(nodes, "node", "left_semi")
@@ -294,7 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = all_.where("n_shingles > 0")
     # One row of each class stands for it; node, a number that is fixed once it is written, names the class.
     grouped = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("first_key"))
-    classes = work.cut(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # In the order of ids, so that hubs are what others were copied from, where copies come later.
+    classes = work.cut(work.cut(grouped, "grouped").orderBy(F.asc_nulls_last("first_id")).withColumn("node", F.monotonically_increasing_id()), "classes")
     first_row = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     of_class = classes.select("first_id", "first_key", "node")
     reps = work.cut(full.join(of_class, first_row).select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "reps")
@@ -318,27 +347,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = near.where(f"100 * same >= {percent} * (size + hub_size - same)").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     # One link a node, to a smaller one.
     found = work.cut(roots(links, work, "c1"), "components")
+    itself = near.select(F.col("hub").alias("node"), "hub", F.col("hub_size").alias("same"), F.col("hub_size").alias("size"), F.array().cast("array<long>").alias("extra")).dropDuplicates(["node"])
+    grouped_ = near.select("node", "hub", "same", "size", "extra").unionByName(itself)
+    counts, figures = _reached(grouped_, work)
+    central = work.cut(_with_sets(_rated(_central(figures, members, found, work), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "central")
+    found = _joined(found, central, work, "c2")
 
     parts = work.cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "parts")
-    cross = _cross(parts, sets, near, percent, work)
-    itself = near.select(F.col("hub").alias("node"), "hub", F.col("hub_size").alias("same"), F.col("hub_size").alias("size"), F.array().cast("array<long>").alias("extra")).dropDuplicates(["node"])
-    same_hub = _same_hub(near.select("node", "hub", "same", "size", "extra").unionByName(itself), found, percent, work)
-    pairs = cross.union(same_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = work.cut(_with_sets(_rated(work.cut(pairs, "pairs"), reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
-    # Only components that the second step's links connect are left to join.
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    bridges = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    merged = work.cut(components(bridges, work, "c2"), "merged")
-    lone = merged.join(found, "node", "left_anti")
-    moved = found.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
-    final = moved.select("node", F.coalesce("new", "component").alias("component")).union(lone)
+    pairs = _cross(parts, sets, near, percent, work).union(_same_hub(grouped_, counts, figures, found, percent, work))
+    pairs = work.cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    more = work.cut(_with_sets(_rated(pairs, reps, percent), sets).mapInArrow(_confirm(percent), "u long, v long"), "more")
+    final = _joined(found, more, work, "c3")
 
     ids = work.cut(classes.join(final, "node", "left").select("c1", "c2", "node", "first_id", F.coalesce("component", "node").alias("component")), "ids")
     # Written first, so that Spark can split a component that many classes are in.
     named = ids.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("least"))
     named = work.cut(named.select("component", "component_id", F.col("least.node").alias("chosen_node")), "named")
     label = work.cut(ids.join(named, "component").select("c1", "c2", "component_id", "first_id", (F.col("node") == F.col("chosen_node")).alias("of_chosen")), "label")
-    work.drop("members", "weight", "hubs", "parts", "several", "mixed", "open", "tops", "shared", "near", "rated", "sets", "pairs", "reps", "hub-parts", "hub-counts", "hub-items", "hub-often", "more", "components", "merged", "ids", "named", "classes")
+    work.drop("members", "weight", "hubs", "parts", "several", "mixed", "open", "tops", "shared", "near", "rated", "sets", "pairs", "reps", "hub-parts", "hub-counts", "hub-items", "reached", "center", "key-center", "central-pairs", "central", "more", "components", "c2-merged", "c2-all", "c3-merged", "c3-all", "ids", "named", "grouped", "classes")
 
     joined = all_.drop("sketch").join(label, ["c1", "c2"], "left")
     some = F.col("n_shingles") > 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify_dir
 from ..functions.paths import dir_part, name_part, strip_extension
 from ..operators.albums import csv_members, json_members
-from .files import open_entry
+from .files import endpoint_of, open_entry
 
 READ = "album string, title string, position long, file_name string"
 
@@ -40,8 +40,8 @@ def parse_json_album(raw: bytes) -> str | None:
     return found["title"].strip() if isinstance(found["title"], str) else ""
 
 
-def _rows(uri: str, path: str, kind: str) -> Iterator[tuple]:
-    with open_entry(uri, path) as f:
+def _rows(uri: str, path: str, kind: str, endpoint: str | None) -> Iterator[tuple]:
+    with open_entry(uri, path, endpoint) as f:
         raw = f.read()
     if kind == "AlbumCsv":
         yield from ((path, None, i, name) for i, name in enumerate(parse_csv_album(raw)))
@@ -52,18 +52,19 @@ def _rows(uri: str, path: str, kind: str) -> Iterator[tuple]:
 def read_albums(listed: DataFrame, uri: str) -> DataFrame:
     """READ of the album files of a listing: one row a member of a CSV album, one row a JSON album.
     Files that cannot be read, and the year folders' descriptions, are no albums."""
+    endpoint = endpoint_of(listed.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, kind in frame.itertuples(index=False):
                 try:
-                    rows += list(_rows(uri, path, kind))
+                    rows += list(_rows(uri, path, kind, endpoint))
                 except (OSError, KeyError, csv.Error):  # an unreadable file is no album
                     continue
             yield pd.DataFrame(rows, columns=["album", "title", "position", "file_name"])
 
-    year = F.coalesce(classify_dir(dir_part(F.col("path")))[0] == "GpPhotosFromYear", F.lit(False))
+    year = F.coalesce(classify_dir(dir_part(F.col("path")))["type"] == "GpPhotosFromYear", F.lit(False))
     wanted = listed.where(F.col("quick_file_type").isin("AlbumCsv", "AlbumJson")).where((F.col("quick_file_type") == "AlbumCsv") | ~year)
     return wanted.select("path", "quick_file_type").repartition(F.col("path")).mapInPandas(run, READ)
 

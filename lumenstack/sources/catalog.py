@@ -1,7 +1,8 @@
 """The relational catalog: eight Parquet tables under one folder, with a version beside them.
 
-Parquet has no MERGE, so changes are joins: a new table is written beside the old one
-and a pointer file switches over, so readers never see half a change.
+Parquet has no MERGE, so changes are joins: a new table is written beside the old one, and a new
+pointer, made in one step and never overwritten, switches over, so readers never see half a change. The table before the last is kept:
+who began to read it can end.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ TABLES: dict[str, str] = {
     "classified_file": "classified_file_id long, run_id long, file_path string, quick_file_type string, known_file_type string, known_file_type_value string, file_size long",
     "classified_dir": "classified_dir_id long, run_id long, dir_path string, known_dir_type string, known_dir_value string",
 }
+TABLE_COLUMNS = {name: [c.split(" ")[0] for c in ddl.split(", ")] for name, ddl in TABLES.items()}
 KEYS = {"media_item": ["media_item_id"], "person": ["person_id"], "media_person": ["media_item_id", "person_id"], "album": ["album_id"], "album_file": ["album_id", "media_item_id"]}
 
 
@@ -45,6 +47,8 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str, clear: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
+        #: What the last command counted.
+        self.counters: dict = {}
         found = self._text("version")
         if clear:
             self._delete("")
@@ -81,18 +85,25 @@ class Catalog:
         path, fs = self._path(name)
         fs.delete(path, True)
 
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, folder) of a table's versions, the current one last. A pointer's own name says it all: pointer-NUMBER-FOLDER."""
+        path, fs = self._path(name)
+        found = [s.getPath().getName().split("-") for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(x[1]), x[2]) for x in found if x[0] == "pointer")
+
     def read(self, name: str) -> DataFrame:
-        now = self._text(f"{name}/current")
-        if now is None:
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{now}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{versions[-1][1]}")
 
     def _write(self, name: str, rows: DataFrame) -> None:
-        before, after = self._text(f"{name}/current"), uuid.uuid4().hex
-        rows.select(*self.read(name).columns).write.parquet(f"{self.root}/{name}/{after}")
-        self._put(f"{name}/current", after)
-        if before:
-            self._delete(f"{name}/{before}")
+        versions, after = self._versions(name), uuid.uuid4().hex
+        rows.select(*TABLE_COLUMNS[name]).write.parquet(f"{self.root}/{name}/{after}")
+        self._put(f"{name}/pointer-{versions[-1][0] + 1 if versions else 1:012d}-{after}", "")
+        for number, folder in versions[:-1]:
+            self._delete(f"{name}/pointer-{number:012d}-{folder}")
+            self._delete(f"{name}/{folder}")
 
     def upsert(self, name: str, new: DataFrame) -> None:
         self._write(name, upserted(self.read(name), new.dropDuplicates(KEYS[name]), KEYS[name]))

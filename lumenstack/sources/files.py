@@ -1,130 +1,61 @@
-"""Directories, zip files and object stores as one kind of source: a listing, and bytes by path.
+"""Listings of sources: directories, object stores and zip files.
 
-Listing runs on the driver, one row a file; bytes are read in the tasks that use them.
-Object stores go through Spark's own file systems (s3a).
+The driver lists directories until it knows WIDE of them; tasks list what lies below those. What the
+driver holds is bounded by WIDE directories' files, but for a zip file, whose index has to be read in one piece.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import zipfile
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import islice
 from typing import IO
-from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.media_types import quick_file_type
+from .places import S3Uri, kind_of, open_input, safe_name, walk, zip_times
 
-LISTING = "path string, file_size long, modified long, created long, scan_ordinal long"
-#: Entries of zip files above this size are read through a temporary file.
-IN_MEMORY = 100 << 20
-
-
-@dataclass(frozen=True)
-class S3Uri:
-    """A bucket and a prefix, which ends with a slash unless empty."""
-
-    bucket: str
-    prefix: str
-
-    @classmethod
-    def parse(cls, uri: str) -> S3Uri:
-        parts = urlsplit(uri)
-        if parts.scheme != "s3" or not parts.netloc:
-            raise ValueError(f"{uri!r} is not of the form s3://bucket/prefix")
-        prefix = parts.path.strip("/")
-        return cls(parts.netloc, f"{prefix}/" if prefix else "")
-
-    def key_for(self, relative: str) -> str:
-        return self.prefix + relative
-
-    def relative_of(self, key: str) -> str | None:
-        return key[len(self.prefix) :] if key.startswith(self.prefix) else None
-
-
-def kind_of(uri: str) -> str:
-    """s3, dir or zip; what does not exist is an error."""
-    if uri.startswith("s3:"):
-        S3Uri.parse(uri)
-        return "s3"
-    if os.path.isdir(uri):
-        return "dir"
-    if os.path.isfile(uri):
-        return "zip"
-    raise FileNotFoundError(uri)
+__all__ = ["S3Uri", "endpoint_of", "kind_of", "listing", "open_entry", "safe_name", "zip_times"]
 
-
-def _walk(root: str) -> Iterator[tuple[str, int, int | None, int | None]]:
-    """Files below a directory, hidden ones too; directories that cannot be read are skipped, failed stats have no times."""
-    for folder, _, names in os.walk(root):
-        for name in names:
-            full = os.path.join(folder, name)
-            path = os.path.relpath(full, root).replace(os.sep, "/")
-            try:
-                s = os.stat(full)
-                birth = getattr(s, "st_birthtime", None)
-                yield path, s.st_size, int(s.st_mtime * 1000), int(birth * 1000) if birth else None
-            except OSError:
-                yield path, 0, None, None
-
-
-def zip_times(extra: bytes) -> tuple[int | None, int | None]:
-    """(modified, created) in ms from the extended timestamp field; the DOS time has no zone and is not used."""
-    at = 0
-    while at + 4 <= len(extra):
-        tag, size = int.from_bytes(extra[at : at + 2], "little"), int.from_bytes(extra[at + 2 : at + 4], "little")
-        body = extra[at + 4 : at + 4 + size]
-        if tag == 0x5455 and body:
-            out, pos = [None, None, None], 1
-            for bit in range(3):
-                if body[0] >> bit & 1 and pos + 4 <= len(body):
-                    out[bit] = int.from_bytes(body[pos : pos + 4], "little", signed=True) * 1000
-                    pos += 4
-            return out[0], out[2]
-        at += 4 + size
-    return None, None
-
-
-def safe_name(name: str) -> bool:
-    """Whether a zip entry's name stays below the root."""
-    return bool(name) and not name.startswith(("/", "\\")) and ":" not in name.split("/")[0] and ".." not in name.replace("\\", "/").split("/")
+LISTING = "path string, file_size long, modified long, created long, scan_ordinal long"
+WIDE, ROWS = 256, 10_000
+#: Numbers of a task's rows begin at multiples of this.
+STRIDE = 1 << 40
 
 
-def _entries(path: str) -> Iterator[tuple[str, int, int | None, int | None]]:
-    with zipfile.ZipFile(path) as z:
-        for info in z.infolist():
-            if not info.is_dir() and safe_name(info.filename):
-                yield info.filename, info.file_size, *zip_times(info.extra)
+def endpoint_of(spark: SparkSession) -> str | None:
+    """The object store's endpoint, where it is not the usual one: Spark's own setting for it."""
+    return spark.conf.get("spark.hadoop.fs.s3a.endpoint", None)
 
 
 def listing(spark: SparkSession, uri: str) -> DataFrame:
-    """(path, file_size, modified, created, scan_ordinal, quick_file_type) of a source."""
-    kind = kind_of(uri)
-    if kind == "s3":
-        s3 = S3Uri.parse(uri)
-        root = f"s3a://{s3.bucket}/{s3.prefix}"
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), F.col("length").alias("file_size"), F.unix_millis("modificationTime").alias("modified"), F.lit(None).cast("long").alias("created"))
-        rows = found.withColumn("scan_ordinal", F.monotonically_increasing_id())
-    else:
-        found = _walk(uri) if kind == "dir" else _entries(uri)
-        rows = spark.createDataFrame([(*x, i) for i, x in enumerate(found)], LISTING)
-    return rows.withColumn("quick_file_type", quick_file_type(F.col("path")))
-
-
-def open_entry(uri: str, path: str) -> IO[bytes]:
-    """A seekable stream of one file of a directory or zip."""
-    if os.path.isdir(uri):
-        full = os.path.realpath(os.path.join(uri, path))
-        if not full.startswith(os.path.realpath(uri) + os.sep):
-            raise PermissionError(path)
-        return open(full, "rb")
-    with zipfile.ZipFile(uri) as z, z.open(path) as entry:
-        out = tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
-        shutil.copyfileobj(entry, out, 1 << 20)
-        out.seek(0)
-        return out
+    """(path, file_size, modified, created, scan_ordinal, quick_file_type) of a source, numbered in a fixed order."""
+    endpoint = endpoint_of(spark)
+    place, rows, todo = open_input(uri, endpoint), [], deque([""])
+    while todo and len(todo) < WIDE:
+        files, folders = place.children(todo.popleft())
+        rows += files
+        todo += folders
+    found = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], LISTING)
+    if todo:
+
+        def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            here = open_input(uri, endpoint)
+            for frame in frames:
+                for folder, number in frame.itertuples(index=False):
+                    numbered = ((*x, number * STRIDE + i) for i, x in enumerate(walk(here, folder)))
+                    while part := list(islice(numbered, ROWS)):
+                        out = pd.DataFrame(part, columns=[c.split(" ")[0] for c in LISTING.split(", ")])
+                        yield out.astype({"modified": "Int64", "created": "Int64"})
+
+        dealt = spark.createDataFrame([(x, i + 1) for i, x in enumerate(todo)], "folder string, number long").repartitionById(len(todo), (F.col("number") - 1).cast("int"))
+        found = found.unionByName(dealt.mapInPandas(below, LISTING))
+    return found.withColumn("quick_file_type", quick_file_type(F.col("path")))
+
+
+def open_entry(uri: str, path: str, endpoint: str | None = None) -> IO[bytes]:
+    """A seekable stream of one file of a source."""
+    return open_input(uri, endpoint).open(path)

@@ -1,16 +1,14 @@
-"""Writing to an output directory that all executors see: media copies, notes and album lists.
+"""Writing to an output, a directory that all executors see or an object store: media copies, notes and album lists.
 
-Each function returns one row a file with its status, so a failure stops no other file. A file is
-written beside its place and moved there, so a task that is run again leaves no half file.
+Each function returns one row a file with its status, so a failure stops no other file, and a task that is
+run again leaves no half file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import uuid
 from collections.abc import Callable, Iterator
+from io import BytesIO
 from typing import IO
 
 import pandas as pd
@@ -18,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.notes import album_markdown, merged_note
-from .files import open_entry, safe_name
+from .files import endpoint_of, open_entry
+from .places import Folder, Store, open_output
 
 STATUS = "output_path string, status string"
 BLOCK = 1 << 20
@@ -31,34 +30,19 @@ def _digest(f: IO[bytes]) -> str:
     return digest.hexdigest()
 
 
-def target(root: str, path: str) -> str:
-    if not safe_name(path):
-        raise PermissionError(path)
-    return os.path.join(root, path)
-
-
-def put(root: str, path: str, source: IO[bytes], dry_run: bool = False, modified: int | None = None) -> str:
-    """written, unchanged (the same bytes are there) or dry-run."""
-    full = target(root, path)
-    if os.path.isfile(full):
-        with open(full, "rb") as old:
-            same = _digest(old) == _digest(source)
-        if same:
+def put(place: Folder | Store, path: str, source: IO[bytes], dry_run: bool = False, modified: int | None = None, known: str | None = None) -> str:
+    """written, unchanged (the same bytes are there) or dry-run. known: the recorded checksum of what is there, which is not read then."""
+    size = place.size(path)
+    if size is not None:
+        if known is None:
+            with place.open(path) as old:
+                known = _digest(old)
+        if known == _digest(source):
             return "unchanged"
         source.seek(0)
     if dry_run:
         return "dry-run"
-    os.makedirs(os.path.dirname(full), exist_ok=True)
-    beside = f"{full}.{uuid.uuid4().hex}.part"
-    try:
-        with open(beside, "wb") as out:
-            shutil.copyfileobj(source, out, BLOCK)
-        if modified is not None:
-            os.utime(beside, (modified / 1000, modified / 1000))
-        os.replace(beside, full)
-    finally:
-        if os.path.exists(beside):
-            os.remove(beside)
+    place.write(path, source, modified)
     return "written"
 
 
@@ -80,38 +64,43 @@ def _each(rows: DataFrame, schema: str, one: Callable[[dict], tuple]) -> DataFra
 
 
 def copy_media(plan: DataFrame, uri: str, root: str, dry_run: bool = False) -> DataFrame:
-    """STATUS of plan (path, output_path, modified): bytes of a source, copied with their time."""
+    """STATUS of plan (path, output_path, modified): bytes of a source, copied with their time where the output keeps one."""
+    endpoint = endpoint_of(plan.sparkSession)
 
     def one(row: dict) -> tuple:
-        with open_entry(uri, row["path"]) as f:
-            return row["output_path"], put(root, row["output_path"], f, dry_run, row["modified"] and int(row["modified"]))
+        with open_entry(uri, row["path"], endpoint) as f:
+            return row["output_path"], put(open_output(root, endpoint), row["output_path"], f, dry_run, row["modified"] and int(row["modified"]))
 
     return _each(plan.select("output_path", "path", "modified").repartition(F.col("output_path")), STATUS, one)
 
 
-def _existing(root: str, path: str) -> str | None:
-    full = target(root, path)
-    if not os.path.isfile(full):
+def _existing(place: Folder | Store, path: str) -> str | None:
+    if place.size(path) is None:
         return None
-    with open(full, "rb") as f:
+    with place.open(path) as f:
         return f.read().decode("utf-8", "replace")
 
 
-def _put_text(root: str, path: str, text: str | None, dry_run: bool) -> str:
-    from io import BytesIO
+def _put_text(place: Folder | Store, path: str, text: str | None, dry_run: bool) -> str:
+    return "unchanged" if text is None else put(place, path, BytesIO(text.encode()), dry_run)
 
-    return "unchanged" if text is None else put(root, path, BytesIO(text.encode()), dry_run)
+
+def note_text(row: dict, existing: str | None) -> str | None:
+    """A note's text, or None where nothing changes."""
+    arrays = {key: [] if row[c] is None else list(row[c]) for key, c in (("original-paths", "original_path"), ("people", "people"), ("albums", "albums"))}
+    scalars = {"datetime": row["datetime"], "checksum": row["long_hash"], "latitude": row["latitude"], "longitude": row["longitude"], "live-photo-video": row["live_photo_video"]}
+    return merged_note(existing, row["media_name"], scalars, arrays)
 
 
 def write_notes(notes: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
     """STATUS of notes (note_path, media_name, long_hash, datetime, latitude, longitude, original_path, people,
     albums, live_photo_video). Rows that share a note are merged one after the other, in hash order."""
+    endpoint = endpoint_of(notes.sparkSession)
 
     def one(row: dict) -> tuple:
-        arrays = {key: [] if row[c] is None else list(row[c]) for key, c in (("original-paths", "original_path"), ("people", "people"), ("albums", "albums"))}
-        scalars = {"datetime": row["datetime"], "checksum": row["long_hash"], "latitude": row["latitude"], "longitude": row["longitude"], "live-photo-video": row["live_photo_video"]}
-        text = merged_note(_existing(root, row["note_path"]), row["media_name"], scalars, arrays)
-        return row["note_path"], _put_text(root, row["note_path"], text, dry_run)
+        place = open_output(root, endpoint)
+        text = note_text(row, _existing(place, row["note_path"]))
+        return row["note_path"], _put_text(place, row["note_path"], text, dry_run)
 
     dealt = notes.repartition(F.col("note_path")).sortWithinPartitions("note_path", "long_hash")
     return _each(dealt.select("note_path", *(c for c in notes.columns if c != "note_path")), STATUS.replace("output_path", "note_path"), one)
@@ -120,27 +109,38 @@ def write_notes(notes: DataFrame, root: str, dry_run: bool = False) -> DataFrame
 def write_album_notes(albums: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
     """STATUS of albums (note_path, title, album_ordinal, targets), each with a target; later albums replace
     earlier ones of the same note. Notes below the marker are kept."""
+    endpoint = endpoint_of(albums.sparkSession)
 
     def one(row: dict) -> tuple:
-        text = album_markdown(row["title"], list(row["targets"]), _existing(root, row["note_path"]) or "")
-        return row["note_path"], _put_text(root, row["note_path"], text, dry_run)
+        place = open_output(root, endpoint)
+        text = album_markdown(row["title"], list(row["targets"]), _existing(place, row["note_path"]) or "")
+        return row["note_path"], _put_text(place, row["note_path"], text, dry_run)
 
     dealt = albums.repartition(F.col("note_path")).sortWithinPartitions("note_path", "album_ordinal")
     return _each(dealt.select("note_path", "title", "targets"), STATUS.replace("output_path", "note_path"), one)
 
 
-def hashes(paths: DataFrame, root: str) -> DataFrame:
-    """(path, existing_hash) of files of an output; null where one cannot be read."""
+def hashes(paths: DataFrame, root: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(path, existing_hash) of files of an output (path, file_size, modified); null where one cannot be read.
+
+    manifest (path, file_size, modified, hash): checksums recorded before. A file of the same size and time is not read again.
+    """
+    endpoint = endpoint_of(paths.sparkSession)
+    known = paths.select("path").withColumn("hash", F.lit(None).cast("string"))
+    if manifest is not None:
+        known = paths.select("path", "file_size", "modified").join(manifest, ["path", "file_size", "modified"], "left").select("path", "hash")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = open_output(root, endpoint)
         for frame in frames:
             out = []
             for path in frame["path"]:
                 try:
-                    with open(target(root, path), "rb") as f:
+                    with place.open(path) as f:
                         out.append((path, _digest(f)))
                 except OSError:
                     out.append((path, None))
             yield pd.DataFrame(out, columns=["path", "existing_hash"])
 
-    return paths.select("path").repartition(F.col("path")).mapInPandas(run, "path string, existing_hash string")
+    read = known.where("hash is null").select("path").repartition(F.col("path")).mapInPandas(run, "path string, existing_hash string")
+    return read.unionByName(known.where("hash is not null").select("path", F.col("hash").alias("existing_hash")))

@@ -59,21 +59,23 @@ def _java(pattern: str) -> str:
     return "(?Ud)" + (pattern[:-1] + r"\z" if pattern.endswith("$") else pattern)
 
 
-def _classified(text: Column, patterns: list[tuple[str, str]]) -> tuple[Column, Column]:
+def _classified(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """type and captured value of the first pattern that matches, as one chain: patterns are tried in order, once."""
     low = F.lower(text)
-    kind = reduce(lambda c, p: c.when(low.rlike(_java(p[1])), p[0]), patterns[1:], F.when(low.rlike(_java(patterns[0][1])), patterns[0][0]))
-    value = F.lit(None).cast("string")
-    for name, p in reversed(patterns):
-        hit = F.regexp_extract(low, _java(p), 1) if name in VALUED and "(" in p.replace("(?:", "") and not p.startswith("^picasasync") else F.lit("" if name in VALUED else None).cast("string")
-        value = F.when(low.rlike(_java(p)), hit).otherwise(value)
-    return kind, value
 
+    def found(name: str, pattern: str) -> Column:
+        captures = name in VALUED and "(" in pattern.replace("(?:", "") and not pattern.startswith("^picasasync")
+        value = F.regexp_extract(low, _java(pattern), 1) if captures else F.lit("" if name in VALUED else None).cast("string")
+        return F.struct(F.lit(name).alias("type"), value.alias("value"))
 
-def classify_file(name: Column) -> tuple[Column, Column]:
-    """(type, captured value) of a file name; both null where nothing matches."""
+    return reduce(lambda c, p: c.when(low.rlike(_java(p[1])), found(*p)), patterns[1:], F.when(low.rlike(_java(patterns[0][1])), found(*patterns[0])))
+
+
+def classify_file(name: Column) -> Column:
+    """type and captured value of a file name, in a struct; null where nothing matches."""
     return _classified(name, FILE_PATTERNS)
 
 
-def classify_dir(path: Column) -> tuple[Column, Column]:
-    """(type, captured value) of a whole directory path."""
+def classify_dir(path: Column) -> Column:
+    """type and captured value of a whole directory path, in a struct; null where nothing matches."""
     return _classified(path, DIR_PATTERNS)

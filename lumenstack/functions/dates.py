@@ -11,7 +11,7 @@ from datetime import UTC, date, datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RFC = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d+))?(?:[Zz]|([+-])(\d\d):(\d\d))\Z", re.A)
+_RFC = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d+))?(?:[Zz]|([+-])(\d\d):?(\d\d))\Z", re.A)
 _LOCAL = re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})[T ]\s*(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d+))?\Z", re.A)
 _DAY = re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})\Z", re.A)
 _OFFSET = re.compile(r"([+-])(\d\d):?(\d\d)", re.A)
@@ -56,14 +56,22 @@ def sub_second_millis(raw: str | None) -> int | None:
     return int(digits[:3].ljust(3, "0")) if digits.isascii() and digits.isdigit() else None
 
 
-def _dated(tags: Mapping[str, str], day: str, fraction: str) -> datetime | None:
+#: Offsets of EXIF dates; a date without its own takes the first of the others.
+OFFSETS = ("OffsetTimeOriginal", "OffsetTimeDigitized", "OffsetTime")
+
+
+def _dated(tags: Mapping[str, str], day: str, fraction: str, offset: str) -> datetime | None:
+    """A date with its fraction and, where the reading itself has none, its offset: the clock is not moved."""
     t, ms = parse_exif_date(tags.get(day)), sub_second_millis(tags.get(fraction))
+    if t is not None and not _RFC.match(tags[day].strip()):
+        known = (parse_offset(tags.get(name) or "") for name in (offset, *OFFSETS))
+        t = t.replace(tzinfo=next((z for z in known if z), t.tzinfo))
     return t if t is None or ms is None else t.replace(microsecond=ms * 1000)
 
 
 def capture_reading(tags: Mapping[str, str]) -> str | None:
     """The camera's clock at the shutter, never moved to another zone."""
-    t = _dated(tags, "DateTimeOriginal", "SubSecTimeOriginal") or _dated(tags, "CreateDate", "SubSecTimeDigitized")
+    t = _dated(tags, "DateTimeOriginal", "SubSecTimeOriginal", "OffsetTimeOriginal") or _dated(tags, "CreateDate", "SubSecTimeDigitized", "OffsetTimeDigitized")
     return rfc_3339(t) if t else None
 
 
@@ -81,7 +89,7 @@ def gps_reading(tags: Mapping[str, str], zone: timezone) -> str | None:
 
 
 def fallback_reading(tags: Mapping[str, str], zone: timezone) -> str | None:
-    t = _dated(tags, "ModifyDate", "SubSecTime")
+    t = _dated(tags, "ModifyDate", "SubSecTime", "OffsetTime")
     return rfc_3339(t) if t else gps_reading(tags, zone)
 
 
@@ -89,9 +97,8 @@ def gps_time(hours: float, minutes: float, seconds: float) -> str | None:
     """hh:mm:ss with milliseconds where there are any; a leap second is allowed."""
     if not (0 <= hours < 24 and 0 <= minutes < 60 and 0 <= seconds < 61):
         return None
-    ms = int(seconds * 1000 + 1e-6)
-    tail = f".{ms % 1000:03d}" if ms % 1000 else ""
-    return f"{int(hours):02d}:{int(minutes):02d}:{ms // 1000:02d}{tail}"
+    ms = min(999, int((seconds - int(seconds)) * 1000 + 0.5))
+    return f"{int(hours):02d}:{int(minutes):02d}:{int(seconds):02d}" + (f".{ms:03d}" if ms else "")
 
 
 def track_reading(raw: str | None, zone: timezone) -> str | None:

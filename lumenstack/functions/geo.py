@@ -15,8 +15,9 @@ def known_point(latitude: Column, longitude: Column) -> Column:
 
 
 def iso_6709(text: Column) -> Column:
-    """The point of a string such as +27.5-113.5+12/, or null under two numbers."""
-    parts = F.regexp_extract(text, r"\A([+-][0-9.]+)([+-][0-9.]+)", 1), F.regexp_extract(text, r"\A([+-][0-9.]+)([+-][0-9.]+)", 2)
+    """The point of a string such as +27.5-113.5+12/, or null under two numbers; the first may lack its sign."""
+    shape = r"\A\s*([+-]?[0-9.]+)([+-][0-9.]+)"
+    parts = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
     lat, lon = (p.try_cast("double") for p in parts)
     return known_point(lat, lon)
 

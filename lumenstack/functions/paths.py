@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What stands for the name of a path that has none.
 BROKEN = "@@broken"
+#: Unicode White_Space, as a class of regular expressions.
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def dir_part(path: Column) -> Column:
@@ -43,7 +45,8 @@ def wikilink(name: Column) -> Column:
 
 def people_links(names: Column) -> Column:
     """Links for an array of names, trimmed, blanks dropped."""
-    return F.transform(F.filter(F.transform(names, F.trim), lambda x: x != ""), wikilink)
+    ends = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+    return F.transform(F.filter(F.transform(names, lambda x: F.regexp_replace(x, ends, "")), lambda x: x != ""), wikilink)
 
 
 def markdown_path(media_path: Column) -> Column:

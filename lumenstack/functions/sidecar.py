@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 NAME_CHARS, TAG, JSON = 51, ".supplemental-metadata", ".json"
 STILLS = [".HEIC", ".heic", ".JPG", ".jpg", ".JPEG", ".jpeg", ".PNG", ".png"]
 RENDITIONS = ["-ANIMATION", "-COLLAGE", "-EFFECTS", "-ERASER", "-MOTION", "-MOVIE", "-SMILE", "-edited", "-PANO", "-SNOW", "-edit", "-MIX", "-ed"]
-CLIPS = {".mp4", ".mov", ".m4v"}
+CLIPS = {".mp4", ".mov"}
 DEPTH = 3
 
 STEM_CHARS = NAME_CHARS - len(JSON)
@@ -30,30 +30,38 @@ def _original(stem: str) -> str | None:
     return next((stem[: -len(x)] for x in RENDITIONS if low.endswith(x.lower())), None)
 
 
-def _keys(name: str) -> Iterator[tuple[str, str]]:
-    """(described name, counter) pairs, with repeats: the file itself, its counter moved, its bare
-    title, the originals of renditions, and the stills of motion clips."""
+def _originals(base: str) -> Iterator[str]:
+    """Stems of what a rendition was made from, nearest first."""
+    found = _original(base)
+    for _ in range(DEPTH):
+        if found is None:
+            return
+        yield found
+        found = _original(found)
+
+
+def _parts(name: str) -> tuple[str, str, str, str]:
+    """(stem, extension, stem without a counter, counter) of a file name."""
     dot = name.rfind(".")
     stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
     m = re.fullmatch(r"(.*)(\([0-9]+\))", stem, re.S)
-    base, counter = (m[1], m[2]) if m else (stem, "")
-    counters = [counter, ""] if counter else [""]
-    yield name, ""
-    if counter:
-        yield base + ext, counter
-    yield stem, ""
-    if counter:
-        yield base, counter
-    original: str | None = base
-    for _ in range(DEPTH):
-        original = _original(original)
-        if original is None:
-            break
-        for end in [ext, *STILLS, ""]:
-            yield from ((original + end, c) for c in counters)
-    if _ascii_lower(ext) in CLIPS:
-        for end in STILLS:
-            yield from ((base + end, c) for c in counters)
+    return stem, ext, *((m[1], m[2]) if m else (stem, ""))
+
+
+def _keys(name: str) -> list[tuple[str, str]]:
+    """(described name, counter) pairs, with repeats, the most specific first."""
+    stem, ext, base, counter = _parts(name)
+    both = [counter, ""] if counter else [""]
+    moved = [counter] if counter else []
+    rules = [
+        ([name], [""]),  # the file itself
+        ([base + ext], moved),  # its counter moved behind the name
+        ([stem], [""]),  # its bare title
+        ([base], moved),
+        *(([original + end], both) for original in _originals(base) for end in (ext, *STILLS, "")),  # what a rendition was made from
+        *(([base + end], both) for end in STILLS if _ascii_lower(ext) in CLIPS),  # the still of a motion clip
+    ]
+    return [(described, c) for names, counters in rules for described in names for c in counters]
 
 
 def sidecar_candidates(name: str) -> list[str]:

@@ -19,11 +19,27 @@ HEAD = 1 << 16
 META_MAX, VALUE_MAX = 1 << 20, 4096
 #: Directories of a TIFF file that are read at most; more are hostile.
 DIRECTORIES = 16
-CONTENT_KEY = b"com.apple.quicktime.content.identifier"
 # ISO base media brands.
 BRANDS = {b"heic": "Heic", b"heix": "Heic", b"hevc": "Heic", b"hevx": "Heic", b"heim": "Heic", b"heis": "Heic", b"mif1": "Heic", b"msf1": "Heic", b"avif": "Avif", b"avis": "Avif", b"crx ": "Cr3", b"qt  ": "Mov", b"M4V ": "M4v", b"M4VH": "M4v", b"M4VP": "M4v"}
-# EXIF tags that are read, by number.
-TAGS = {0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x0100: "ImageWidth", 0x0101: "ImageHeight", 0x0131: "Software", 0x0132: "ModifyDate", 0x9003: "DateTimeOriginal", 0x9004: "CreateDate", 0x9290: "SubSecTime", 0x9291: "SubSecTimeOriginal", 0x9292: "SubSecTimeDigitized", 0xA002: "ExifImageWidth", 0xA003: "ExifImageHeight"}
+# EXIF tags by number (hexadecimal), of the main and Exif directories, and of the GPS directory.
+TAGS = {int(n, 16): name for n, name in (x.split() for x in """
+000b ProcessingSoftware, 0100 ImageWidth, 0101 ImageHeight, 0102 BitsPerSample, 0103 Compression, 0106 PhotometricInterpretation, 010e ImageDescription,
+010f Make, 0110 Model, 0111 StripOffsets, 0112 Orientation, 0115 SamplesPerPixel, 0116 RowsPerStrip, 0117 StripByteCounts, 011a XResolution, 011b YResolution,
+011c PlanarConfiguration, 0128 ResolutionUnit, 012d TransferFunction, 0131 Software, 0132 ModifyDate, 013b Artist, 013c HostComputer, 013e WhitePoint,
+013f PrimaryChromaticities, 0201 ThumbnailOffset, 0202 ThumbnailLength, 0211 YCbCrCoefficients, 0212 YCbCrSubSampling, 0213 YCbCrPositioning, 0214 ReferenceBlackWhite,
+8298 Copyright, 829a ExposureTime, 829d FNumber, 8769 ExifOffset, 8822 ExposureProgram, 8824 SpectralSensitivity, 8825 GPSInfo, 8827 ISOSpeedRatings, 8830 SensitivityType,
+8831 StandardOutputSensitivity, 8832 RecommendedExposureIndex, 8833 ISOSpeed, 9003 DateTimeOriginal, 9004 CreateDate, 9010 OffsetTime, 9011 OffsetTimeOriginal,
+9012 OffsetTimeDigitized, 9102 CompressedBitsPerPixel, 9201 ShutterSpeedValue, 9202 ApertureValue, 9203 BrightnessValue, 9204 ExposureBiasValue, 9205 MaxApertureValue,
+9206 SubjectDistance, 9207 MeteringMode, 9208 LightSource, 9209 Flash, 920a FocalLength, 9214 SubjectArea, 9290 SubSecTime, 9291 SubSecTimeOriginal, 9292 SubSecTimeDigitized,
+9400 AmbientTemperature, 9401 Humidity, 9402 Pressure, a001 ColorSpace, a002 ExifImageWidth, a003 ExifImageHeight, a004 RelatedSoundFile, a005 InteropOffset, a20b FlashEnergy,
+a20e FocalPlaneXResolution, a20f FocalPlaneYResolution, a210 FocalPlaneResolutionUnit, a214 SubjectLocation, a215 ExposureIndex, a217 SensingMethod, a401 CustomRendered,
+a402 ExposureMode, a403 WhiteBalanceMode, a404 DigitalZoomRatio, a405 FocalLengthIn35mmFilm, a406 SceneCaptureType, a407 GainControl, a408 Contrast, a409 Saturation,
+a40a Sharpness, a40c SubjectDistanceRange, a420 ImageUniqueID, a430 CameraOwnerName, a431 BodySerialNumber, a432 LensSpecification, a433 LensMake, a434 LensModel,
+a435 LensSerialNumber, a460 CompositeImage, a500 Gamma""".replace("\n", " ").split(","))}
+GPS_TAGS = dict(enumerate("GPSVersionID GPSLatitudeRef GPSLatitude GPSLongitudeRef GPSLongitude GPSAltitudeRef GPSAltitude GPSTimeStamp GPSSatellites GPSStatus GPSMeasureMode GPSDOP GPSSpeedRef GPSSpeed GPSTrackRef GPSTrack GPSImgDirectionRef GPSImgDirection GPSMapDatum GPSDestLatitudeRef GPSDestLatitude GPSDestLongitudeRef GPSDestLongitude GPSDestBearingRef GPSDestBearing GPSDestDistanceRef GPSDestDistance GPSProcessingMethod GPSAreaInformation GPSDateStamp GPSDifferential GPSHPositioningError".split()))
+# QuickTime metadata keys and user data atoms, and what they are called here.
+TRACK_KEYS = {b"com.apple.quicktime.content.identifier": "content_identifier", b"com.apple.quicktime.make": "make", b"com.apple.quicktime.model": "model", b"com.apple.quicktime.software": "software", b"com.apple.quicktime.author": "author", b"com.apple.quicktime.location.ISO6709": "gps_iso_6709", b"com.apple.quicktime.creationdate": "creation_time"}
+USER_DATA = {b"\xa9mak": "make", b"\xa9mod": "model", b"\xa9swr": "software", b"\xa9aut": "author", b"\xa9xyz": "gps_iso_6709"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
@@ -93,12 +109,13 @@ def _entries(data: bytes | View, base: int, offset: int, order: str) -> Iterator
     at = base + offset
     if not 0 <= at <= len(data) - 2:
         return
+    # What follows the entries is the next directory's place: the entries' own count is all that is needed here.
     (n,) = struct.unpack(order + "H", data[at : at + 2])
     table = data[at + 2 : at + 2 + 12 * n]
     for i in range(len(table) // 12):
         tag, kind, count = struct.unpack_from(order + "HHI", table, 12 * i)
         size = SIZES.get(kind, 0) * count
-        if not 0 < size <= 65536:
+        if not 0 < size <= META_MAX:
             continue
         where = at + 10 + 12 * i if size <= 4 else base + struct.unpack_from(order + "I", table, 12 * i + 8)[0]
         if where + size <= len(data):
@@ -113,6 +130,13 @@ def _numbers(kind: int, count: int, raw: bytes, order: str) -> list[float]:
     return list(struct.unpack(order + code * count, raw)) if code else []
 
 
+def _text(kind: int, count: int, raw: bytes, order: str) -> str:
+    """A value as text: whole numbers as they are, fractions with up to ten digits."""
+    if kind == 2:
+        return raw.split(b"\0")[0].decode("utf-8", "replace")
+    return " ".join(f"{x:.10g}" if isinstance(x, float) else str(x) for x in _numbers(kind, count, raw, order))
+
+
 def _degrees(values: list[float], ref: str | None) -> float | None:
     if len(values) < 3:
         return None
@@ -137,37 +161,43 @@ def read_tiff(data: bytes | View, gps_first: bool = False) -> dict | None:
     if not order or len(data) < 8:
         return None
     out: dict = {}
-    todo, seen = [(struct.unpack(order + "I", data[4:8])[0], gps_first)], set()
+    todo, seen = [(struct.unpack(order + "I", data[4:8])[0], "gps" if gps_first else "main")], set()
     while todo:
-        offset, gps = todo.pop()
+        offset, role = todo.pop()
         if offset in seen or len(seen) == DIRECTORIES:
             continue
         seen.add(offset)
         place: dict[int, tuple[int, int, bytes]] = {}
+        if role == "main" and (follows := _following(data, offset, order)):
+            todo.append((follows, "thumbnail"))
         for tag, kind, count, raw in _entries(data, 0, offset, order):
-            if tag in (0x8769, 0x8825) and kind == 4 and not gps:
-                todo.append((struct.unpack(order + "I", raw[:4])[0], tag == 0x8825))
-            elif gps:
+            if role == "gps":
                 place[tag] = kind, count, raw
             elif tag == 0x927C:
                 out["content_identifier"] = maker_note_identifier(raw)
-            elif tag in TAGS and kind != 7 and len(raw) <= 1024:
-                if kind == 2:
-                    text = raw.split(b"\0")[0].decode("utf-8", "replace")
-                else:
-                    text = " ".join(f"{x:g}" for x in _numbers(kind, count, raw, order))
-                out.setdefault(TAGS[tag], text)
+                continue
+            elif tag in (0x8769, 0x8825) and kind == 4 and role != "thumbnail":
+                todo.append((struct.unpack(order + "I", raw[:4])[0], "gps" if tag == 0x8825 else "exif"))
+            name = (GPS_TAGS if role == "gps" else TAGS).get(tag)
+            if name and kind != 7 and len(raw) <= 1024:
+                out.setdefault(name, _text(kind, count, raw, order))
         if place:
             text = lambda t: place[t][2].rstrip(b"\0 ").decode("ascii", "replace") if t in place and place[t][0] == 2 else None  # noqa: E731, B023
             nums = lambda t: _numbers(*place[t], order) if t in place else []  # noqa: E731, B023
             out["latitude"], out["longitude"] = _degrees(nums(2), text(1)), _degrees(nums(4), text(3))
-            if text(29):
-                out["GPSDateStamp"] = text(29)
             if len(nums(7)) == 3 and (clock := gps_time(*nums(7))):
                 out["GPSTimeStamp"] = clock
     return out
 
 
+def _following(data: bytes | View, offset: int, order: str) -> int:
+    """The place of the directory after this one, 0 without one."""
+    head = data[offset : offset + 2]
+    at = offset + 2 + 12 * struct.unpack(order + "H", head)[0] if len(head) == 2 else len(data)
+    raw = data[at : at + 4]
+    return struct.unpack(order + "I", raw)[0] if len(raw) == 4 else 0
+
+
 def exif_block(data: bytes | View) -> View | None:
     """The TIFF block within a JPEG, PNG, RAF or HEIF file, or the data itself if it is TIFF."""
     if not isinstance(data, View):
@@ -302,35 +332,44 @@ def _read(f: IO[bytes], at: int, end: int, most: int) -> bytes:
     return f.read(min(end - at, most))
 
 
-def quicktime_identifier(f: IO[bytes], size: int) -> str | None:
-    """The content identifier in moov/meta: its place among the keys names its entry in the list."""
+def quicktime_values(f: IO[bytes], size: int) -> dict[str, str]:
+    """Known values of moov/meta: a key's place among the keys names its entry in the list. Then user data of moov, where keys lack it."""
     moov = _inside(f, 0, size, b"moov")
+    out: dict[str, str] = {}
     meta = moov and (_inside(f, *moov, b"meta"))
-    if not meta or meta[1] - meta[0] > META_MAX:
-        return None
-    for skip in (0, 4):  # with or without a version and flags
+    for skip in (0, 4) if meta and meta[1] - meta[0] <= META_MAX else ():  # with or without a version and flags
         keys, values = _inside(f, meta[0] + skip, meta[1], b"keys"), _inside(f, meta[0] + skip, meta[1], b"ilst")
         if keys and values:
+            out = _keyed_values(f, keys, values)
             break
-    else:
-        return None
-    raw, at, wanted = _read(f, *keys, META_MAX), 8, 0
+    udta = moov and _inside(f, *moov, b"udta")
+    for kind, a, b in _atoms(f, *udta) if udta else ():
+        if kind in USER_DATA and b - a <= VALUE_MAX:
+            raw = _read(f, a, b, VALUE_MAX)
+            out.setdefault(USER_DATA[kind], raw[4 : 4 + int.from_bytes(raw[:2], "big")].decode("utf-8", "replace").strip("\0 "))
+    return {k: v for k, v in out.items() if v}
+
+
+def _keyed_values(f: IO[bytes], keys: tuple[int, int], values: tuple[int, int]) -> dict[str, str]:
+    raw, at, wanted, out = _read(f, *keys, META_MAX), 8, {}, {}
     for i in range(1, int.from_bytes(raw[4:8], "big") + 1):
         n = int.from_bytes(raw[at : at + 4], "big")
         if n < 8 or at + n > len(raw):
-            return None
-        if raw[at + 8 : at + n] == CONTENT_KEY:
-            wanted = i
             break
+        if raw[at + 8 : at + n] in TRACK_KEYS:
+            wanted.setdefault(i, TRACK_KEYS[raw[at + 8 : at + n]])
         at += n
     for kind, a, b in _atoms(f, *values) if wanted else ():
-        if int.from_bytes(kind, "big") == wanted and (data := _inside(f, a, b, b"data")) and data[1] - data[0] <= VALUE_MAX:
-            return _read(f, data[0] + 8, data[1], VALUE_MAX).decode("utf-8", "replace").strip("\0 ") or None
-    return None
+        name = wanted.get(int.from_bytes(kind, "big"))
+        if name and (data := _inside(f, a, b, b"data")) and data[1] - data[0] <= VALUE_MAX:
+            out.setdefault(name, _read(f, data[0] + 8, data[1], VALUE_MAX).decode("utf-8", "replace").strip("\0 "))
+    return out
 
 
 def read_track(f: IO[bytes], size: int) -> dict | None:
-    """width, height, creation_time and duration_ms of a movie's header, and its content identifier."""
+    """Of a movie: width, height, creation_time, duration_ms, make, model, software, author, gps_iso_6709 and content_identifier, where known."""
+    if _read(f, 0, size, 4) == b"\x1aE\xdf\xa3":
+        return read_matroska(f, size)
     moov = _inside(f, 0, size, b"moov")
     head = moov and _inside(f, *moov, b"mvhd")
     if not head:
@@ -341,11 +380,7 @@ def read_track(f: IO[bytes], size: int) -> dict | None:
     if len(raw) < need:
         return None
     created, scale, length = struct.unpack_from(">QxxxxxxxxIQ" if wide else ">IxxxxII", raw, 4)
-    out: dict = {"duration_ms": length * 1000 // scale if scale else None, "content_identifier": quicktime_identifier(f, size)}
-    try:
-        out["creation_time"] = rfc_3339(datetime(1904, 1, 1, tzinfo=UTC) + timedelta(seconds=created))
-    except OverflowError:
-        out["creation_time"] = None
+    out: dict = {"duration_ms": length * 1000 // scale if scale else None, "creation_time": _since(1904, created)} | quicktime_values(f, size)
     for kind, a, b in _atoms(f, *moov):
         if kind == b"trak" and (tkhd := _inside(f, a, b, b"tkhd")):
             end = _read(f, tkhd[1] - 8, tkhd[1], 8)
@@ -354,3 +389,56 @@ def read_track(f: IO[bytes], size: int) -> dict | None:
                 out["width"], out["height"] = w, h
                 break
     return out
+
+
+def _since(year: int, seconds: float) -> str | None:
+    try:
+        return rfc_3339(datetime(year, 1, 1, tzinfo=UTC) + timedelta(seconds=seconds))
+    except OverflowError:
+        return None
+
+
+def _elements(f: IO[bytes], at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(number, body start, body end) of the elements between two places; one of unknown size goes to the end."""
+    while at < end:
+        head = _read(f, at, end, 12)
+        n = 9 - head[0].bit_length() if head and head[0] else 9
+        if n > 4 or len(head) <= n or not head[n]:
+            return
+        m = 9 - head[n].bit_length()
+        if len(head) < n + m:
+            return
+        size = int.from_bytes(head[n : n + m], "big") & (1 << 7 * m) - 1
+        start = at + n + m
+        stop = end if size == (1 << 7 * m) - 1 else start + size
+        if stop > end:
+            return
+        yield int.from_bytes(head[:n], "big"), start, stop
+        at = stop
+
+
+# Numbers of Matroska elements.
+SEGMENT, INFO, SCALE, DURATION, DATE, TRACKS, ENTRY, VIDEO, WIDTH, HEIGHT, CLUSTER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4461, 0x1654AE6B, 0xAE, 0xE0, 0xB0, 0xBA, 0x1F43B675
+
+
+def read_matroska(f: IO[bytes], size: int) -> dict | None:
+    """width, height, duration_ms and creation_time of a Matroska or WebM file, from what comes before its frames."""
+    segment = next(((a, b) for n, a, b in _elements(f, 0, size) if n == SEGMENT), None)
+    out: dict = {}
+    for number, a, b in _elements(f, *segment) if segment else ():
+        if number == CLUSTER:
+            break
+        if number == INFO:
+            values = {n: _read(f, c, d, 8) for n, c, d in _elements(f, a, b) if d - c <= 8}
+            ticks = values.get(DURATION, b"")
+            if len(ticks) in (4, 8):
+                length = struct.unpack(">f" if len(ticks) == 4 else ">d", ticks)[0] * int.from_bytes(values.get(SCALE, b"\x0f\x42\x40"), "big") / 1e6
+                out["duration_ms"] = int(length) if 0 <= length < 1e15 else None
+            if len(values.get(DATE, b"")) == 8:
+                out["creation_time"] = _since(2001, int.from_bytes(values[DATE], "big", signed=True) // 10**9)
+        for n, c, d in _elements(f, a, b) if number == TRACKS else ():
+            for m, e, g in _elements(f, c, d) if n == ENTRY and "width" not in out else ():
+                sides = {x: int.from_bytes(_read(f, y, z, 8), "big") for x, y, z in _elements(f, e, g) if x in (WIDTH, HEIGHT) and z - y <= 8} if m == VIDEO else {}
+                if sides.get(WIDTH) and sides.get(HEIGHT):
+                    out["width"], out["height"] = sides[WIDTH], sides[HEIGHT]
+    return out or None

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import capture_reading, fallback_reading, output_zone, track_reading
 from ..functions.media_types import EXIF_TYPES, TRACK_TYPES
-from .files import open_entry
+from .files import endpoint_of, open_entry
 from .formats import HEAD, View, read_exif, read_track, sniff
 
 RECORD = (
     "path string, file_size long, modified long, created long, quick_file_type string, accurate_file_type string, long_hash string, short_hash string, status string, "
     "tags map<string,string>, exif_latitude double, exif_longitude double, content_identifier string, capture string, fallback string, "
-    "track_time string, width long, height long, duration_ms long"
+    "track_time string, width long, height long, duration_ms long, track_make string, track_model string, track_software string, track_author string, gps_iso_6709 string"
 )
 BLOCK = 1 << 16
 
 
-def _inspect(uri: str, path: str, zone) -> dict:
-    with open_entry(uri, path) as f:
+def _inspect(uri: str, path: str, zone, endpoint: str | None = None) -> dict:
+    with open_entry(uri, path, endpoint) as f:
         digest, size = hashlib.sha256(), 0
         while block := f.read(BLOCK):
             digest.update(block)
@@ -38,14 +38,15 @@ def _inspect(uri: str, path: str, zone) -> dict:
             out |= {"exif_latitude": tags.pop("latitude", None), "exif_longitude": tags.pop("longitude", None), "content_identifier": tags.pop("content_identifier", None)}
             out |= {"tags": tags, "capture": capture_reading(tags), "fallback": fallback_reading(tags, zone)}
         elif kind in TRACK_TYPES and (track := read_track(f, size)):
-            out |= {"track_time": track_reading(track.pop("creation_time"), zone), **track}
+            named = {f"track_{k}": track.pop(k, None) for k in ("make", "model", "software", "author")}
+            out |= {"track_time": track_reading(track.pop("creation_time", None), zone), **named, **track}
     return out
 
 
 def inspect(listed: DataFrame, uri: str, timezone: str | None = None) -> DataFrame:
-    """RECORD of each listed file of a directory or zip that all executors see. Files are dealt out by size
-    so that tasks have like amounts of bytes; status is ok, Unsupported or the error."""
-    zone = output_zone(timezone, os.environ.get("TZ", ""))
+    """RECORD of each listed file of a source. Files are dealt out in turn by size, so that tasks have like
+    amounts of bytes; status is ok, Unsupported or the error."""
+    zone, endpoint = output_zone(timezone, os.environ.get("TZ", "")), endpoint_of(listed.sparkSession)
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +54,7 @@ def inspect(listed: DataFrame, uri: str, timezone: str | None = None) -> DataFra
             rows, blank = [], dict.fromkeys(names)
             for row in frame.to_dict("records"):
                 try:
-                    rows.append(blank | row | _inspect(uri, row["path"], zone))
+                    rows.append(blank | row | _inspect(uri, row["path"], zone, endpoint))
                 except Exception as e:  # a file that cannot be read is reported, and the rest goes on
                     rows.append(blank | row | {"status": f"{type(e).__name__}: {e}"[:200]})
             out = pd.DataFrame(rows, columns=names)
@@ -62,5 +63,7 @@ def inspect(listed: DataFrame, uri: str, timezone: str | None = None) -> DataFra
             yield out
 
     columns = ["path", "file_size", "modified", "created", "quick_file_type"]
-    dealt = listed.select(*columns).repartition(F.col("path"))
-    return dealt.mapInPandas(run, RECORD)
+    n = max(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), listed.sparkSession.sparkContext.defaultParallelism)
+    # Files of like sizes lie together once they are sorted; each of these ranges is dealt out to all tasks in turn.
+    ranged = listed.select(*columns).orderBy(F.desc("file_size"), "path").withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+    return ranged.repartitionById(n, F.col("turn")).drop("turn").mapInPandas(run, RECORD)

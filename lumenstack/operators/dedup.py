@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import same_content
+
 
 def content_dedup(media: DataFrame) -> DataFrame:
     """One row a long_hash: the whole record of the smallest path, and original_path, all paths in order.
@@ -40,50 +41,33 @@ def fresh_names(media: DataFrame) -> DataFrame:
     return first.withColumn("output_path", F.concat("want", suffix, F.lit("."), "ext")).drop("bare")
 
 
-PLAN = "long_hash string, output_path string, action string"
-
-
-def _ladder(rows: pd.DataFrame) -> Iterator[tuple[str, str | None, str]]:
-    """Decisions of one (want, ext): existing files first, then takers in hash order."""
-    held: dict[str, str | None] = {p: None if pd.isna(h) else h for p, h in rows.loc[rows.taken, ["path", "existing_hash"]].itertuples(index=False)}
-    wanted = rows.loc[~rows.taken].sort_values("long_hash")
-    for want, ext, short, long in wanted[["want", "ext", "short_hash", "long_hash"]].itertuples(index=False):
-        for suffix in ("", f"-{short}", f"-{long}"):
-            path = f"{want}{suffix}.{ext}"
-            if path not in held:
-                held[path] = long
-                yield long, path, "write"
-                break
-            if held[path] is None:
-                yield long, None, "error"
-                break
-            if held[path] == long:
-                yield long, path, "skip"
-                break
-        else:
-            yield long, None, "error"
+def _step(rows: DataFrame, existing: DataFrame, suffix: Column, *by: str) -> DataFrame:
+    """rows with the path of one rung, what is there, and the rung's outcome: write, skip, error or null (on to the next).
+    Where nothing is there, the first by hash of those that share the path takes it."""
+    there = existing.select(F.col("path").alias("try"), F.struct("existing_hash").alias("there"))
+    tried = rows.withColumn("try", F.concat("want", suffix, F.lit("."), "ext")).join(there, "try", "left")
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("long_hash")) == 1
+    held = F.col("there.existing_hash")
+    outcome = F.when(F.col("there").isNull(), F.when(first, "write")).when(held.isNull(), "error").when(same_content(F.col("long_hash"), held), "skip")
+    return tried.withColumn("action", outcome)
 
 
 def names_over_existing(media: DataFrame, existing: DataFrame) -> DataFrame:
-    """(long_hash, output_path, action) where the output has files already: existing (path, existing_hash).
+    """(long_hash, output_path, action) of media (want, ext, short_hash, long_hash, each hash once) where the output has
+    files already: existing (path, existing_hash), each path once.
 
-    action is write, skip (the same bytes are there) or error (unreadable, or no name is free). A null
-    existing_hash marks a file that cannot be read.
+    The rungs are the bare name, the short hash and the long one as a suffix. action is write, skip (the same bytes are there) or error
+    (unreadable, or no name is free). A null existing_hash marks a file that cannot be read.
     """
-    stem = r"(?s)\A(.*?)(?:-[0-9a-f]{7}|-[0-9a-f]{64})?\.([^./]*)\z"
-    bare = r"(?s)\A(.*)\.([^./]*)\z"
-    takers = media.select("want", "ext", "short_hash", "long_hash", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("existing_hash"), F.lit(False).alias("taken"))
-    groups = media.select("want", "ext").distinct()
-    # A path may be some name's bare form, or another's with a suffix: it goes to each group that could try it.
-    forms = existing.select("path", "existing_hash", F.explode(F.array_distinct(F.array(F.struct(F.regexp_extract("path", stem, 1).alias("want"), F.regexp_extract("path", stem, 2).alias("ext")), F.struct(F.regexp_extract("path", bare, 1).alias("want"), F.regexp_extract("path", bare, 2).alias("ext"))))).alias("g"))
-    there = forms.select(F.col("g.want").alias("want"), F.col("g.ext").alias("ext"), "path", "existing_hash").join(groups, ["want", "ext"], "left_semi")
-    blank = F.lit(None).cast("string")
-    rows = takers.unionByName(there.select("want", "ext", blank.alias("short_hash"), blank.alias("long_hash"), "path", "existing_hash", F.lit(True).alias("taken")))
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_ladder(rows)), columns=["long_hash", "output_path", "action"])
-
-    return rows.groupBy("want", "ext").applyInPandas(decide, PLAN)
+    columns = ["want", "ext", "short_hash", "long_hash"]
+    left, done = media.select(*columns), []
+    dash = lambda c: F.concat(F.lit("-"), F.col(c))
+    for suffix, by in ((F.lit(""), ["want", "ext"]), (dash("short_hash"), ["want", "ext", "short_hash"]), (dash("long_hash"), ["want", "ext", "long_hash"])):
+        tried = _step(left, existing, suffix, *by)
+        done.append(tried.where("action is not null").select("long_hash", F.when(F.col("action") != "error", F.col("try")).alias("output_path"), "action"))
+        left = tried.where("action is null").select(*columns)
+    done.append(left.select("long_hash", F.lit(None).cast("string").alias("output_path"), F.lit("error").alias("action")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def sidecar_videos(pairs: DataFrame, named: DataFrame, media: DataFrame) -> DataFrame:

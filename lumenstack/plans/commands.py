@@ -1,47 +1,60 @@
-"""The commands end to end: db (a source into the catalog), sync (a source into a dated archive), info (one file).
+"""The commands end to end: db (a source into the catalog), sync (a source into a dated archive), info (one file), sql (a query over the catalog).
 
-python -m lumenstack.plans.commands db|sync|info ... runs them from a shell.
+python -m lumenstack.plans.commands db|sync|info|sql ... runs them from a shell.
 """
 
 from __future__ import annotations
 
 import argparse
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, ids, media_types
 from ..functions.classify import classify_dir, classify_file
-from ..functions.paths import desired_media_path, dir_part, markdown_path, name_part, people_links, wikilink
+from ..functions.paths import album_link_name, code, desired_media_path, dir_part, markdown_path, name_part, people_links, table_cell, wikilink
 from ..functions.sidecar import SIDECAR, candidates, parse_sidecar
 from ..operators import albums as album_ops
 from ..operators import dedup
 from ..sources import sinks
 from ..sources.albums import albums, read_albums
 from ..sources.catalog import Catalog
-from ..sources.files import listing, open_entry
+from ..sources.files import endpoint_of, listing, open_entry
 from ..sources.inspect import inspect
+from ..sources.places import open_output
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder that the cluster names and read again, so that files are inspected once."""
+    """df, written to the shared folder that the cluster names and read again, so that files are inspected once.
+    It is removed when the session or the program ends."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="lumenstack-")
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def sidecars(scan: DataFrame, media: DataFrame, uri: str) -> DataFrame:
     """(path, supp): the decoded sidecar of each media file that has a valid one."""
     found = album_ops.sidecar_lookup(media, scan, candidates(name_part(F.col("path"))))
+    endpoint = endpoint_of(scan.sparkSession)
 
     def run(frames):
         import pandas as pd
@@ -50,7 +63,7 @@ def sidecars(scan: DataFrame, media: DataFrame, uri: str) -> DataFrame:
             out = []
             for path, name in frame.itertuples(index=False):
                 try:
-                    with open_entry(uri, name) as f:
+                    with open_entry(uri, name, endpoint) as f:
                         out.append((path, parse_sidecar(f.read())))
                 except (OSError, KeyError):  # as if there were none
                     out.append((path, None))
@@ -59,11 +72,11 @@ def sidecars(scan: DataFrame, media: DataFrame, uri: str) -> DataFrame:
     return found.select("path", "sidecar").mapInPandas(run, f"path string, supp {SIDECAR}").where("supp is not null")
 
 
-def media_records(scan: DataFrame, todo: DataFrame, uri: str, timezone: str | None) -> DataFrame:
-    """Inspected media files that are supported, with their sidecar, best date and kind."""
+def media_records(scan: DataFrame, seen: DataFrame, uri: str, timezone: str | None) -> DataFrame:
+    """Of inspected files, those that are supported, with their sidecar, best date and kind."""
     zone = dates.output_zone(timezone, os.environ.get("TZ", ""))
-    seen = inspect(todo, uri, timezone).where("status = 'ok'")
-    rows = seen.join(sidecars(scan, todo, uri), "path", "left")
+    good = seen.where("status = 'ok'")
+    rows = good.join(sidecars(scan, good, uri), "path", "left")
     guess = dates.best_guess(
         F.col("capture"), F.col("track_time"), dates.sidecar_time(F.col("supp.photoTakenTime.timestamp"), zone), F.col("fallback"),
         dates.sidecar_time(F.col("supp.creationTime.timestamp"), zone), dates.render_millis(F.col("modified"), zone), dates.render_millis(F.col("created"), zone),
@@ -79,15 +92,16 @@ def _point(name: str):
 def catalog_items(media: DataFrame) -> DataFrame:
     """Rows of media_item."""
     exif = geo.known_point(F.col("exif_latitude"), F.col("exif_longitude"))
-    at = geo.best_point(exif, F.lit(None).cast("struct<latitude:double,longitude:double>"), _point("geoDataExif"), _point("geoData"))
-    rows = media.withColumn("at", at).withColumn("w", F.coalesce("width", geo.image_size(F.col("tags"), "Width"))).withColumn("h", F.coalesce("height", geo.image_size(F.col("tags"), "Height")))
+    at = geo.best_point(exif, geo.iso_6709(F.col("gps_iso_6709")), _point("geoDataExif"), _point("geoData"))
+    rows = media.withColumn("at", at).withColumn("w", F.coalesce(geo.image_size(F.col("tags"), "Width"), "width")).withColumn("h", F.coalesce(geo.image_size(F.col("tags"), "Height"), "height"))
+    track = F.struct("width", "height", "duration_ms", F.col("track_time").alias("creation_time"), *(F.col(f"track_{c}").alias(c) for c in ("make", "model", "software", "author")), "gps_iso_6709")
     turn = F.element_at("tags", "Orientation").try_cast("int")
     return rows.select(
         ids.path_id(F.col("path")).alias("media_item_id"), F.col("path").alias("media_path"), "long_hash", "short_hash", "quick_file_type", "accurate_file_type",
-        F.to_json(F.struct(F.map_from_entries(F.array_sort(F.map_entries("tags"))).alias("tags"), "supp")).alias("media_info"),
+        F.to_json(F.struct(F.map_from_entries(F.array_sort(F.map_entries("tags"))).alias("tags"), track.alias("track"), "supp")).alias("media_info"),
         F.col("guessed").alias("guessed_datetime"), F.coalesce("modified", F.lit(0)).alias("modified_at"), F.coalesce("created", F.lit(0)).alias("created_at"), "file_size",
         F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"),
-        F.element_at("tags", "Make").alias("camera_make"), F.element_at("tags", "Model").alias("camera_model"), F.col("w").alias("width"), F.col("h").alias("height"), "duration_ms",
+        F.coalesce(F.element_at("tags", "Make"), "track_make").alias("camera_make"), F.coalesce(F.element_at("tags", "Model"), "track_model").alias("camera_model"), F.col("w").alias("width"), F.col("h").alias("height"), "duration_ms",
         geo.orientation(F.col("w"), F.col("h")).alias("orientation"), geo.display_mirrored(turn).alias("display_mirrored"), geo.display_rotate(turn).alias("display_rotate"),
         geo.geohash(F.col("at.latitude"), F.col("at.longitude")).alias("geohash"), "kind", "content_identifier",
     )
@@ -98,14 +112,19 @@ def db(spark: SparkSession, uri: str, root: str, timezone: str | None = None, cl
     cat, scan = Catalog(spark, root, clear), staged(listing(spark, uri), "scan")
     run_id = cat.run(uri)
     run, new_id = F.lit(run_id).cast("long").alias("run_id"), F.xxhash64(F.lit(run_id), "path")
-    kind, value = classify_file(name_part(F.col("path")))
-    cat.refresh("classified_file", scan.select(new_id.alias("classified_file_id"), run, F.col("path").alias("file_path"), "quick_file_type", kind.alias("known_file_type"), value.alias("known_file_type_value"), "file_size"), run_id)
-    kind, value = classify_dir(F.col("path"))
-    folders = scan.select(dir_part(F.col("path")).alias("path")).distinct()
-    cat.refresh("classified_dir", folders.select(new_id.alias("classified_dir_id"), run, F.col("path").alias("dir_path"), kind.alias("known_dir_type"), value.alias("known_dir_value")), run_id)
+    known = classify_file(name_part(F.col("path")))
+    files = staged(scan.select(new_id.alias("classified_file_id"), run, F.col("path").alias("file_path"), "quick_file_type", known.alias("known"), "file_size"), "classified")
+    cat.refresh("classified_file", files.select("classified_file_id", "run_id", "file_path", "quick_file_type", F.col("known.type").alias("known_file_type"), F.col("known.value").alias("known_file_type_value"), "file_size"), run_id)
+    folders = scan.select(dir_part(F.col("path")).alias("path")).distinct().withColumn("known", classify_dir(F.col("path")))
+    folders = staged(folders.select(new_id.alias("classified_dir_id"), run, F.col("path").alias("dir_path"), "known"), "folders")
+    cat.refresh("classified_dir", folders.select("classified_dir_id", "run_id", "dir_path", F.col("known.type").alias("known_dir_type"), F.col("known.value").alias("known_dir_value")), run_id)
+    cat.counters = {"files": files, "folders": folders, "matched files": files.where("known is not null"), "matched folders": folders.where("known is not null")}
     if not skip_media:
-        todo = album_ops.resume(scan.where("quick_file_type = 'Media'").withColumn("media_item_id", ids.path_id(F.col("path"))), cat.recorded())
-        media = staged(media_records(scan, todo, uri, timezone), "media")
+        wanted = scan.where("quick_file_type = 'Media'").withColumn("media_item_id", ids.path_id(F.col("path")))
+        todo = staged(album_ops.resume(wanted, cat.recorded()), "todo")
+        seen = staged(inspect(todo, uri, timezone), "seen")
+        media = staged(media_records(scan, seen, uri, timezone), "media")
+        cat.counters |= {"media files": wanted, "recorded before": wanted.join(todo.select("path"), "path", "left_anti"), "skipped files": seen.where("status <> 'ok'"), "inspected files": media}
         cat.upsert("media_item", catalog_items(media))
         named = media.select(ids.path_id(F.col("path")).alias("media_item_id"), F.explode("supp.people.name").alias("name")).where("name is not null").select("media_item_id", ids.person_id(F.col("name")).alias("person_id"), "name")
         cat.insert("person", named.groupBy("person_id").agg(F.min("name").alias("name")))
@@ -114,7 +133,10 @@ def db(spark: SparkSession, uri: str, root: str, timezone: str | None = None, cl
         found, members = albums(staged(read_albums(scan, uri), "albums"), scan)
         key = ids.path_id(F.col("album"))
         cat.insert("album", found.select(key.alias("album_id"), "title", F.col("album").alias("album_path")))
-        cat.insert("album_file", album_ops.album_links(members.select(key.alias("album_id"), "path"), cat.read("media_item")))
+        links = staged(album_ops.album_links(members.select(key.alias("album_id"), "path"), cat.read("media_item")), "links")
+        cat.insert("album_file", links)
+        cat.counters |= {"albums": found, "resolved album members": links}
+    cat.counters = {name: rows.count() for name, rows in cat.counters.items()}
     return cat
 
 
@@ -128,20 +150,30 @@ def _placed(media: DataFrame, uri: str, root: str, before: DataFrame, dry_run: b
     return staged(states.select("long_hash", F.when(~failed, F.col("output_path")).alias("output_path"), "status"), f"{name}-placed")
 
 
-def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None, dry_run: bool = False, skip_media: bool = False, skip_albums: bool = False, skip_markdown: bool = False) -> DataFrame:
+def _notes(rows: DataFrame) -> DataFrame:
+    """What the note of each placed record says: rows have output_path, original_path, albums and live_photo_video."""
+    at = geo.note_point(geo.known_point(F.col("exif_latitude"), F.col("exif_longitude")), _point("geoData"), _point("geoDataExif"))
+    return rows.withColumn("at", at).select(
+        markdown_path(F.col("output_path")).alias("note_path"), name_part(F.col("output_path")).alias("media_name"), "long_hash", F.col("guessed").alias("datetime"), F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"),
+        "original_path", people_links(F.filter(F.col("supp.people.name"), lambda x: x.isNotNull())).alias("people"), F.transform("albums", wikilink).alias("albums"), "live_photo_video",
+    )
+
+
+def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None, dry_run: bool = False, skip_media: bool = False, skip_albums: bool = False, skip_markdown: bool = False, manifest: DataFrame | None = None) -> DataFrame:
     """(output_path, status) of all files of an archive brought up to date. The output is a directory that
-    all executors see. Primaries are placed first; the video of a Live Photo then goes by its still's name."""
-    if "://" in root:
-        raise ValueError("the output must be a directory")
+    all executors see, or an object store. Primaries are placed first; the video of a Live Photo then goes by its still's name.
+    manifest: checksums of the output that are known (see sinks.hashes)."""
+    output = open_output(root, endpoint_of(spark))
     scan = staged(listing(spark, uri), "scan")
     todo = scan.where("quick_file_type = 'Media'")
-    media = staged(dedup.content_dedup(media_records(scan, todo if not skip_media else todo.limit(0), uri, timezone)), "media")
+    seen = staged(inspect(todo if not skip_media else todo.limit(0), uri, timezone), "seen")
+    media = staged(dedup.content_dedup(media_records(scan, seen, uri, timezone)), "media")
     media = media.withColumn("want", desired_media_path(F.col("guessed"), F.col("short_hash")))
     found, members = (None, None) if skip_albums else albums(staged(read_albums(scan, uri), "albums"), scan)
-    os.makedirs(root, exist_ok=True)
-    there = listing(spark, root).select("path")
+    output.prepare()
+    there = listing(spark, root)
     folders = media.select(dir_part(F.col("want")).alias("dir")).distinct()
-    before = staged(sinks.hashes(there.withColumn("dir", dir_part(F.col("path"))).join(folders, "dir", "left_semi"), root), "before")
+    before = staged(sinks.hashes(there.withColumn("dir", dir_part(F.col("path"))).join(folders, "dir", "left_semi"), root, manifest), "before")
     pairs = dedup.live_photo_pairs(media)
     videos = pairs.select(F.col("video_hash").alias("long_hash"))
     first = _placed(media.join(videos, "long_hash", "left_anti"), uri, root, before, dry_run, "first")
@@ -160,13 +192,9 @@ def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None,
         if found is None:
             rows = rows.withColumn("albums", F.array().cast("array<string>"))
         else:
-            by_path = found.join(members, "album").select(F.regexp_extract("note_path", r"(?s)\Aalbums/(.*)\.md\z", 1).alias("name"), "album_ordinal", "path")
+            by_path = found.join(members, "album").select(album_link_name(F.col("note_path")).alias("name"), "album_ordinal", "path")
             rows = rows.join(album_ops.album_names(media, by_path), "long_hash", "left")
-        at = geo.note_point(geo.known_point(F.col("exif_latitude"), F.col("exif_longitude")), _point("geoData"), _point("geoDataExif"))
-        notes = rows.withColumn("at", at).select(
-            markdown_path(F.col("output_path")).alias("note_path"), name_part(F.col("output_path")).alias("media_name"), "long_hash", F.col("guessed").alias("datetime"), F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"),
-            "original_path", people_links(F.filter(F.col("supp.people.name"), lambda x: x.isNotNull())).alias("people"), F.transform("albums", wikilink).alias("albums"), "live_photo_video",
-        )
+        notes = _notes(rows)
         out = out.unionByName(staged(sinks.write_notes(notes, root, dry_run), "notes").withColumnRenamed("note_path", "output_path"))
     if found is not None:
         final = album_ops.final_paths(members, items)
@@ -191,39 +219,70 @@ def info(spark: SparkSession, uri: str, path: str, timezone: str | None = None)
             return "\n".join([*head, "- Not an album", ""])
         rows = members.orderBy("position").toLocalIterator()
         return "\n".join([*head, f"- Album: {titles[0]}", "", *(f"{i + 1}. {r.path}" for i, r in enumerate(rows)), ""])
-    rec = media_records(scan, one, uri, timezone).withColumn("want", desired_media_path(F.col("guessed"), F.col("short_hash"))).first()
-    if rec is None:
+    rec = media_records(scan, inspect(one, uri, timezone), uri, timezone).withColumn("want", desired_media_path(F.col("guessed"), F.col("short_hash")))
+    zone = dates.output_zone(timezone, os.environ.get("TZ", ""))
+    rec = staged(rec, "info")
+    sections = {name: [(r.name, r.value) for r in rec.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), table_cell(v.cast("string")).alias("value")) for k, v in facts.items())))).where("value is not null").collect()] for name, facts in _facts(zone).items()}
+    tags = rec.select(F.explode(F.array_sort(F.map_entries("tags"))).alias("t")).select(table_cell(code(F.col("t.key"))).alias("name"), table_cell(F.col("t.value")).alias("value")).collect()
+    sections["EXIF"] = [(r.name, r.value) for r in tags]
+    row = rec.first()
+    if row is None:
         return "\n".join([*head, "- Not a supported media file", ""])
-    facts = {"Type": rec.accurate_file_type, "SHA-256": rec.long_hash, "Date": rec.guessed, "Output": f"{rec.want}.{rec.ext}", "Live Photo": rec.content_identifier, "Width": rec.width, "Height": rec.height, "Duration (ms)": rec.duration_ms, "Track time": rec.track_time, "Latitude": rec.exif_latitude, "Longitude": rec.exif_longitude}
-    lines = [*head, *(f"- {k}: {v}" for k, v in facts.items() if v is not None)]
-    if rec.supp:
-        lines += ["", "## Supplemental", "", *(f"- {k}: {v}" for k, v in rec.supp.asDict(True).items() if v)]
-    if rec.tags:
-        lines += ["", "## EXIF", "", "| Tag | Value |", "| --- | --- |", *(f"| {k} | {' '.join(str(v).replace('|', chr(92) + '|').split())} |" for k, v in sorted(rec.tags.items()))]
-    return "\n".join([*lines, ""])
+    lines = head
+    for name, facts in sections.items():
+        if facts:
+            lines += ["", f"## {name}", "", "| Name | Value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in facts)]
+    note = rec.withColumn("albums", F.array().cast("array<string>")).withColumn("live_photo_video", F.lit(None).cast("string")).withColumn("output_path", F.concat("want", F.lit("."), "ext")).withColumn("original_path", F.array("path"))
+    shown = _notes(note).first().asDict()
+    return "\n".join([*lines, "", "## Note", "", "```", sinks.note_text(shown, None) or "", "```", ""])
+
+
+def _facts(zone) -> dict[str, dict[str, Column]]:
+    """What a report shows of a record, by section; what is null is left out."""
+    point = lambda p: F.when(p.isNotNull(), F.concat_ws(", ", p["latitude"].cast("string"), p["longitude"].cast("string")))
+    time = lambda name: dates.sidecar_text(dates.sidecar_time(F.col(f"supp.{name}.timestamp"), zone), F.col(f"supp.{name}.formatted"))
+    c = F.col
+    return {
+        "Source": {"Type": c("accurate_file_type"), "SHA-256": c("long_hash"), "Metadata": media_types.metadata_type(c("accurate_file_type"))},
+        "Output": {"Date": c("guessed"), "Path": F.concat("want", F.lit("."), "ext"), "Note": markdown_path(F.concat("want", F.lit("."), "ext"))},
+        "Live Photo": {"Identifier": c("content_identifier"), "Kind": F.when(c("content_identifier").isNotNull(), c("kind"))},
+        "Supplemental": {"Taken": time("photoTakenTime"), "Created": time("creationTime"), "Place": point(_point("geoData")), "EXIF place": point(_point("geoDataExif")), "People": F.nullif(F.array_join(F.col("supp.people.name"), ", "), F.lit(""))},
+        "Track": {"Width": c("width"), "Height": c("height"), "Duration (ms)": c("duration_ms"), "Created": c("track_time"), "Make": c("track_make"), "Model": c("track_model"), "Software": c("track_software"), "Author": c("track_author"), "Place": c("gps_iso_6709")},
+        "Place": {"EXIF": point(geo.known_point(c("exif_latitude"), c("exif_longitude")))},
+    }
+
+
+def sql(spark: SparkSession, root: str, query: str) -> DataFrame:
+    """A query over the catalog's tables, as views."""
+    Catalog(spark, root).register_views()
+    return spark.sql(query)
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lumenstack")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, last in (("db", "root"), ("sync", "root"), ("info", "path")):
+    for name, first, last in (("db", "uri", "root"), ("sync", "uri", "root"), ("info", "uri", "path"), ("sql", "root", "query")):
         sub = commands.add_parser(name)
-        sub.add_argument("uri")
+        sub.add_argument(first)
         sub.add_argument(last)
-        sub.add_argument("--timezone")
-        flags = {"db": ["--clear", "--skip-media", "--skip-albums"], "sync": ["--dry-run", "--skip-media", "--skip-albums", "--skip-markdown"], "info": []}[name]
+        if name != "sql":
+            sub.add_argument("--timezone")
+        flags = {"db": ["--clear", "--skip-media", "--skip-albums"], "sync": ["--dry-run", "--skip-media", "--skip-albums", "--skip-markdown"], "info": [], "sql": []}[name]
         for flag in flags:
             sub.add_argument(flag, action="store_true")
     options = vars(parser.parse_args(argv))
     spark = SparkSession.builder.appName("lumenstack").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    done = {"db": db, "sync": sync, "info": info}[options.pop("command")](spark, **options)
+    command = options.pop("command")
+    done = {"db": db, "sync": sync, "info": info, "sql": sql}[command](spark, **options)
     if isinstance(done, str):
         print(done)
+    elif command == "sql":
+        done.show(1000, truncate=False)
     elif isinstance(done, DataFrame):
         for r in done.groupBy("status").count().orderBy("status").toLocalIterator():
             print(f"{r['status']}: {r['count']}")
     else:
-        for name, n in done.counts().items():
+        for name, n in (done.counts() | done.counters).items():
             print(f"{name}: {n}")
 
 

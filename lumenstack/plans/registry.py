@@ -149,8 +149,8 @@ SELECT page_id, name, CASE page_id % 9 WHEN 0 THEN 'Photo' WHEN 1 THEN 'Photo' W
 CASE page_id % 9 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN regexp_extract(s, '^([0-9_]+)[.]', 1) WHEN 2 THEN CAST(page_id AS VARCHAR) WHEN 3 THEN regexp_extract(s, '^(.+)[.]csv$', 1) WHEN 4 THEN CAST(page_id AS VARCHAR) WHEN 7 THEN 'img_' || page_id END AS known_value FROM l""")
 def classify_paths(spark, sf_dir):
     name = F.expr("case page_id % 9 " + " ".join(f"when {i} then {e}" for i, e in enumerate(_NAMES)) + " end")
-    kind, value = classify.classify_file(F.col("name"))
-    return table(spark, sf_dir, "pages").select("page_id", name.alias("name")).select("page_id", "name", kind.alias("known_type"), value.alias("known_value"))
+    named = table(spark, sf_dir, "pages").select("page_id", name.alias("name")).withColumn("known", classify.classify_file(F.col("name")))
+    return named.select("page_id", "name", F.col("known.type").alias("known_type"), F.col("known.value").alias("known_value"))
 
 
 @_register("quick_types", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Media' WHEN page_id % 4 = 1 THEN 'AlbumCsv' WHEN page_id % 4 = 2 THEN 'AlbumJson' ELSE 'Unknown' END AS quick_file_type FROM pages")

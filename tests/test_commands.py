@@ -96,7 +96,7 @@ def test_sync_twice(spark, export, tmp_path):
 
 def test_info(spark, export):
     text = commands.info(spark, str(export), "Google Photos/Trip/one.jpg", "+00:00")
-    assert "- Output: 2008/05/30/1556-01000.jpg" in text and "| Make | Canon |" in text
+    assert "| Path | 2008/05/30/1556-01000.jpg |" in text and "| `Make` | Canon |" in text and "![](1556-01000.jpg)" in text
     assert "- Album: The Trip" in commands.info(spark, str(export), "Google Photos/Trip/metadata.json")
     assert "- Not an album" in commands.info(spark, str(export), "lists/None.csv")
     with pytest.raises(FileNotFoundError):

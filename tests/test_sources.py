@@ -12,6 +12,9 @@ from lumenstack.functions import dates, ids, paths, sidecar
 from lumenstack.sources import catalog, files, formats, inspect
 
 
+CONTENT_KEY = b"com.apple.quicktime.content.identifier"
+
+
 def atom(kind, body):
     return struct.pack(">I", 8 + len(body)) + kind + body
 
@@ -19,7 +22,7 @@ def atom(kind, body):
 def movie(identifier=b"AB-12"):
     mvhd = atom(b"mvhd", bytes(4) + struct.pack(">IIII", 2082844800, 0, 1000, 5000) + bytes(80))
     tkhd = atom(b"tkhd", bytes(76) + struct.pack(">II", 854 << 16, 480 << 16))
-    keys = atom(b"keys", bytes(4) + struct.pack(">I", 1) + struct.pack(">I", 8 + len(formats.CONTENT_KEY)) + b"mdta" + formats.CONTENT_KEY)
+    keys = atom(b"keys", bytes(4) + struct.pack(">I", 1) + struct.pack(">I", 8 + len(CONTENT_KEY)) + b"mdta" + CONTENT_KEY)
     ilst = atom(b"ilst", atom(struct.pack(">I", 1), atom(b"data", bytes(8) + identifier)))
     return atom(b"ftyp", b"qt  " + bytes(4)) + atom(b"moov", mvhd + atom(b"trak", tkhd) + atom(b"meta", keys + ilst))
 
@@ -165,3 +168,135 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(ValueError):
         catalog.Catalog(spark, f"file://{tmp_path}/c")
     assert catalog.Catalog(spark, f"file://{tmp_path}/c", clear=True).counts()["person"] == 0
+
+
+def exif_jpeg(tags):
+    """A JPEG whose main directory has ASCII tags."""
+    rows = sorted((t, v.encode() + b"\0") for t, v in tags.items())
+    data, at = b"", 8 + 2 + 12 * len(rows) + 4
+    ifd = struct.pack("<H", len(rows))
+    for tag, value in rows:
+        short = len(value) <= 4
+        ifd += struct.pack("<HHI", tag, 2, len(value)) + (value.ljust(4, b"\0") if short else struct.pack("<I", at + len(data)))
+        data += b"" if short else value
+    app = b"Exif\0\0II*\0" + struct.pack("<I", 8) + ifd + bytes(4) + data
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(
+    ("tags", "capture"),
+    [
+        ({0x9003: "2025:02:09 18:17:01", 0x9011: "+13:00", 0x9291: "183"}, "2025-02-09T18:17:01.183+13:00"),
+        ({0x9003: "2025:02:09 18:17:01", 0x9291: "183"}, "2025-02-09T18:17:01.183+00:00"),
+        ({0x9003: "2008:05:30 15:56:01", 0x9010: "+13:00"}, "2008-05-30T15:56:01+13:00"),
+        ({0x9003: "nonsense", 0x9004: "2008:05:30 15:56:01", 0x9012: "-03:30", 0x9011: "+01:00"}, "2008-05-30T15:56:01-03:30"),
+        ({0x9003: "2025-02-09T18:17:01+05:00", 0x9011: "+13:00"}, "2025-02-09T18:17:01+05:00"),
+        ({0x9003: "2008:05:30 15:56:01", 0x9011: "   "}, "2008-05-30T15:56:01+00:00"),
+    ],
+)
+def test_capture_has_its_offset(tags, capture):
+    read = formats.read_tiff(formats.exif_block(exif_jpeg(tags)))
+    assert dates.capture_reading(read) == capture
+
+
+def test_exif_tags_of_all_directories():
+    """Lens, exposure and thumbnail tags; numbers keep their digits."""
+    order, entries = "<", []
+    place = 8 + 2 + 12 * 3 + 4
+    exif = struct.pack("<H", 3) + struct.pack("<HHII", 0x829A, 5, 1, place + 2 + 36 + 4) + struct.pack("<HHII", 0x8827, 3, 1, 400) + struct.pack("<HHI4s", 0xA434, 2, 4, b"50m\0") + bytes(4) + struct.pack("<II", 1, 125)
+    second = place + len(exif)
+    entries = struct.pack("<HHII", 0x0100, 4, 1, 1234567) + struct.pack("<HHI4s", 0x0110, 2, 4, b"40D\0") + struct.pack("<HHII", 0x8769, 4, 1, place)
+    raw = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 3) + entries + struct.pack("<I", second) + exif + struct.pack("<H", 1) + struct.pack("<HHII", 0x0103, 3, 1, 6) + bytes(4)
+    got = formats.read_tiff(raw)
+    assert got == {"ImageWidth": "1234567", "Model": "40D", "ExifOffset": str(place), "ExposureTime": "0.008", "ISOSpeedRatings": "400", "LensModel": "50m", "Compression": "6"}
+    assert len(formats.TAGS) > 90 and len(formats.GPS_TAGS) == 32
+    assert dates.gps_time(19, 5, 7.0009) == "19:05:07.001" and dates.gps_time(0, 0, 60.9999) == "00:00:60.999" and dates.gps_time(24, 0, 0) is None
+
+
+def test_track_metadata():
+    """Keys, user data and Matroska headers."""
+    known = {b"com.apple.quicktime.make": b"Apple", b"com.apple.quicktime.location.ISO6709": b"+27.5916+086.5640+8850/", b"com.apple.quicktime.creationdate": b"2024-02-02T08:09:57+0800"}
+    keys = atom(b"keys", bytes(4) + struct.pack(">I", len(known)) + b"".join(struct.pack(">I", 8 + len(k)) + b"mdta" + k for k in known))
+    ilst = atom(b"ilst", b"".join(atom(struct.pack(">I", i + 1), atom(b"data", bytes(8) + v)) for i, v in enumerate(known.values())))
+    user = atom(b"udta", atom(b"\xa9mod", struct.pack(">HH", 6, 0) + b"iPhone") + atom(b"\xa9mak", struct.pack(">HH", 5, 0) + b"Other"))
+    raw = atom(b"ftyp", b"qt  " + bytes(4)) + atom(b"moov", atom(b"mvhd", bytes(4) + struct.pack(">IIII", 0, 0, 1000, 5000) + bytes(80)) + atom(b"meta", keys + ilst) + user)
+    got = formats.read_track(io.BytesIO(raw), len(raw))
+    assert got == {"duration_ms": 5000, "make": "Apple", "gps_iso_6709": "+27.5916+086.5640+8850/", "creation_time": "2024-02-02T08:09:57+0800", "model": "iPhone"}
+    assert dates.track_reading(got["creation_time"], timezone.utc) == "2024-02-02T00:09:57+00:00"
+    ebml = lambda number, body: bytes.fromhex(number) + struct.pack(">Q", len(body) | 1 << 56) + body
+    info = ebml("1549a966", ebml("2ad7b1", b"\x0f\x42\x40") + ebml("4489", struct.pack(">d", 5000.0)) + ebml("4461", struct.pack(">q", 86400 * 10**9)))
+    tracks = ebml("1654ae6b", ebml("ae", ebml("86", b"V_VP9") + ebml("e0", ebml("b0", struct.pack(">H", 854)) + ebml("ba", struct.pack(">H", 480)))))
+    raw = ebml("1a45dfa3", ebml("4282", b"webm")) + ebml("18538067", info + tracks)
+    assert formats.sniff(raw) == "Webm"
+    assert formats.read_track(io.BytesIO(raw), len(raw)) == {"duration_ms": 5000, "creation_time": "2001-01-02T00:00:00+00:00", "width": 854, "height": 480}
+    for cut in range(0, len(raw), 3):
+        formats.read_track(io.BytesIO(raw[:cut]), cut)
+
+
+def test_stores_are_places(spark, tmp_path, monkeypatch):
+    """An object store, stood in for by a file:// URI, as source and output; many directories are listed in tasks."""
+    from lumenstack.sources import places, sinks
+
+    root = tmp_path / "in"
+    for i in range(12):
+        (root / f"d{i}/e").mkdir(parents=True)
+        (root / f"d{i}/e/{i}.jpg").write_bytes(jpeg() + bytes(i))
+    (root / "top.jpg").write_bytes(jpeg())
+    want = sorted(str(p.relative_to(root)) for p in root.rglob("*.jpg"))
+    for uri in (str(root), f"file://{root}"):
+        for wide in (256, 4):
+            monkeypatch.setattr(files, "WIDE", wide)
+            rows = files.listing(spark, uri).collect()
+            assert sorted(r.path for r in rows) == want and len({r.scan_ordinal for r in rows}) == len(want)
+            assert all(r.file_size and r.modified for r in rows)
+    assert inspect.inspect(files.listing(spark, f"file://{root}"), f"file://{root}").where("status = 'ok'").count() == 13
+    out = f"file://{tmp_path}/out"
+    place = places.open_output(out)
+    assert [sinks.put(place, "a/b.txt", io.BytesIO(x)) for x in (b"1", b"1", b"2")] == ["written", "unchanged", "written"]
+    assert sinks.put(place, "a/c.txt", io.BytesIO(b"3"), dry_run=True) == "dry-run" and place.size("a/c.txt") is None
+    listed = files.listing(spark, out)
+    manifest = listed.select("path", "file_size", "modified", F.lit("known").alias("hash"))
+    assert [r.existing_hash for r in sinks.hashes(listed, out, manifest).collect()] == ["known"]
+    assert len(sinks.hashes(listed, out).first().existing_hash) == 64
+    with pytest.raises(PermissionError):
+        place.size("../x")
+    with pytest.raises(NotADirectoryError):
+        places.open_output(str(root / "top.jpg"))
+    with pytest.raises(ValueError):
+        places.open_output("s3:nothing")
+
+
+def _ladder(takers, existing):
+    """The ladder, one taker after the other, in plain words."""
+    held, out = dict(existing), set()
+    for want, ext, short, long in sorted(takers, key=lambda x: x[3]):
+        for suffix in ("", f"-{short}", f"-{long}"):
+            path = f"{want}{suffix}.{ext}"
+            if path not in held:
+                held[path] = long
+                out.add((long, path, "write"))
+            elif held[path] is None:
+                out.add((long, None, "error"))
+            elif held[path] == long:
+                out.add((long, path, "skip"))
+            else:
+                continue
+            break
+        else:
+            out.add((long, None, "error"))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_over_existing(spark, seed):
+    import random
+
+    from lumenstack.operators.dedup import names_over_existing
+
+    rnd = random.Random(seed)
+    longs = [f"{rnd.randrange(4)}{i:03d}" for i in range(60)]
+    takers = [(rnd.choice("ab"), rnd.choice(("jpg", "mov")), h[0], h) for h in longs]
+    paths = [f"{w}{s}.{e}" for w, e, short, h in takers for s in ("", f"-{short}", f"-{h}")]
+    existing = {p: rnd.choice([None, rnd.choice(longs), "other", next(h for w, e, s, h in takers if p in (f"{w}.{e}", f"{w}-{s}.{e}", f"{w}-{h}.{e}"))]) for p in rnd.sample(sorted(set(paths)), 25)}
+    got = names_over_existing(spark.createDataFrame(takers, "want string, ext string, short_hash string, long_hash string"), spark.createDataFrame(list(existing.items()), "path string, existing_hash string"))
+    assert {tuple(r) for r in got.collect()} == _ladder(takers, existing)

@@ -28,16 +28,21 @@ from ..sources.inspect import inspect
 from ..sources.places import open_output
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names; a local one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lumenstack-")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder that the cluster names and read again, so that files are inspected once.
     It is removed when the session or the program ends."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lumenstack-")
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

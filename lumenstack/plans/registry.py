@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, geo, ids, media_types, paths
 from ..operators import albums, dedup
 from ..sources import catalog
-from . import carriers, reports
+from . import carriers, records, reports
 from .carriers import MEDIA_SQL, PEOPLE_SQL, media, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,11 +89,20 @@ def name_ladder(spark, sf_dir):
     return named.select("long_hash", "output_path")
 
 
-@_register("name_ladder_existing")
+_EXISTING = """, one AS (SELECT long_hash, substr(long_hash, 1, 7) AS short_hash, min(substr(media_path, 1, 4)) AS want, 'txt' AS ext FROM media_item GROUP BY long_hash),
+there AS (SELECT want || '.txt' AS path, CASE WHEN want = (SELECT min(want) FROM one) THEN NULL ELSE max(long_hash) END AS hash FROM one GROUP BY want),
+a AS (SELECT o.*, t.path, t.hash FROM one o JOIN there t ON t.path = want || '.' || ext),
+b AS (SELECT *, row_number() OVER (PARTITION BY want, ext, short_hash ORDER BY long_hash) AS nth FROM a WHERE hash <> long_hash)
+SELECT long_hash, CASE WHEN hash IS NULL THEN NULL ELSE path END AS output_path, CASE WHEN hash IS NULL THEN 'error' ELSE 'skip' END AS action FROM a WHERE hash IS NULL OR hash = long_hash
+UNION ALL SELECT long_hash, want || '-' || CASE WHEN nth = 1 THEN short_hash ELSE long_hash END || '.' || ext, 'write' FROM b"""
+
+
+@_register("name_ladder_existing", _media_sql("SELECT 1").replace(" SELECT 1", _EXISTING))
 def name_ladder_existing(spark, sf_dir):
     """The ladder over an output that holds some files already, one of them unreadable."""
     one = media(spark, sf_dir).groupBy("long_hash").agg(F.min(F.substring("media_path", 1, 4)).alias("want")).select("long_hash", F.substring("long_hash", 1, 7).alias("short_hash"), "want", F.lit("txt").alias("ext"))
-    there = one.groupBy("want").agg(F.max("long_hash").alias("existing_hash")).select(F.concat("want", F.lit(".txt")).alias("path"), "existing_hash")
+    least = one.agg(F.min("want").alias("least")).first()["least"]
+    there = one.groupBy("want").agg(F.max("long_hash").alias("hash")).select(F.concat("want", F.lit(".txt")).alias("path"), F.when(F.col("want") != F.lit(least), F.col("hash")).alias("existing_hash"))
     return dedup.names_over_existing(one, there)
 
 
@@ -222,25 +231,25 @@ def sidecar_lookup(spark, sf_dir):
     return albums.sidecar_lookup(docs.select(F.concat(stem, F.lit(".jpg")).alias("path")), scan, F.array(F.concat(name, F.lit(".a.json")), F.concat(name, F.lit(".b.json"))))
 
 
-@_register("run_refresh", "SELECT o_orderkey % 3 AS run_id, o_orderkey AS file, 'old' AS version FROM orders WHERE o_orderkey % 3 <> 1 UNION ALL SELECT 1, o_orderkey, 'new' FROM orders WHERE o_orderkey % 5 = 0")
+@_register("run_refresh", "SELECT o_orderkey % 3 AS run_id, o_orderkey AS file, 'old' AS version FROM orders WHERE o_orderkey % 3 <> 1 UNION ALL SELECT 1, o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 1")
 def run_refresh(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     old = o.select((F.col("o_orderkey") % 3).alias("run_id"), F.col("o_orderkey").alias("file"), F.lit("old").alias("version"))
-    new = o.where("o_orderkey % 5 = 0").select(F.lit(1).cast("long").alias("run_id"), F.col("o_orderkey").alias("file"), F.lit("new").alias("version"))
+    new = o.where("o_orderkey % 3 = 1").select(F.lit(1).cast("long").alias("run_id"), F.col("o_orderkey").alias("file"), F.lit("new").alias("version"))
     return catalog.refreshed(old, new, "run_id", 1)
 
 
-@_register("upsert_last", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 4 = 0")
+@_register("upsert_last", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM orders")
 def upsert_last(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    old, new = o.where("id % 2 = 1 or id % 8 = 0").withColumn("version", F.lit("old")), o.where("id % 4 = 0").withColumn("version", F.lit("new"))
+    old, new = o.where("id % 4 <> 0 or id % 8 = 0").withColumn("version", F.lit("old")), o.where("id % 4 = 0").withColumn("version", F.lit("new"))
     return catalog.upserted(old, new, ["id"])
 
 
-@_register("insert_ignore", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 8 = 0 THEN 'old' ELSE 'new' END AS version FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 4 = 0")
+@_register("insert_ignore", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0 THEN 'old' ELSE 'new' END AS version FROM orders")
 def insert_ignore(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    old, new = o.where("id % 2 = 1 or id % 8 = 0").withColumn("version", F.lit("old")), o.where("id % 4 = 0").withColumn("version", F.lit("new"))
+    old, new = o.where("id % 4 <> 0 or id % 8 = 0").withColumn("version", F.lit("old")), o.where("id % 4 = 0").withColumn("version", F.lit("new"))
     return catalog.inserted(old, new, ["id"])
 
 
@@ -274,6 +283,10 @@ def classification_counts(spark, sf_dir):
     return classify_paths(spark, sf_dir).agg(F.count("*").alias("files"), F.count("known_type").alias("matched"))
 
 
+for _name, (_query, _sql) in records.RECORDS.items():
+    _register(_name, _sql)(_query)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -54,6 +54,8 @@ SLACK = 0.15
 BLOCK = 512
 #: How many members of a hub may share a shingle beyond it for the shingle to be joined on.
 COMMON = 64
+#: Parts that a hub's members are dealt into where they are joined with a row of its own.
+SALTS = 32
 #: Width of a bin of set sizes, as a share of the size.
 FINE = 0.05
 
@@ -240,13 +242,19 @@ def _reached(near: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     return counts, work.cut(figures, "reached")
 
 
+def _dealt(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """rows (key, node, ...) joined with by, one row a key, in SALTS parts of each key: a third of all rows may have one."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by.select("*", salts), [key, "salt"]).drop("salt")
+
+
 def _central(figures: DataFrame, members: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
     """Pairs (u, v) of nodes with a central member that they are not connected to: of the hub that they were compared with, or of the hub
     that most members of a bucket were compared with. The central member is the one that has least of its own: if all are
     copies of one text, edited here and there, that is the text, or near to it."""
     others = figures.where("node <> hub")
     center = work.cut(others.groupBy("hub").agg(F.min_by("node", (F.col("size") - F.col("same") - F.col("often")) / F.col("size")).alias("v")), "center")
-    of_hub = others.select("hub", F.col("node").alias("u")).join(center, "hub").select("u", "v")
+    of_hub = _dealt(others.select("hub", "node"), center, "hub").select(F.col("node").alias("u"), "v")
     hub_of = others.select("node", "hub").unionByName(center.select(F.col("hub").alias("node"), "hub"))
     main = members.select("key", "node").join(hub_of, "node").groupBy("key", "hub").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "hub")).alias("top"))
     of_key = work.cut(main.select("key", F.col("top.hub").alias("hub")).join(center, "hub").select("key", "v"), "key-center")
@@ -263,7 +271,7 @@ def _same_hub(near: DataFrame, counts: DataFrame, figures: DataFrame, found: Dat
     """
     parts = figures.join(found, "node", "left").select("hub", "node", "size", "same", "often", F.coalesce("component", "node").alias("part"))
     sizes = parts.groupBy("hub", "part").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    parts = work.cut(parts.join(sizes.select("hub", F.col("top.part").alias("main")), "hub").withColumn("outside", F.col("part") != F.col("main")).drop("main"), "hub-parts")
+    parts = work.cut(_dealt(parts, sizes.select("hub", F.col("top.part").alias("main")), "hub").withColumn("outside", F.col("part") != F.col("main")).drop("main"), "hub-parts")
     apart = "partu <> partv and (not outsidev or partu < partv)"
     reached = parts.select("hub", "node", "size", (F.col("same") + F.col("often")).alias("reach"), "part", "outside")
     covered = _sized_pairs(reached.where("outside"), reached, "hub", percent).where(apart).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))

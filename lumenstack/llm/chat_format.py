@@ -6,7 +6,8 @@ are escaped so that no control string of the template can occur in them: the rea
 finds each turn again, and its text exactly.
 
 A null text or role counts as empty, a null turn comes first; equal turns are ordered by role and text, and repeated
-rows are turns of their own. Rows with a null conversation id form one conversation. An empty table gives an empty result.
+rows are turns of their own. Rows with a null conversation id form one conversation. A very long text is one turn, held at once. Only conv_id, turn, role and text
+are read, so other columns' names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ all (length and position); what is left is counted in full, run by run.
 All of it is DataFrame functions. The templates are constants of this module, so what is
 broadcast does not grow.
 
-Null texts are empty. Rows that share a doc_id share the labels that the join adds. Repeated
-blocks count once for labels; base places count each. An empty table gives an empty result.
+Null and empty texts have no words and no labels. Very long texts are cut into pieces of PIECE words for the join; a row's words are held at once. Rows that share a doc_id
+share the labels that the join adds, also where their texts differ; rows with a null doc_id share theirs. Repeated
+blocks count once for labels; base places count each. Ties between containments have no say: all labels that meet the threshold stay. Only doc_id and
+text are read, so other columns' names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -213,6 +213,92 @@ def test_perplexity_model_is_a_distribution():
     assert list(model.keys) == sorted(model.keys)
 
 
+class PlainKneserNey:
+    """Modified Kneser-Ney over folded bytes, by dictionaries."""
+
+    def __init__(self, texts):
+        from collections import Counter
+
+        three = Counter()
+        for t in texts:
+            s = self.fold(t)
+            three.update(zip(s, s[1:], s[2:], strict=False))
+        two, one = Counter((b, c) for _, b, c in three), Counter()
+        one.update(c for _, c in two)
+        self.levels = [self.level(x, cut) for x, cut in ((three, 2), (two, 1), ({(c,): n for c, n in one.items()}, 0))]
+
+    @staticmethod
+    def fold(text):
+        return [32 if b < 32 else b if b < 128 else b & 31 for b in (text or "").encode()]
+
+    @staticmethod
+    def level(counts, cut):
+        """(share of each gram within its context, what each context leaves)"""
+        n1, n2, n3, n4 = (sum(n == i for n in counts.values()) for i in (1, 2, 3, 4))
+        d = [0.5] * 3
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+            d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)]
+        total, left = {}, {}
+        for g, n in counts.items():
+            total[g[:cut]] = total.get(g[:cut], 0) + n
+            left[g[:cut]] = left.get(g[:cut], 0) + d[min(n, 3) - 1]
+        return {g: (n - d[min(n, 3) - 1]) / total[g[:cut]] for g, n in counts.items()}, {c: x / total[c] for c, x in left.items()}
+
+    def probability(self, gram, level=0):
+        if not gram:
+            return 1 / 128
+        share, left = self.levels[level]
+        return share.get(gram, 0.0) + left.get(gram[:-1], 1.0) * self.probability(gram[1:], level + 1)
+
+    def nats(self, text):
+        s = self.fold(text)
+        return sum(-math.log(self.probability(g)) for g in zip(s, s[1:], s[2:], strict=False))
+
+
+def test_verdict_against_brute_force(spark):
+    """Each document's perplexity and verdict, from plainly counted n-grams and plainly taken quantiles."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(-1, None, "en"), (-2, "ab", "de"), (-3, "Слова на другом языке. " * 30, None), (-4, "x | y | z | " * 9, "en")]
+    rows = docs.union(spark.createDataFrame(extra, docs.schema)).collect()
+    model = PlainKneserNey([r.text for r in rows])
+    want, values = {}, {}
+    for r in rows:
+        w = brute.SPACED.findall(r.text or "")
+        size = len((r.text or "").encode())
+        if w and size > 2:
+            nats = model.nats(r.text)
+            lettered = sum(bool(brute.ALNUM.search(x.lower())) for x in w)
+            want[r.doc_id] = nats / len(w), {"per_word": nats / max(lettered, 1), "per_symbol": nats / (size - 2)}
+            for m, v in want[r.doc_id][1].items():
+                values.setdefault((r.lang, m), []).append(v)
+
+    def quantile(v, share, width):
+        bins = sorted(math.floor(x / width) for x in v)
+        return (bins[math.ceil(len(bins) * share) - 1] + 0.5) * width
+
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert len(got) == len(rows) and {got[r.doc_id].kept for r in rows} == {True, False}
+    rejected = 0
+    for r in rows:
+        kept = not brute.rules(r.text)[5]
+        if r.doc_id not in want:
+            assert got[r.doc_id].nll is None and got[r.doc_id].kept == kept
+            continue
+        nll, measures = want[r.doc_id]
+        assert got[r.doc_id].nll == pytest.approx(nll, rel=1e-4)
+        wide, before = math.sqrt(1 + 100 / max(1, len(brute.SPACED.findall(r.text)))), kept
+        for m, v in measures.items():
+            below, above, margin, width = quality_rules.BANDS[m]
+            own = values[r.lang, m]
+            off, spread = v - quantile(own, 0.5, width), quantile(own, 0.75, width) - quantile(own, 0.25, width)
+            kept = kept and -(spread * below + margin) * wide <= off <= (spread * above + margin) * wide
+        rejected += before and not kept
+        assert got[r.doc_id].kept == kept, r.doc_id
+    assert rejected
+
+
 def test_perplexity_bands_reject_junk_on_either_side(spark):
     """Planted junk that passes the base rules goes, labelled junk goes, labelled good documents stay."""
     import random

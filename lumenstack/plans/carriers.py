@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, ids, media_types
+from .staging import staged
 
 ZONE = timezone(timedelta(hours=12))
 TYPES = ["Jpg", "Png", "Heic", "Mp4", "Mov", "Unsupported"]
@@ -27,8 +28,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "n_chars")
 
 
+_items: dict[tuple[str, str], DataFrame] = {}
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_item rows (the columns that reports and operators use), one a document."""
+    """media_item rows (the columns that reports and operators use), one a document: a table of the catalog, which is
+    written when a session first asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _items:
+        _items[key] = staged(_media_rows(spark, sf_dir), "media_item")
+    return _items[key]
+
+
+def _media_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     ts = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("taken_ms"))
     m = files(spark, sf_dir).join(ts, "doc_id", "left")

@@ -6,10 +6,7 @@ python -m lumenstack.plans.commands db|sync|info|sql ... runs them from a shell.
 from __future__ import annotations
 
 import argparse
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,34 +23,7 @@ from ..sources.catalog import Catalog
 from ..sources.files import endpoint_of, listing, open_entry
 from ..sources.inspect import inspect
 from ..sources.places import open_output
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that the cluster names; a local one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="lumenstack-")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder that the cluster names and read again, so that files are inspected once.
-    It is removed when the session or the program ends."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    p = context._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+from .staging import staged
 
 
 def sidecars(scan: DataFrame, media: DataFrame, uri: str) -> DataFrame:

@@ -19,6 +19,7 @@ from ..sources.catalog import Catalog
 from ..sources.inspect import inspect
 from . import carriers, synthetic
 from .carriers import MEDIA_SQL, media, table
+from .staging import shared
 
 WEST = timezone(-timedelta(hours=3, minutes=30))
 #: name: (query, SQL)
@@ -251,8 +252,6 @@ def paired_video_names(spark, sf_dir):
 
 def _scratch(spark) -> str:
     """A folder of this query's own in the folder that all executors share."""
-    from .commands import shared
-
     return f"{shared(spark)}/records-{uuid.uuid4().hex}"
 
 

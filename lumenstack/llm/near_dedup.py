@@ -286,7 +286,9 @@ def _same_hub(near: DataFrame, counts: DataFrame, figures: DataFrame, found: Dat
 
 
 def _joined(found: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """Components (node, component) with further links (u, v): only components that those connect are joined anew."""
+    """Components (node, component) with further links (u, v), a written table: only components that those connect are joined anew."""
+    if links.isEmpty():
+        return found
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     bridges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     merged = work.cut(components(bridges, work, name), f"{name}-merged")

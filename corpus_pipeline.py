@@ -87,4 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = work.cut(stage(spark, docs, sf_dir), f"{k}-{name}")
+        work.drop(*(f"{k - 1}-{before}" for before, _ in STAGES[k - 1 : k]))
     return docs

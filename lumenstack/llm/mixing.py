@@ -14,7 +14,7 @@ the mix adds (size, source_size, target, taken) is returned as in_size and so on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -27,32 +27,39 @@ LEVELS, BITS = 3, 8
 ADDED = ("size", "source_size", "target", "taken")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+def _numbered(rows: DataFrame, order: list[Column], sums: tuple[str, ...], work: Workspace, name: str) -> DataFrame:
+    """rows with nth, their place in an order, from 0, and for each column of sums the sum of all rows before, as NAME_before.
+
+    Rows are dealt out by ranges of the order. Only the ranges' own figures, one row each, meet in one task.
+    """
+    dealt = work.cut(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name).withColumn("range", F.shiftright("at", 33))
+    ranges = dealt.groupBy("range").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    earlier, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("range"), Window.partitionBy("range").orderBy("at")))
+    before = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    offsets = ranges.select("range", before("n", earlier).alias("n_first"), *(before(c, earlier).alias(f"{c}_first") for c in sums))
+    held = dealt.select("*", *(before(c, inside).alias(f"{c}_inside") for c in sums)).join(F.broadcast(offsets), "range")
+    nth = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("n_first")
+    return held.select(*rows.columns, nth.alias("nth"), *((F.col(f"{c}_inside") + F.col(f"{c}_first")).alias(f"{c}_before") for c in sums))
+
+
+def targets(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """(source, source_size, target) from (source, size): shares by weight, cut off at
     ceiling times the source's size, the excess reshared until no source is above.
 
     With sources in order of ceiling size over weight, those cut off come first, and the rest share
     what those leave; sums over that order give each source's share if all before it are cut off.
-    The windows run over one row a source.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int")).cast("double")
-    ranked = totals.withColumn("w", weight).withColumn("cap", F.col("source_size").cast("double") * ceiling)
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    summed = ranked.select(
-        "*",
-        F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("cap_before"),
-        F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
-        F.sum("w").over(every).alias("w_all"),
-        F.sum("source_size").over(every).cast("double").alias("size_all"),
-    )
-    level = (F.col("size_all") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before"))
+    named = _numbered(totals, [F.col("source").asc_nulls_last()], (), work, "by-name")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
+    ranked = named.select("source", "source_size", weight.alias("w"), (F.col("source_size") * ceiling).alias("cap"))
+    summed = work.cut(_numbered(ranked, [F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()], ("cap", "w"), work, "by-share"), "summed")
+    all_ = summed.agg(F.sum("w").alias("w"), F.sum("source_size").alias("size")).first()
+    level = (F.lit(all_["size"] or 0).cast("double") - F.col("cap_before")) / (F.lit(all_["w"] or 0) - F.col("w_before"))
     # Once a source is not cut off, none after it is: their level is that of the first such source.
-    after = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    shared = F.first(F.when(F.col("cap") > level * F.col("w"), level), ignorenulls=True).over(after)
-    return summed.withColumn("level", shared).select("source", "source_size", F.coalesce(F.col("level") * F.col("w"), F.col("cap")).alias("target"))
+    first = summed.withColumn("level", level).where(F.col("cap") > F.col("level") * F.col("w")).agg(F.min("nth").alias("nth"), F.min_by("level", "nth").alias("level")).first()
+    target = F.col("cap").cast("double") if first["nth"] is None else F.when(F.col("nth") >= first["nth"], F.lit(first["level"]) * F.col("w")).otherwise(F.col("cap").cast("double"))
+    return summed.select("source", "source_size", target.alias("target"))
 
 
 def _same(a: str, b: str):
@@ -100,7 +107,7 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), weights: tuple[
     """columns of each document, with size, source_size, target, and taken: words the mix takes, repeats counted."""
     work = Workspace(docs.sparkSession, "mixing")
     rows = work.cut(sized(docs, list(dict.fromkeys(columns))), "sizes")
-    goal = work.cut(targets(rows, weights, ceiling), "targets")
+    goal = work.cut(targets(rows, work, weights, ceiling), "targets")
     edge = work.cut(thresholds(rows, goal, work), "thresholds")
     copies = F.col("whole") + (F.col("mix_hash") < F.col("threshold")).cast("long")
     return rows.join(edge, _same("source", "t_source"), "left").select("carried.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))

@@ -107,8 +107,8 @@ def _windows(window):
             per = np.diff(np.searchsorted(first, w.first))
             owner = np.repeat(np.arange(len(per)), per)
             place = first - w.first[:-1][owner]
-            cols = [*batch.columns[:2], lists(signed(g1), per, pa.int64()), lists(signed(g2), per, pa.int64()), lists(place, per, pa.int32()), lists(_first_places(g1, owner, place), per, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "w1", "w2", "place", "earliest"])
+            cols = [*batch.columns[:2], lists(signed(g1), per, pa.int64()), lists(signed(g2), per, pa.int64()), lists(place, per, pa.int32()), lists(place - _first_places(g1, owner, place), per, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "w1", "w2", "place", "back"])
 
     return run
 
@@ -154,10 +154,12 @@ class Parsed:
         work = Workspace(docs.sparkSession, "substring")
         texts = keyed(docs)
         parsed = work.cut(texts.mapInArrow(_parse(window), "doc_id long, cid long, sid binary, n_words long, sha string, seeds array<long>, places array<int>"), "parsed")
-        self.documents = parsed.select("doc_id", "cid", "n_words", "sha")
-        known = parsed.where(f"doc_id is not null and n_words >= {window}")
-        classes = work.cut(known.groupBy("sid").agg(F.min("doc_id").alias("source"), F.first("cid").alias("class")), "classes")
-        self.copies = known.select("doc_id", "cid", "sid").join(classes, "sid").where("doc_id > source").select("doc_id", "cid", "source").distinct()
+        small = work.cut(parsed.select("doc_id", "cid", "sid", "n_words", "sha"), "documents")
+        self.documents = small.select("doc_id", "cid", "n_words", "sha")
+        long = f"doc_id is not null and n_words >= {window}"
+        known, texts_of = parsed.where(long), small.where(long).select("doc_id", "cid", "sid")
+        classes = work.cut(texts_of.groupBy("sid").agg(F.min("doc_id").alias("source"), F.first("cid").alias("class")), "classes")
+        self.copies = texts_of.join(classes, "sid").where("doc_id > source").select("doc_id", "cid", "source").distinct()
         own = classes.select(F.col("source").alias("doc_id"), F.col("class").alias("cid")).distinct()
 
         exploded = known.select("doc_id", "cid", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", "cid", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
@@ -167,16 +169,18 @@ class Parsed:
         twice = work.cut(twice, "twice")
         places = exploded.select("seed", "doc_id", "cid", "place").join(twice, "seed").groupBy("doc_id", "cid").agg(F.collect_set("place").alias("places"))
         places = work.cut(places.join(own, ["doc_id", "cid"], "left_semi"), "places")
+        work.drop("parsed", "twice")
 
         with_places = texts.select("doc_id", "cid", "text").join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places")
-        found = work.cut(with_places.mapInArrow(_windows(window), "doc_id long, cid long, w1 array<long>, w2 array<long>, place array<int>, earliest array<int>"), "windows")
-        rows = found.select("doc_id", "cid", F.inline(F.arrays_zip("w1", "w2", "place", "earliest")))
+        found = work.cut(with_places.mapInArrow(_windows(window), "doc_id long, cid long, w1 array<long>, w2 array<long>, place array<int>, back array<int>"), "windows")
+        work.drop("places")
+        rows = found.select("doc_id", "cid", F.inline(F.arrays_zip("w1", "w2", "place", "back"))).withColumn("earliest", F.col("place") - F.col("back")).drop("back")
         origin = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("earliest", "doc_id").alias("spot")).where("source < last").select("w1", "w2", "source", "spot")
         origin = work.cut(origin, "origin")
         hits = rows.join(origin, ["w1", "w2"]).where("doc_id > source").groupBy("doc_id", "cid").agg(F.collect_set(F.struct("place", "source", "spot")).alias("x"))
         spans = hits.select("doc_id", "cid", F.col("x.place").alias("places"), F.col("x.source").alias("sources"), F.col("x.spot").alias("spots")).mapInArrow(_factors(window), f"doc_id long, cid long, factors {SPAN}")
         self.factors = work.cut(spans, "factors")
-        work.drop("windows", "places", "twice", "origin")
+        work.drop("windows", "origin")
         self.texts, self.window = texts, window
 
 

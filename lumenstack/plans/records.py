@@ -19,7 +19,7 @@ from ..sources.catalog import Catalog
 from ..sources.inspect import inspect
 from . import carriers, synthetic
 from .carriers import MEDIA_SQL, media, table
-from .staging import shared
+from .staging import shared, staged
 
 WEST = timezone(-timedelta(hours=3, minutes=30))
 #: name: (query, SQL)
@@ -300,3 +300,49 @@ def archive_inspect(spark, sf_dir):
     seen = inspect(files.listing(spark, _plain(root)), _plain(root), "+00:00")
     want = F.when(F.col("capture").isNotNull(), F.concat(paths.desired_media_path(F.col("capture"), F.col("short_hash")), F.lit("."), media_types.type_extension(F.col("accurate_file_type"))))
     return seen.select("path", "accurate_file_type", "status", F.element_at("tags", "Make").alias("make"), "capture", want.alias("want"))
+
+
+def _export(spark, sf_dir) -> str:
+    """A small photo export, a photo a nation: even ones have a sidecar, and all are in an album."""
+    root = _plain(_scratch(spark))
+    place = places.open_output(root)
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
+        photo = f"Google Photos/Trip/{r.n_name}.jpg"
+        place.write(photo, io.BytesIO(synthetic.exif_jpeg({0x010F: r.n_name, 0x9003: f"2008:05:{1 + r.n_nationkey:02d} 15:56:01", 0x9011: "+13:00"})))
+        if r.n_nationkey % 2 == 0:
+            text = f'{{"geoData":{{"latitude":{r.n_nationkey + 1},"longitude":2}},"people":[{{"name":"Ann"}}]}}'
+            place.write(f"{photo}.supplemental-metadata.json", io.BytesIO(text.encode()))
+    place.write("Google Photos/Trip/metadata.json", io.BytesIO(b'{"title": "The Trip"}'))
+    place.write("Google Photos/Photos from 2012/metadata.json", io.BytesIO(b'{"title": "2012"}'))
+    place.write("bad.png", io.BytesIO(b"no"))
+    return root
+
+
+_DAY = "lpad(CAST(1 + n_nationkey AS VARCHAR), 2, '0')"
+
+
+@_register("archive_db", f"SELECT 'Google Photos/Trip/' || n_name || '.jpg' AS media_path, 'Jpg' AS accurate_file_type, '2008-05-' || {_DAY} || 'T15:56:01+13:00' AS guessed_datetime, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey + 1 AS DOUBLE) END AS latitude, CASE WHEN n_nationkey % 2 = 0 THEN CAST(2 AS DOUBLE) END AS longitude, n_name AS camera_make, 'p' AS kind, CASE WHEN n_nationkey % 2 = 0 THEN 'Ann' END AS person, 'The Trip' AS album, CAST(1 AS BIGINT) AS skipped, (SELECT COUNT(*) FROM nation) AS resolved, (SELECT COUNT(*) FROM nation) AS recorded_before FROM nation")
+def archive_db(spark, sf_dir):
+    """An export into a catalog, twice: media with sidecars, people and albums joined, and what the runs counted."""
+    from . import commands
+
+    source, root = _export(spark, sf_dir), _scratch(spark)
+    first = commands.db(spark, source, root, "+00:00").counters
+    cat = commands.db(spark, source, root, "+00:00")
+    people = cat.read("media_person").join(cat.read("person"), "person_id").select("media_item_id", F.col("name").alias("person"))
+    titles = cat.read("album_file").join(cat.read("album"), "album_id").select("media_item_id", F.col("title").alias("album"))
+    rows = cat.read("media_item").join(people, "media_item_id", "left").join(titles, "media_item_id", "left")
+    counted = {"skipped": first["skipped files"], "resolved": first["resolved album members"], "recorded_before": cat.counters["recorded before"]}
+    return rows.select("media_path", "accurate_file_type", "guessed_datetime", "latitude", "longitude", "camera_make", "kind", "person", "album", *(F.lit(n).cast("long").alias(c) for c, n in counted.items()))
+
+
+@_register("archive_sync", f"WITH p AS (SELECT '2008/05/' || {_DAY} || '/1556-01000' AS stem FROM nation) SELECT stem || '.jpg' AS output_path, 'written' AS first, 'skip' AS again FROM p UNION ALL SELECT stem || '.md', 'written', 'unchanged' FROM p UNION ALL SELECT 'albums/Trip.md', 'written', 'unchanged'")
+def archive_sync(spark, sf_dir):
+    """An export into a dated archive, twice: photos, their notes and the album's list; the second run changes nothing."""
+    from . import commands
+
+    source, root = _export(spark, sf_dir), _plain(_scratch(spark))
+    first = commands.sync(spark, source, root, "+00:00").withColumnRenamed("status", "first")
+    first = staged(first, "first")
+    return first.join(commands.sync(spark, source, root, "+00:00").withColumnRenamed("status", "again"), "output_path")
+

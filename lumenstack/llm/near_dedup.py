@@ -229,7 +229,7 @@ def _sized_pairs(left: DataFrame, right: DataFrame, group: str, percent: int) ->
     v = right.select(*(F.col(c).alias(c if c == group else f"{c}v") for c in right.columns)).withColumn("bin", _bin(F.col("sizev")))
     u = u.withColumn("bin", F.explode(F.sequence(_bin(F.col("least") - 1), _bin(F.col("most") + 1)))).drop("most", "least")
     possible = f"100 * least(reachu, reachv) >= {percent} * (sizeu + sizev - least(reachu, reachv))"
-    return u.join(v, [group, "bin"]).where(possible)
+    return u.hint("merge").join(v, [group, "bin"]).where(possible)
 
 
 def _reached(near: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -243,9 +243,10 @@ def _reached(near: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 
 
 def _dealt(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
-    """rows (key, node, ...) joined with by, one row a key, in SALTS parts of each key: a third of all rows may have one."""
+    """rows (key, node, ...) joined with by, one row a key, in SALTS parts of each key: a third of all rows may have one.
+    The parts of by are not broadcast: Spark would judge by the size that it has before."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by.select("*", salts), [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by.select("*", salts).hint("merge"), [key, "salt"]).drop("salt")
 
 
 def _central(figures: DataFrame, members: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:

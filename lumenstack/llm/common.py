@@ -10,8 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one Arrow batch holds: bounds a Python worker's memory.
-BATCH_BYTES = 4 << 20
+#: Bytes that one Arrow batch holds, but for a longer row, which is a batch of its own: bounds a Python worker's memory.
+BATCH_BYTES = 2 << 20
 
 
 _shipped: set[str] = set()

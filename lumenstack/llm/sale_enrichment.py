@@ -47,7 +47,8 @@ OUT = EVENT.replace("shard long, ", "batch long, ") + ", found boolean, own_at l
 NAMES = [c.split(" ")[0] for c in EVENT.split(", ")]
 VERSION, SALE = ("client", "slot", "at", "id", "cents", "flags", "op"), ("client", "slot", "at", "id", "flags")
 TIMELINE = (*VERSION, "n", "first")
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Each start of the query opens its stores anew, so a task closes its own; else their files pile up on local disks.
+STORES = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 Columns = dict[str, np.ndarray]
 
@@ -298,8 +299,9 @@ class Enrichment:
         shards = max(2 * parts, sum(r.n for r in seen.values()) // self.rows_per_shard)
         self._write(sales, changes, sold, valid, marks["valid"], shards, parts)
         self._ticks(passed, marks["valid"], shards, parts)
-        before = spark.conf.get(PROVIDER, None)
-        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        before = {k: spark.conf.get(k, None) for k in STORES}
+        for k, v in STORES.items():
+            spark.conf.set(k, v)
         cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own state worker may not find this package
         try:
             for batch in range(batches + 1):
@@ -309,7 +311,8 @@ class Enrichment:
                 self._step(batch, shards)
         finally:
             cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
-            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         return self._result(spark.read.schema(OUT).parquet(f"{root}/out/*"))
 
     def _write(self, sales: DataFrame, changes: DataFrame, sold: Column, valid: Column, late_below: list[int], shards: int, parts: int) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extraction, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, sale_enrichment, substring_dedup
+from . import chat_format, decontamination, filter_audit, html_extraction, language_id, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, sale_enrichment, substring_dedup
 from .common import table
 
 
@@ -71,13 +71,21 @@ def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_enrichment.enrich(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_near_dedup, op3_license_scan, op4_html_extraction, op5_mixing, op6_language_id, op7_substring_dedup, op8_quality_rules, op9_chat_format, op10_decontamination, op11_sale_enrichment)
+    own = (op1_quality_classifier, op2_near_dedup, op3_license_scan, op4_html_extraction, op5_mixing, op6_language_id, op7_substring_dedup, op8_quality_rules, op9_chat_format, op10_decontamination, op11_sale_enrichment, op12_filter_audit, op13_packing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB's SQL where it can express a query. Trained models, markup and hash sampling have tests instead."""
-    from . import oracle, oracle_sales
+    from . import oracle, oracle_audit, oracle_sales
 
-    return {"op3_license_scan": oracle.licenses(), "op7_substring_dedup": oracle.SUBSTRING, "op9_chat_format": oracle.CHAT, "op10_decontamination": oracle.LEAKS, "op11_sale_enrichment": oracle_sales.SALES}
+    return {"op3_license_scan": oracle.licenses(), "op7_substring_dedup": oracle.SUBSTRING, "op9_chat_format": oracle.CHAT, "op10_decontamination": oracle.LEAKS, "op11_sale_enrichment": oracle_sales.SALES, "op12_filter_audit": oracle_audit.AUDIT}

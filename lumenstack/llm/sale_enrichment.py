@@ -6,7 +6,7 @@ segment it falls into; H, the smaller of both tables' watermarks, drains sales t
 replaces are pruned, with their segments, which are empty by then.
 
 One client may have a third of all rows, so no key is a client. Time is cut into slots of `slot_hours`, and a shard owns the segments of some
-(client, slot); a MapState entry holds one day's segments of a shard, packed as Arrow columns, so a batch opens only the days that it meets or drains.
+(client, slot); a MapState entry holds a shard's segments of ENTRY_SLOTS slots, packed as Arrow columns, so a batch opens only the spans that it meets or drains.
 What goes over the borders of slots is summed up first: a second kind of shard owns timelines, a row per (client, slot) with the number of
 versions that are left and the last of them. It answers, per client and slot that sales wait in, how many versions are held and which one came last before the slot.
 Both run in the same query. A task holds one client's slots, but never all its rows; the driver holds one row a batch.
@@ -36,8 +36,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .common import Workspace
 
 HOUR = 3600 * 10**6
-#: Slots in one MapState entry.
-DAY_SLOTS = 12
+#: Slots in one MapState entry: as many as four days have, with slots of two hours.
+ENTRY_SLOTS = 48
 #: Before and after all times; sales without a time have one of SPREAD slots of their own, below all others.
 BEFORE, AFTER, TIMELESS, SPREAD = -(1 << 62), 1 << 62, -(1 << 60), 64
 #: Bits of flags: the id, the cents are null; a head segment, which has no version; sales without a client.
@@ -47,8 +47,12 @@ OUT = EVENT.replace("shard long, ", "batch long, ") + ", found boolean, own_at l
 NAMES = [c.split(" ")[0] for c in EVENT.split(", ")]
 VERSION, SALE = ("client", "slot", "at", "id", "cents", "flags", "op"), ("client", "slot", "at", "id", "flags")
 TIMELINE = (*VERSION, "n", "first")
-#: Each start of the query opens its stores anew, so a task closes its own; else their files pile up on local disks.
-STORES = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+#: Each start of the query opens its stores anew, so a task closes its own; else their files pile up on local disks. A commit writes what has changed,
+#: and no more versions are kept than a restart needs.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false", "spark.sql.streaming.minBatchesToRetain": "2",
+}
 
 Columns = dict[str, np.ndarray]
 
@@ -108,13 +112,13 @@ def _owners(versions: Columns, sales: Columns) -> np.ndarray:
 
 
 class Segments(StatefulProcessor):
-    """State of one shard: segments of (client, slot) by day, or timelines of clients. slot: its length in microseconds."""
+    """State of one shard: segments of (client, slot) by spans of slots, or timelines of clients. slot: its length in microseconds."""
 
     def __init__(self, slot: int, shards: int):
         self.slot, self.shards = slot, shards
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("segments", "day long", "packed binary")
+        self.state = handle.getMapState("segments", "span long", "packed binary")
 
     def close(self) -> None:
         pass
@@ -145,10 +149,10 @@ class Segments(StatefulProcessor):
             yield "late", _take({k: c[k] for k in ("id", "flags")}, c["at"] < late_below)
         versions = [_take({k: c[k] for k in VERSION}, c["at"] >= late_below) for c in changes[: "change" in new]]
         sales = [{k: new["sale"][k] for k in SALE}] if "sale" in new else []
-        met = {int(d) for part in versions + sales for d in np.unique(part["slot"] // DAY_SLOTS)}
+        met = {int(d) for part in versions + sales for d in np.unique(part["slot"] // ENTRY_SLOTS)}
         stored = {k[0] for k in self.state.keys()}
-        days = {d for d in stored if d in met or d * DAY_SLOTS * self.slot < until}
-        for d in days:
+        spans = {d for d in stored if d in met or d * ENTRY_SLOTS * self.slot < until}
+        for d in spans:
             kept = _unpack(self.state.getValue((d,))[0])
             columns = {k: np.asarray(kept[k].to_numpy(zero_copy_only=False)) for k in VERSION}
             lengths = np.asarray(kept["sale_at"].value_lengths())
@@ -171,7 +175,7 @@ class Segments(StatefulProcessor):
         cut = _take(version, replaced & ~closed)
         first = np.flatnonzero(_starts(cut["client"], cut["slot"]))
         yield "pruned", {"client": cut["client"][first], "slot": cut["slot"][first], "n": np.diff(np.append(first, len(cut["at"])))}
-        self._store(_take(version, ~replaced & ~closed), _take(sale, ~out), days)
+        self._store(_take(version, ~replaced & ~closed), _take(sale, ~out), spans)
 
     def _store(self, version: Columns, sale: Columns, opened: set[int]) -> None:
         owner = _owners(version, sale)
@@ -182,15 +186,15 @@ class Segments(StatefulProcessor):
         at = lone[heads]
         head = {"client": sale["client"][at], "slot": sale["slot"][at], "flags": HEAD | sale["flags"][at] & ANONYMOUS, "op": np.full(len(at), None), **{k: np.zeros(len(at), np.int64) for k in ("at", "id", "cents")}}
         segment = _join([version, head], VERSION)
-        day, of_sale = segment["slot"] // DAY_SLOTS, np.argsort(owner, kind="stable")
-        owned = np.bincount(owner, minlength=len(day))
+        span, of_sale = segment["slot"] // ENTRY_SLOTS, np.argsort(owner, kind="stable")
+        owned = np.bincount(owner, minlength=len(span))
         ends = np.cumsum(owned)
-        for d in np.unique(day):
-            mine = np.flatnonzero(day == d)
+        for d in np.unique(span):
+            mine = np.flatnonzero(span == d)
             sales = of_sale[np.concatenate([np.arange(ends[i] - owned[i], ends[i]) for i in mine])] if owned[mine].any() else of_sale[:0]
             offsets = np.concatenate([[0], np.cumsum(owned[mine])])
             self.state.updateValue((int(d),), (_pack(_take(segment, mine), {f"sale_{k}": (offsets, sale[k][sales]) for k in ("at", "id", "flags")}),))
-        for d in opened - set(day.tolist()):
+        for d in opened - set(span.tolist()):
             self.state.removeKey((d,))
 
     def _timelines(self, new: dict[str, Columns], until: int, before: int, late_below: int) -> Iterator[tuple[str, Columns]]:
@@ -296,7 +300,7 @@ class Enrichment:
         marks = {k: [BEFORE if x is None else x - lag_hours * HOUR for x in v] for k, v in tops.items()}
         passed = [min(a, b) for a, b in zip(marks["sold"], marks["valid"], strict=True)] + [AFTER]
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shards = max(2 * parts, sum(r.n for r in seen.values()) // self.rows_per_shard)
+        shards = max(parts, sum(r.n for r in seen.values()) // self.rows_per_shard)
         self._write(sales, changes, sold, valid, marks["valid"], shards, parts)
         self._ticks(passed, marks["valid"], shards, parts)
         before = {k: spark.conf.get(k, None) for k in STORES}
@@ -309,6 +313,7 @@ class Enrichment:
                     self._hand_over(batch, shards, parts)
                 self._publish(batch)
                 self._step(batch, shards)
+                self.work.drop(f"in/{batch:03d}")  # the query has committed it
         finally:
             cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
             for k, v in before.items():
@@ -394,5 +399,5 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 12, first_day: i
     """(rec, id, batch, n_held, change_id, balance_cents, op) of sales by the day they arrived on, and of late changes."""
     own = sales.select("sale_id", "client_id", "sold_at", batch_of(_day(F.col("arrived_at")), batches, first_day, days).alias("batch"))
     delayed = _day(F.col("valid_at")) + F.pmod(F.crc32(F.coalesce(F.col("change_id").cast("string"), F.lit(""))), F.lit(4))
-    dealt = changes.select(batch_of(delayed, batches, first_day, days).alias("batch"), *(c for c in changes.columns if c != "batch"))
+    dealt = changes.select(batch_of(delayed, batches, first_day, days).alias("batch"), *(F.col(f"`{c}`").alias("in_batch" if c == "batch" else c) for c in changes.columns))
     return Enrichment(sales.sparkSession, slot_hours).run(own, dealt, batches, lag_hours)

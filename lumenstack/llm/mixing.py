@@ -5,9 +5,8 @@ source's remaining budget falls into one bucket, which alone is refined, level b
 Everything below the threshold is taken; nothing is sorted. A source whose target exceeds
 its size is taken whole as often as fits, and by the threshold for the rest.
 
-Null and empty text has size 0; very long texts are counted whole. A null source is a source of its own, last in order. Rows with the
-same doc_id share a hash and so a decision; a null doc_id hashes like any value. A
-document of size 0 is never taken. An empty table gives an empty result. Ties on a
+Null and empty text has size 0; very long texts are counted whole. A null source is a source of its own, last in order. The hash is of doc_id and text, so
+rows of one id, or of none, are decided apart unless their texts are equal too. A document of size 0 is never taken. An empty table gives an empty result. Ties on a
 threshold fall to the side that brings the source nearer to its target. A column to keep that is named like one that
 the mix adds (size, source_size, target, taken) is returned as in_size and so on.
 """
@@ -67,10 +66,10 @@ def _same(a: str, b: str):
 
 
 def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """columns in one struct, carried, beside source, size in words and a 24-bit hash of doc_id."""
+    """columns in one struct, carried, beside source, size in words and a 24-bit hash of doc_id and text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     carried = F.struct(*(F.col(f"`{c}`").alias(f"in_{c}" if c in ADDED else c) for c in columns))
-    return docs.select(carried.alias("carried"), "source", size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 64 - LEVELS * BITS).alias("mix_hash"))
+    return docs.select(carried.alias("carried"), "source", size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", F.coalesce("text", F.lit(""))), 64 - LEVELS * BITS).alias("mix_hash"))
 
 
 def thresholds(rows: DataFrame, goal: DataFrame, work: Workspace) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from .license_scan import TEMPLATES, THRESHOLD, _template_words
+from .license_scan import CLOSE, TEMPLATES, THRESHOLD, rules
 
 SPACED = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -52,23 +50,28 @@ FROM s GROUP BY conv_id
 
 
 def licenses() -> str:
-    """Base places by comparing words in turn; template labels by counting shared words of lines."""
+    """Base places by comparing words in turn; template labels by trying every run of every paragraph with every template."""
     rows = []
-    for k, (label, text) in enumerate(TEMPLATES):
-        t = _template_words(text)
-        rows.append(f"({k}, '{label}', {t!r}, {math.ceil(THRESHOLD * len(t) - 1e-9)})")
+    for k, r in enumerate(rules([*TEMPLATES, *CLOSE], THRESHOLD)):
+        texts = ", ".join(f"{r[c]!r}::VARCHAR[]" for c in ("set", "order", "own", "ends"))
+        rows.append(f"({k}, '{r['label']}', {texts}, {r['need']}, {r['run']}, '{r['terms']}')")
     phrase = "CASE WHEN ws[a:a + 3] = ['gnu', 'general', 'public', 'license'] THEN 'gpl' WHEN ws[a:a + 1] = ['apache', 'license'] THEN 'apache' WHEN ws[a:a + 1] = ['cc', 'by'] THEN 'cc-by' WHEN ws[a:a + 1] = ['mit', 'license'] THEN 'mit' END"
     return f"""
-WITH w AS (SELECT doc_id, {alnum()} AS ws FROM documents),
-p AS (SELECT doc_id, a - 1 AS spot, {phrase} AS label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS a FROM w)),
-b AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM p WHERE label IS NOT NULL GROUP BY 1),
-t(k, label, tw, need) AS (VALUES {", ".join(rows)}),
-l AS (SELECT doc_id, list_distinct({alnum("line")}) AS bw FROM (SELECT doc_id, unnest(string_split({LOW}, chr(10))) AS line FROM documents)),
-m AS (SELECT doc_id, label, CAST(len(list_intersect(tw, bw)) AS DOUBLE) / len(tw) AS share FROM l, t WHERE len(bw) >= need AND len(list_intersect(tw, bw)) >= need),
-s AS (SELECT doc_id, max(share) AS best FROM m GROUP BY 1),
-bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM p WHERE label IS NOT NULL) GROUP BY 1),
-al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p WHERE label IS NOT NULL UNION SELECT doc_id, label FROM m) GROUP BY 1)
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+w AS (SELECT row, doc_id, {alnum()} AS ws FROM d),
+p AS (SELECT row, a - 1 AS spot, {phrase} AS label FROM (SELECT row, ws, unnest(range(1, len(ws) + 1)) AS a FROM w)),
+b AS (SELECT row, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM p WHERE label IS NOT NULL GROUP BY 1),
+t(k, label, tw, ordered, own, ends, need, run, terms) AS (VALUES {", ".join(rows)}),
+l AS (SELECT row, {alnum("block")} AS bw FROM (SELECT row, unnest(string_split_regex({LOW}, '\n[ \t\r\f\x0B]*\n')) AS block FROM d)),
+f AS (SELECT row, bw, t.* FROM l JOIN t ON len(bw) >= need AND len(list_intersect(tw, bw)) >= need),
+c AS (SELECT f.* EXCLUDE (bw), bw[i:i + run - 1] AS part FROM f, LATERAL (SELECT unnest(range(1, len(bw) + 1)) AS i)),
+u AS (SELECT c.* EXCLUDE (part), part[:COALESCE(list_min(list_transform(ends, lambda x: NULLIF(list_position(part, x), 0))) - 1, run)] AS part FROM c),
+v AS (SELECT u.*, len(list_intersect(tw, part)) AS n, list_filter(list_transform(ordered, lambda x: COALESCE(list_position(part, x), 0)), lambda x: x > 0) AS stand FROM u),
+m AS (SELECT row, label, CAST(n AS DOUBLE) / len(tw) AS share FROM v WHERE n >= need AND len(list_intersect(own, part)) = len(own) AND contains(' ' || array_to_string(part, ' ') || ' ', terms) AND stand = list_sort(stand)),
+s AS (SELECT row, max(share) AS best FROM m GROUP BY 1),
+bl AS (SELECT row, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT row, label FROM p WHERE label IS NOT NULL) GROUP BY 1),
+al AS (SELECT row, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM p WHERE label IS NOT NULL UNION SELECT row, label FROM m) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
-FROM w LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN bl ON bl.doc_id = w.doc_id LEFT JOIN al ON al.doc_id = w.doc_id
+FROM w LEFT JOIN b USING (row) LEFT JOIN s USING (row) LEFT JOIN bl USING (row) LEFT JOIN al USING (row)
 """

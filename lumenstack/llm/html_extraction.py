@@ -44,8 +44,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head nav footer aside button select option menu dialog fieldset".split())
 WRAPS = frozenset("form header".split())
 CONTENT = frozenset("article main".split())
-BAD_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split())
+BAD_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination partner partners popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: Names of what readers write.
+READERS = frozenset("comment comments discussion disqus feedback replies reply".split())
+#: Running text: a block of so many words, most of them no links. A name says nothing of an element that holds MOST times as much of it as the rest of the page.
+RUNNING, MOST = 8, 3
 NAMES = re.compile(r"[a-z]+")
 DEPTH = 512
 
@@ -63,21 +67,25 @@ NEXT_EDGE, PARENT_EDGE, STEP = 1.2, 0.6, 0.05
 
 
 class Block:
-    """A run of text: its container (a number), the container's tag, link share, and the marks of its ancestors."""
+    """A run of text: its container (a number), the container's tag, link share, and the marks of its ancestors. badly: those with a bad name; bad: how many of them count."""
 
-    __slots__ = ("text", "node", "tag", "linked", "bad", "good", "sure", "inside", "form", "head")
+    __slots__ = ("text", "node", "tag", "linked", "badly", "bad", "good", "sure", "inside", "form", "head")
 
-    def __init__(self, text, node, tag, linked, bad, good, sure, inside, form, head):
+    def __init__(self, text, node, tag, linked, badly, good, sure, inside, form, head):
         self.text, self.node, self.tag, self.linked = text, node, tag, linked
-        self.bad, self.good, self.sure, self.inside, self.form, self.head = bad, good, sure, inside, form, head
+        self.badly, self.bad, self.good, self.sure, self.inside, self.form, self.head = badly, len(badly), good, sure, inside, form, head
 
+    def running(self) -> int:
+        words = self.text.count(" ") + 1
+        return words if words >= RUNNING and self.linked < 0.5 and not self.sure else 0
 
-#: bad, good, sure, inside, wrapped (1 in a header, 2 in a form), gone (not shown), head (in a header within an article).
-ROOT = (0, 0, False, False, 0, False, False)
 
+#: bad (elements, by number), good, sure, inside, wrapped (1 in a header, 2 in a form), gone (not shown), head (in a header within an article).
+ROOT = ((), 0, False, False, 0, False, False)
 
-def _marks(tag: str, attributes: str, above: tuple) -> tuple:
-    """The marks of an element, given its parent's."""
+
+def _marks(tag: str, attributes: str, above: tuple, readers: list[bool]) -> tuple:
+    """The marks of an element, given its parent's. readers: of each element with a bad name, whether it says that readers wrote there."""
     bad, good, sure, inside, wrapped, gone, head = above
     if tag in NEVER:
         sure = True
@@ -91,8 +99,9 @@ def _marks(tag: str, attributes: str, above: tuple) -> tuple:
         known = {tag} if tag in WRAPS and not inside else set()  # a form called form is no worse than a form
         for a in ATTRIBUTE.findall(attributes):
             names = set(NAMES.findall(a.lower()))
-            if names & BAD_WORDS - known and tag not in ("html", "body") and tag not in CONTENT:
-                bad += 1
+            if (found := names & BAD_WORDS - known) and tag not in ("html", "body") and tag not in CONTENT:
+                bad = (*bad, len(readers))
+                readers.append(not found.isdisjoint(READERS))
             elif names & GOOD_WORDS:
                 good += 1
         gone = gone or HIDDEN.search(attributes) is not None
@@ -158,6 +167,7 @@ class Reader:
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
+        self.readers: list[bool] = []
         self.parent, self.depth = [-1], [0]
         self.stack: list[tuple] = [("", 0, ROOT)]
         self.pieces: list[str] = []
@@ -177,6 +187,20 @@ class Reader:
             else:
                 self._start(tag, inside, own)
         self._flush()
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Names do not count against elements that hold most of the page's running text: those are its frame. Where readers write that is so only if there is no other."""
+        held, total = [0] * len(self.readers), 0
+        for b in self.blocks:
+            words = b.running()
+            total += words
+            for e in b.badly:
+                held[e] += words
+        frame = {e for e, n in enumerate(held) if n and (n == total if self.readers[e] else n >= MOST * (total - n))}
+        if frame:
+            for b in self.blocks:
+                b.bad = sum(e not in frame for e in b.badly)
 
     def _add(self, raw: str) -> None:
         if raw and not self.stack[-1][2][5]:
@@ -226,7 +250,7 @@ class Reader:
             node = len(self.parent)
             self.parent.append(top[1])
             self.depth.append(self.depth[top[1]] + 1)
-        self.stack.append((tag, node, _marks(tag, inside, top[2])))
+        self.stack.append((tag, node, _marks(tag, inside, top[2], self.readers)))
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:

@@ -375,6 +375,41 @@ def test_licenses_are_told_apart(spark):
         assert want <= set(got[i].labels.split(",")), t
 
 
+def test_license_rules(spark):
+    """Long templates wherever the threshold is met, short ones only in order; rows of one id by their own texts."""
+    granted = "Permission is hereby granted by apache, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    rows = [(1, granted), (2, "they met under the license office of mit yesterday"), (3, "was released under the mit licence"), (5, "plain prose"), (5, "Released under the BSD License"), (None, "nothing here"), (None, "Released under the MIT License"), (None, None)]
+    got = sorted((str(r.doc_id), r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "mit", 1.0), ("2", "", 0.0), ("3", "mit", 0.8), ("5", "", 0.0), ("5", "bsd", 1.0), ("None", "", 0.0), ("None", "mit", 1.0), ("None", "", 0.0)])
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Rows of one id, or of none, are decided by their texts as well: each source comes near its target."""
+    rows = [(None, f"w{i} " * 20, "a") for i in range(900)] + [(7, f"w{i} " * 20, "b") for i in range(900)] + [(i, f"w{i} " * 20, "c") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ("doc_id", "source")).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
+FLOOD = "<p>The river rose in the night and the bridge was closed by the council before dawn, as people slept.</p><p>Boats were moved to the upper harbour, and schools stayed shut for two days after that.</p>"
+TALK = "<div><p>I do not agree with this at all, my friend.</p><p>Nor do I, it is a shame, really it is.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page with-sidebar"><h1>Flood</h1>{}</div>', '<div class="search-result-page"><h1>Flood</h1>{}</div>', '<div class="article share-price-report"><h1>Flood</h1>{}</div>',
+        '<div role=main><div class="comment-free-zone"><h1>Flood</h1>{}</div></div>', '<article><h1>Flood</h1>{}</article><section id="reader-feedback">' + TALK + "</section>",
+        '<article><h1>Flood</h1>{}</article><div id="disqus_thread">' + TALK + "</div>", '<article><h1>Flood</h1>{}<div class="partner-content"><p>Buy new boats today, cheap and fast, at our harbour shop.</p></div></article>',
+        '<div class="post"><h1>Flood</h1>{}</div><div class="comments">' + TALK * 20 + "</div>",
+    ],
+)
+def test_names_of_frames(page):
+    """A name speaks against an element, but not against one that holds most of the page; readers' words go however many they are."""
+    assert html_extraction.main_text(page.replace("{}", FLOOD)) == "Flood " + re.sub("<[^>]*>", "", FLOOD.replace("</p><p>", " "))
+
+
 @pytest.mark.parametrize("name", ["docs", "hostile"])
 def test_mixing(request, name):
     df = request.getfixturevalue(name)

@@ -186,6 +186,29 @@ def test_packing(spark, capacity):
         assert len(bins) <= -(-sum(r.length for r in rows) // 1024) * 1.02 + 1
 
 
+def test_ids_are_those_of_tokenizers():
+    """Spaces of all kinds, at all places, before and after all kinds of characters, and control strings; and whole documents."""
+    rnd = random.Random(1)
+    tokenizer, encode = packing._tokenizer(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    parts = [" ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "'s", "'", "a", "word", "Z9", "42", "\u00e9", "\u4f60\u597d", "\U0001f600", ".", "--", "<|endoftext|>", "\x00", "e\u0301", "_"]
+    for _ in range(4000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(0, 12)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode.fast
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert encode(text or "").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_other_tokenisers_are_left_to_tokenizers():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = packing.Encoder(path)
+    assert not encode.fast and encode("Some words").tolist() == packing._tokenizer(path).encode("Some words", add_special_tokens=False).ids
+
+
 def test_packing_of_hostile_rows(spark):
     rows = [(1, None), (1, ""), (None, "a b"), (None, "a b"), (2, "word " * 1023), (3, "word " * 1022), (4, "word " * 5000), (5, "</s> <s> \x00 é"), (6, "x" * 400_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("x")).withColumn("shard", F.lit(1))

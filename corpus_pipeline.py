@@ -73,7 +73,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their size, their source's size and target, and the words taken (repeats counted).
-    Documents without words are never taken; a null source is one of its own; rows of one id share a decision."""
+    Documents without words are never taken; a null source is one of its own; rows of one id and text share a decision."""
     return _unpacked(mixing.mix(_packed(docs), ("packed_row",)).where("taken > 0"), docs, *mixing.ADDED)
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -29,6 +29,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, counters: dict, figures: dict[str, Column]) -> DataFrame:
+    """staged(df), and in counters the figures of its rows, taken while they are written."""
+    seen = Observation(f"{name} {uuid.uuid4().hex}")
+    out = staged(df.observe(seen, *(c.alias(k) for k, c in figures.items())), name)
+    found = seen.get
+    counters |= {k: counters.get(k, 0) + (found.get(k) or 0) for k in figures}
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():

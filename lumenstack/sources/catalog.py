@@ -1,18 +1,21 @@
-"""The relational catalog: eight Parquet tables under one folder, with a version beside them.
+"""The relational catalog: eight tables under one folder, with a version beside them.
 
-Parquet has no MERGE, so changes are joins: a new table is written beside the old one, and a new
-pointer, made in one step and never overwritten, switches over, so readers never see half a change. The table before the last is kept:
-who began to read it can end.
+Parquet has no MERGE: tables are layered (see layers), so a change writes about what it brings, and changes of several writers
+are all kept. A run's classified files and folders are a bucket of their own, which the run's next scan replaces.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .layers import Files, LayeredTable, inserted, upserted
+
+__all__ = ["Catalog", "inserted", "refreshed", "upserted"]
+
 VERSION = 4
+#: How tables are stored; a catalog that is stored otherwise counts as one of another version.
+LAYOUT = "layers"
 TABLES: dict[str, str] = {
     "media_item": "media_item_id string, media_path string, long_hash string, short_hash string, quick_file_type string, accurate_file_type string, media_info string, guessed_datetime string, modified_at long, created_at long, file_size long, latitude double, longitude double, camera_make string, camera_model string, width long, height long, duration_ms long, orientation string, display_mirrored int, display_rotate int, geohash string, kind string, content_identifier string",
     "person": "person_id string, name string",
@@ -24,17 +27,9 @@ TABLES: dict[str, str] = {
     "classified_dir": "classified_dir_id long, run_id long, dir_path string, known_dir_type string, known_dir_value string",
 }
 TABLE_COLUMNS = {name: [c.split(" ")[0] for c in ddl.split(", ")] for name, ddl in TABLES.items()}
-KEYS = {"media_item": ["media_item_id"], "person": ["person_id"], "media_person": ["media_item_id", "person_id"], "album": ["album_id"], "album_file": ["album_id", "media_item_id"]}
-
-
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The new rows, and the old ones whose key is not among them."""
-    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
-
-
-def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows, and the new ones whose key is not among them."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+KEYS = {"media_item": ["media_item_id"], "person": ["person_id"], "media_person": ["media_item_id", "person_id"], "album": ["album_id"], "album_file": ["album_id", "media_item_id"], "run": ["run_id"], "classified_file": ["classified_file_id"], "classified_dir": ["classified_dir_id"]}
+#: Tables whose buckets are runs.
+BY_RUN = ("run", "classified_file", "classified_dir")
 
 
 def refreshed(old: DataFrame, new: DataFrame, column: str, value: int) -> DataFrame:
@@ -45,84 +40,35 @@ def refreshed(old: DataFrame, new: DataFrame, column: str, value: int) -> DataFr
 class Catalog:
     """The tables under a folder. An older or newer version is an error, unless it is cleared."""
 
-    def __init__(self, spark: SparkSession, root: str, clear: bool = False):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, clear: bool = False, buckets: int = 8):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
         #: What the last command counted.
         self.counters: dict = {}
-        found = self._text("version")
+        found, own = self.files.text("version"), f"{VERSION} {LAYOUT}"
         if clear:
-            self._delete("")
+            self.files.delete("")
             found = None
         if found is None:
-            self._put("version", str(VERSION))
-        elif int(found) != VERSION:
-            raise ValueError(f"catalog version {found}, expected {VERSION}; clear it to start again")
-
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _text(self, name: str) -> str | None:
-        path, fs = self._path(name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _put(self, name: str, text: str) -> None:
-        path, fs = self._path(name)
-        stream = fs.create(path, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-
-    def _delete(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
-
-    def _versions(self, name: str) -> list[tuple[int, str]]:
-        """(number, folder) of a table's versions, the current one last. A pointer's own name says it all: pointer-NUMBER-FOLDER."""
-        path, fs = self._path(name)
-        found = [s.getPath().getName().split("-") for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted((int(x[1]), x[2]) for x in found if x[0] == "pointer")
+            self.files.put("version", own)
+        elif found != own:
+            raise ValueError(f"catalog version {found}, expected {own}; clear it to start again")
+        self.tables = {name: LayeredTable(spark, f"{self.root}/{name}", ddl, KEYS[name], buckets, "run_id" if name in BY_RUN else None) for name, ddl in TABLES.items()}
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{versions[-1][1]}")
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        versions, after = self._versions(name), uuid.uuid4().hex
-        rows.select(*TABLE_COLUMNS[name]).write.parquet(f"{self.root}/{name}/{after}")
-        self._put(f"{name}/pointer-{versions[-1][0] + 1 if versions else 1:012d}-{after}", "")
-        for number, folder in versions[:-1]:
-            self._delete(f"{name}/pointer-{number:012d}-{folder}")
-            self._delete(f"{name}/{folder}")
+        return self.tables[name].read()
 
-    def upsert(self, name: str, new: DataFrame) -> None:
-        self._write(name, upserted(self.read(name), new.dropDuplicates(KEYS[name]), KEYS[name]))
+    def upsert(self, name: str, new: DataFrame, mark: tuple[str, int] | None = None) -> None:
+        self.tables[name].upsert(new, mark)
 
-    def insert(self, name: str, new: DataFrame) -> None:
-        self._write(name, inserted(self.read(name), new.dropDuplicates(KEYS[name]), KEYS[name]))
+    def insert(self, name: str, new: DataFrame, mark: tuple[str, int] | None = None) -> None:
+        self.tables[name].insert(new, mark)
 
     def refresh(self, name: str, new: DataFrame, run_id: int) -> None:
-        self._write(name, refreshed(self.read(name), new, "run_id", run_id))
+        self.tables[name].replace(str(run_id), new)
 
     def run(self, run_input: str) -> int:
-        """The id of the run with exactly this input, made where there is none."""
-        runs = self.read("run")
-        known = runs.where(F.col("run_input") == run_input).agg(F.max("run_id")).first()[0]
-        if known is not None:
-            return known
-        run_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
-        self._write("run", runs.unionByName(self.spark.range(1).select(F.lit(run_id).cast("long").alias("run_id"), F.lit(run_input).alias("run_input"), F.current_timestamp().alias("run_date"))))
-        return run_id
+        """The id of the run with exactly this input, made where there is none. Of two that are made at once, one waits for the other and counts on."""
+        return self.tables["run"].numbered(F.col("run_input") == run_input, "run_id", lambda n: self.spark.range(1).select(F.lit(n).cast("long").alias("run_id"), F.lit(run_input).alias("run_input"), F.current_timestamp().alias("run_date")))
 
     def recorded(self) -> DataFrame:
         """(media_item_id, file_size) of what need not be read again."""
@@ -136,4 +82,4 @@ class Catalog:
             self.read(name).createOrReplaceTempView(name)
 
     def drop(self) -> None:
-        self._delete("")
+        self.files.delete("")

@@ -164,7 +164,7 @@ def test_catalog(spark, tmp_path):
     c.upsert("person", person(("3", "d")))
     assert c.read("person").where("name = 'd'").count() == 1 and c.counts()["person"] == 3
     assert (c.run("in"), c.run("in"), c.run("else")) == (1, 1, 2)
-    c._put("version", "3")
+    c.files.put("version", "3 layers")
     with pytest.raises(ValueError):
         catalog.Catalog(spark, f"file://{tmp_path}/c")
     assert catalog.Catalog(spark, f"file://{tmp_path}/c", clear=True).counts()["person"] == 0

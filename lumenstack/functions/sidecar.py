@@ -80,6 +80,12 @@ def candidates(names: pd.Series) -> pd.Series:
     return names.map(sidecar_candidates)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def described_names(names: pd.Series) -> pd.Series:
+    """[described name, counter] pairs that a media file's sidecar may go by, most specific first: a bounded number, whatever the name's length."""
+    return names.map(lambda n: [list(k) for k in dict.fromkeys(_keys(n))])
+
+
 GEO = "struct<latitude:double,longitude:double>"
 TIME = "struct<timestamp:string,formatted:string>"
 SIDECAR = f"struct<geoData:{GEO},geoDataExif:{GEO},people:array<struct<name:string>>,photoTakenTime:{TIME},creationTime:{TIME}>"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import dir_part, name_part
+from ..functions.sidecar import JSON, STEM_CHARS, TAG, described_names
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,6 +56,39 @@ def sidecar_lookup(media: DataFrame, scan: DataFrame, candidates: Column) -> Dat
     return full.join(scan.select(F.col("path").alias("sidecar")), "sidecar").groupBy("path").agg(F.min_by("sidecar", "pos").alias("sidecar"))
 
 
+def _readings(scan: DataFrame) -> DataFrame:
+    """(dir, stem, counter, described, cut, sidecar): what a JSON file's name may say. A stem is a described name and the first `cut` characters
+    of the tag; the tag has one dot, its first, so those can only begin at the stem's last dot, or be none. With a counter or without, at most four readings."""
+    files = scan.select(F.col("path").alias("sidecar"), dir_part(F.col("path")).alias("dir"), name_part(F.col("path")).alias("name")).where(F.col("name").endswith(JSON))
+    whole = files.withColumn("title", F.expr(f"left(name, length(name) - {len(JSON)})"))
+    counter = F.regexp_extract("title", r"(?s)(\([0-9]+\))\z", 1)
+    as_is = F.struct(F.col("title").alias("stem"), F.lit("").alias("counter"))
+    counted = F.struct(F.expr("left(title, length(title) - length(c))").alias("stem"), F.col("c").alias("counter"))
+    stems = whole.withColumn("c", counter).select("sidecar", "dir", F.inline(F.when(F.col("c") == "", F.array(as_is)).otherwise(F.array(as_is, counted))))
+    tail = F.regexp_extract("stem", r"(?s)(\.[^.]*)\z", 1)
+    plain = F.struct(F.col("stem").alias("described"), F.lit(0).alias("cut"))
+    tagged = F.struct(F.expr("left(stem, length(stem) - length(tail))").alias("described"), F.length("tail").alias("cut"))
+    tags = (F.col("tail") != "") & F.lit(TAG).startswith(F.col("tail"))
+    return stems.withColumn("tail", tail).select("sidecar", "dir", "stem", "counter", F.inline(F.when(tags, F.array(plain, tagged)).otherwise(F.array(plain))))
+
+
+def sidecar_join(media: DataFrame, scan: DataFrame) -> DataFrame:
+    """(path, sidecar): each media file's sidecar in its directory, by the same rule as the ordered candidates.
+
+    First, in the order of what may be described, the name cut at the limit; then, where the limit matters, the longest cut within the tag. All cuts
+    of one described name are prefixes of one another, so they are not listed: sidecars are read backwards, and both sides meet on what is
+    described. A media file takes part with two rows for each name that it may go by, whatever its length, a sidecar with at most four.
+    """
+    named = media.select("path", dir_part(F.col("path")).alias("dir"), F.posexplode(described_names(name_part(F.col("path")))).alias("nth", "k")).select("path", "dir", "nth", F.col("k")[0].alias("described"), F.col("k")[1].alias("counter"))
+    full = F.concat("described", F.lit(TAG))
+    cut = named.select("path", "dir", "counter", F.substring(full, 1, STEM_CHARS).alias("stem"), F.struct(F.lit(0).alias("late"), "nth", F.lit(0).alias("short")).alias("rank"))
+    read = _readings(scan)
+    at_limit = cut.join(read.select("dir", "counter", "stem", "sidecar").distinct(), ["dir", "counter", "stem"])
+    long = named.where(F.length(full) > STEM_CHARS).join(read.select("dir", "counter", "described", "cut", "sidecar"), ["dir", "counter", "described"])
+    within = long.select("path", "sidecar", F.struct(F.lit(1).alias("late"), "nth", (-F.col("cut")).alias("short")).alias("rank"))
+    return at_limit.select("path", "sidecar", "rank").unionByName(within).groupBy("path").agg(F.min_by("sidecar", "rank").alias("sidecar"))
+
+
 def resume(scan: DataFrame, recorded: DataFrame) -> DataFrame:
     """Rows of scan (media_item_id, file_size) not recorded with the same size."""
     seen = recorded.select("media_item_id", F.coalesce("file_size", F.lit(-1)).alias("file_size"))

@@ -41,6 +41,24 @@ def fresh_names(media: DataFrame) -> DataFrame:
     return first.withColumn("output_path", F.concat("want", suffix, F.lit("."), "ext")).drop("bare")
 
 
+#: Stands for the checksum of a file that cannot be the same, as its size differs: it equals none.
+OTHER_SIZE = "another size"
+
+
+def candidate_paths(media: DataFrame) -> DataFrame:
+    """media with `try`, a row for each of the three names that an item may take."""
+    rung = lambda *more: F.concat("want", *more, F.lit("."), "ext")
+    return media.withColumn("try", F.explode(F.array(rung(), rung(F.lit("-"), F.col("short_hash")), rung(F.lit("-"), F.col("long_hash")))))
+
+
+def candidates_there(media: DataFrame, there: DataFrame) -> DataFrame:
+    """(path, file_size, modified, to_read) of the files of an output (path, file_size, modified) that any item of media (want, ext, short_hash,
+    long_hash, file_size) may be named like. Only where the sizes agree can the bytes: to_read marks those; no others need to be read."""
+    tried = candidate_paths(media.select("want", "ext", "short_hash", "long_hash", F.col("file_size").alias("own_size"))).select(F.col("try").alias("path"), "own_size")
+    agrees = F.max((F.col("own_size") == F.col("file_size")).cast("int")) == 1
+    return there.select("path", "file_size", "modified").join(tried, "path").groupBy("path", "file_size", "modified").agg(F.coalesce(agrees, F.lit(True)).alias("to_read"))
+
+
 def _step(rows: DataFrame, existing: DataFrame, suffix: Column, *by: str) -> DataFrame:
     """rows with the path of one rung, what is there, and the rung's outcome: write, skip, error or null (on to the next).
     Where nothing is there, the first by hash of those that share the path takes it."""

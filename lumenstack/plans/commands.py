@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, ids, media_types
 from ..functions.classify import classify_dir, classify_file
 from ..functions.paths import album_link_name, code, desired_media_path, dir_part, markdown_path, name_part, people_links, table_cell, wikilink
-from ..functions.sidecar import SIDECAR, candidates, parse_sidecar
+from ..functions.sidecar import SIDECAR, parse_sidecar
 from ..operators import albums as album_ops
 from ..operators import dedup
 from ..sources import sinks
@@ -22,13 +23,14 @@ from ..sources.albums import albums, read_albums
 from ..sources.catalog import Catalog
 from ..sources.files import endpoint_of, listing, open_entry
 from ..sources.inspect import inspect
+from ..sources.ledger import Ledger
 from ..sources.places import open_output
-from .staging import staged
+from .staging import counted, staged
 
 
 def sidecars(scan: DataFrame, media: DataFrame, uri: str) -> DataFrame:
     """(path, supp): the decoded sidecar of each media file that has a valid one."""
-    found = album_ops.sidecar_lookup(media, scan, candidates(name_part(F.col("path"))))
+    found = album_ops.sidecar_join(media, scan)
     endpoint = endpoint_of(scan.sparkSession)
 
     def run(frames):
@@ -82,47 +84,80 @@ def catalog_items(media: DataFrame) -> DataFrame:
     )
 
 
+def classified_files(scan: DataFrame, run_id: int) -> DataFrame:
+    """Rows of classified_file."""
+    run, known = F.lit(run_id).cast("long"), classify_file(name_part(F.col("path")))
+    rows = scan.select("path", "quick_file_type", "file_size", known.alias("known"))
+    return rows.select(F.xxhash64(F.lit(run_id), "path").alias("classified_file_id"), run.alias("run_id"), F.col("path").alias("file_path"), "quick_file_type", F.col("known.type").alias("known_file_type"), F.col("known.value").alias("known_file_type_value"), "file_size")
+
+
+def classified_folders(scan: DataFrame, run_id: int) -> DataFrame:
+    """Rows of classified_dir."""
+    folders = scan.select(dir_part(F.col("path")).alias("path")).distinct().withColumn("known", classify_dir(F.col("path")))
+    return folders.select(F.xxhash64(F.lit(run_id), "path").alias("classified_dir_id"), F.lit(run_id).cast("long").alias("run_id"), F.col("path").alias("dir_path"), F.col("known.type").alias("known_dir_type"), F.col("known.value").alias("known_dir_value"))
+
+
+def record_media(cat: Catalog, scan: DataFrame, todo: DataFrame, uri: str, timezone: str | None, mark: tuple[str, int] | None = None) -> None:
+    """Inspect todo's files, with the sidecars that scan lists, and record them with their people."""
+    seen = counted(inspect(todo, uri, timezone), "seen", cat.counters, {"skipped files": F.count_if(F.col("status") != "ok")})
+    media = counted(media_records(scan, seen, uri, timezone), "media", cat.counters, {"inspected files": F.count(F.lit(1))})
+    cat.upsert("media_item", catalog_items(media), mark)
+    named = media.select(ids.path_id(F.col("path")).alias("media_item_id"), F.explode("supp.people.name").alias("name")).where("name is not null").select("media_item_id", ids.person_id(F.col("name")).alias("person_id"), "name")
+    cat.insert("person", named.groupBy("person_id").agg(F.min("name").alias("name")), mark)
+    cat.insert("media_person", named.select("media_item_id", "person_id"), mark)
+
+
+def link_albums(cat: Catalog, scan: DataFrame, uri: str) -> None:
+    """Albums and their recorded members."""
+    found, members = albums(staged(read_albums(scan, uri), "albums"), scan)
+    found = counted(found, "found", cat.counters, {"albums": F.count(F.lit(1))})
+    key = ids.path_id(F.col("album"))
+    cat.insert("album", found.select(key.alias("album_id"), "title", F.col("album").alias("album_path")))
+    links = counted(album_ops.album_links(members.select(key.alias("album_id"), "path"), cat.read("media_item")), "links", cat.counters, {"resolved album members": F.count(F.lit(1))})
+    cat.insert("album_file", links)
+
+
 def db(spark: SparkSession, uri: str, root: str, timezone: str | None = None, clear: bool = False, skip_media: bool = False, skip_albums: bool = False) -> Catalog:
-    """Scan, classify, inspect what is not recorded with the same size, record; albums are linked in every run."""
-    cat, scan = Catalog(spark, root, clear), staged(listing(spark, uri), "scan")
+    """Scan, classify, inspect what is not recorded with the same size, record; albums are linked in every run.
+    What is counted is observed while tables are written: no job runs for it alone."""
+    cat, every = Catalog(spark, root, clear), F.count(F.lit(1))
+    is_media = F.col("quick_file_type") == "Media"
+    scan = counted(listing(spark, uri), "scan", cat.counters, {"files": every, "media files": F.count_if(is_media)})
     run_id = cat.run(uri)
-    run, new_id = F.lit(run_id).cast("long").alias("run_id"), F.xxhash64(F.lit(run_id), "path")
-    known = classify_file(name_part(F.col("path")))
-    files = staged(scan.select(new_id.alias("classified_file_id"), run, F.col("path").alias("file_path"), "quick_file_type", known.alias("known"), "file_size"), "classified")
-    cat.refresh("classified_file", files.select("classified_file_id", "run_id", "file_path", "quick_file_type", F.col("known.type").alias("known_file_type"), F.col("known.value").alias("known_file_type_value"), "file_size"), run_id)
-    folders = scan.select(dir_part(F.col("path")).alias("path")).distinct().withColumn("known", classify_dir(F.col("path")))
-    folders = staged(folders.select(new_id.alias("classified_dir_id"), run, F.col("path").alias("dir_path"), "known"), "folders")
-    cat.refresh("classified_dir", folders.select("classified_dir_id", "run_id", "dir_path", F.col("known.type").alias("known_dir_type"), F.col("known.value").alias("known_dir_value")), run_id)
-    cat.counters = {"files": files, "folders": folders, "matched files": files.where("known is not null"), "matched folders": folders.where("known is not null")}
+    files = counted(classified_files(scan, run_id), "classified", cat.counters, {"matched files": F.count("known_file_type")})
+    cat.refresh("classified_file", files, run_id)
+    folders = counted(classified_folders(scan, run_id), "folders", cat.counters, {"folders": every, "matched folders": F.count("known_dir_type")})
+    cat.refresh("classified_dir", folders, run_id)
     if not skip_media:
-        wanted = scan.where("quick_file_type = 'Media'").withColumn("media_item_id", ids.path_id(F.col("path")))
-        todo = staged(album_ops.resume(wanted, cat.recorded()), "todo")
-        seen = staged(inspect(todo, uri, timezone), "seen")
-        media = staged(media_records(scan, seen, uri, timezone), "media")
-        cat.counters |= {"media files": wanted, "recorded before": wanted.join(todo.select("path"), "path", "left_anti"), "skipped files": seen.where("status <> 'ok'"), "inspected files": media}
-        cat.upsert("media_item", catalog_items(media))
-        named = media.select(ids.path_id(F.col("path")).alias("media_item_id"), F.explode("supp.people.name").alias("name")).where("name is not null").select("media_item_id", ids.person_id(F.col("name")).alias("person_id"), "name")
-        cat.insert("person", named.groupBy("person_id").agg(F.min("name").alias("name")))
-        cat.insert("media_person", named.select("media_item_id", "person_id"))
+        wanted = scan.where(is_media).withColumn("media_item_id", ids.path_id(F.col("path")))
+        todo = counted(album_ops.resume(wanted, cat.recorded()), "todo", cat.counters, {"files to inspect": every})
+        record_media(cat, scan, todo, uri, timezone)
+        cat.counters["recorded before"] = cat.counters["media files"] - cat.counters["files to inspect"]
     if not skip_albums:
-        found, members = albums(staged(read_albums(scan, uri), "albums"), scan)
-        key = ids.path_id(F.col("album"))
-        cat.insert("album", found.select(key.alias("album_id"), "title", F.col("album").alias("album_path")))
-        links = staged(album_ops.album_links(members.select(key.alias("album_id"), "path"), cat.read("media_item")), "links")
-        cat.insert("album_file", links)
-        cat.counters |= {"albums": found, "resolved album members": links}
-    cat.counters = {name: rows.count() for name, rows in cat.counters.items()}
+        link_albums(cat, scan, uri)
     return cat
 
 
+def _before(media: DataFrame, there: DataFrame, root: str, manifest: DataFrame | None, ledger: Ledger | None, name: str) -> DataFrame:
+    """(path, existing_hash, file_size, modified, read) of what is there under the names that media may take. Only files of an item's own size are
+    hashed, and of those only such as neither the manifest nor the ledger knows."""
+    files = staged(dedup.candidates_there(media, there), f"{name}-candidates")
+    wanted = files.where("to_read")
+    known = [x.select("path", "file_size", "modified", "hash") for x in (manifest, ledger.known(wanted) if ledger else None) if x is not None]
+    known = reduce(DataFrame.unionByName, known).groupBy("path", "file_size", "modified").agg(F.min("hash").alias("hash")) if known else None
+    hashed = sinks.hashes(wanted, root, known).join(wanted, "path").select("path", "existing_hash", "file_size", "modified")
+    other = files.where("not to_read").select("path", F.lit(dedup.OTHER_SIZE).alias("existing_hash"), "file_size", "modified")
+    return staged(hashed.unionByName(other), name)
+
+
 def _placed(media: DataFrame, uri: str, root: str, before: DataFrame, dry_run: bool, name: str) -> DataFrame:
-    """(long_hash, output_path, status) of media with a want: names over what is there, then copies."""
+    """(long_hash, output_path, status, file_size, modified) of media with a want: names over what is there, then copies."""
     plan = staged(dedup.names_over_existing(media, before), f"{name}-plan")
     todo = plan.where("action = 'write'").join(media.select("long_hash", "path", "modified"), "long_hash")
     copied = sinks.copy_media(todo, uri, root, dry_run)
-    states = plan.join(copied, "output_path", "left").select("long_hash", "output_path", F.coalesce("status", "action").alias("status"))
+    states = plan.join(copied, "output_path", "left").select("long_hash", "output_path", F.coalesce("status", "action").alias("status"), "file_size", "modified")
     failed = F.col("status").startswith("error")
-    return staged(states.select("long_hash", F.when(~failed, F.col("output_path")).alias("output_path"), "status"), f"{name}-placed")
+    return staged(states.select("long_hash", F.when(~failed, F.col("output_path")).alias("output_path"), "status", "file_size", "modified"), f"{name}-placed")
 
 
 def _notes(rows: DataFrame) -> DataFrame:
@@ -134,47 +169,55 @@ def _notes(rows: DataFrame) -> DataFrame:
     )
 
 
-def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None, dry_run: bool = False, skip_media: bool = False, skip_albums: bool = False, skip_markdown: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None, dry_run: bool = False, skip_media: bool = False, skip_albums: bool = False, skip_markdown: bool = False, manifest: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
     """(output_path, status) of all files of an archive brought up to date. The output is a directory that
     all executors see, or an object store. Primaries are placed first; the video of a Live Photo then goes by its still's name.
-    manifest: checksums of the output that are known (see sinks.hashes)."""
+    manifest: checksums of the output that are known (see sinks.hashes). ledger: a folder where checksums are kept from run to run."""
+    book = Ledger(spark, ledger) if ledger else None
     output = open_output(root, endpoint_of(spark))
     scan = staged(listing(spark, uri), "scan")
     todo = scan.where("quick_file_type = 'Media'")
     seen = staged(inspect(todo if not skip_media else todo.limit(0), uri, timezone), "seen")
     media = staged(dedup.content_dedup(media_records(scan, seen, uri, timezone)), "media")
     media = media.withColumn("want", desired_media_path(F.col("guessed"), F.col("short_hash")))
-    found, members = (None, None) if skip_albums else albums(staged(read_albums(scan, uri), "albums"), scan)
+    listed, members = (None, None) if skip_albums else albums(staged(read_albums(scan, uri), "albums"), scan)
     output.prepare()
-    there = listing(spark, root)
-    folders = media.select(dir_part(F.col("want")).alias("dir")).distinct()
-    before = staged(sinks.hashes(there.withColumn("dir", dir_part(F.col("path"))).join(folders, "dir", "left_semi"), root, manifest), "before")
+    there = staged(listing(spark, root), "there")
     pairs = dedup.live_photo_pairs(media)
     videos = pairs.select(F.col("video_hash").alias("long_hash"))
-    first = _placed(media.join(videos, "long_hash", "left_anti"), uri, root, before, dry_run, "first")
+    stills = media.join(videos, "long_hash", "left_anti")
+    before = _before(stills, there, root, manifest, book, "before")
+    first = _placed(stills, uri, root, before, dry_run, "first")
     clips = media.join(videos, "long_hash", "left_semi")
     attached = dedup.sidecar_videos(pairs, first, clips).select(*media.columns)
     loose = clips.join(attached.select("long_hash"), "long_hash", "left_anti")
-    after = before.unionByName(first.where("output_path is not null").select(F.col("output_path").alias("path"), F.col("long_hash").alias("existing_hash"))).groupBy("path").agg(F.max("existing_hash").alias("existing_hash"))
-    second = _placed(attached.unionByName(loose), uri, root, after, dry_run, "second")
+    clips = staged(attached.unionByName(loose), "clips")
+    made = first.where("output_path is not null").select(F.col("output_path").alias("path"), F.col("long_hash").alias("existing_hash"))
+    found = _before(clips, there, root, manifest, book, "before-clips")
+    after = found.select("path", "existing_hash").join(made, "path", "left_anti").unionByName(made)
+    second = _placed(clips, uri, root, after.groupBy("path").agg(F.max("existing_hash").alias("existing_hash")), dry_run, "second")
     placed = first.unionByName(second)
+    if book and not dry_run:
+        read = before.unionByName(found).where(F.col("existing_hash") != dedup.OTHER_SIZE).select("path", "file_size", "modified", F.col("existing_hash").alias("hash"))
+        written = placed.where("output_path is not null and modified is not null").select(F.col("output_path").alias("path"), "file_size", "modified", F.col("long_hash").alias("hash"))
+        book.record(read.join(written, "path", "left_anti").unionByName(written))
     out = placed.select("output_path", "status")
     items = media.join(placed.where("output_path is not null").select("long_hash", "output_path"), "long_hash")
     if not skip_markdown:
         final = second.where("output_path is not null").join(attached.select("long_hash"), "long_hash", "left_semi")
         shown = pairs.join(final.select(F.col("long_hash").alias("video_hash"), "output_path"), "video_hash").select(F.col("still_hash").alias("long_hash"), name_part(F.col("output_path")).alias("live_photo_video")).groupBy("long_hash").agg(F.min("live_photo_video").alias("live_photo_video"))
         rows = items.join(final.select("long_hash"), "long_hash", "left_anti").join(shown, "long_hash", "left")
-        if found is None:
+        if listed is None:
             rows = rows.withColumn("albums", F.array().cast("array<string>"))
         else:
-            by_path = found.join(members, "album").select(album_link_name(F.col("note_path")).alias("name"), "album_ordinal", "path")
+            by_path = listed.join(members, "album").select(album_link_name(F.col("note_path")).alias("name"), "album_ordinal", "path")
             rows = rows.join(album_ops.album_names(media, by_path), "long_hash", "left")
         notes = _notes(rows)
         out = out.unionByName(staged(sinks.write_notes(notes, root, dry_run), "notes").withColumnRenamed("note_path", "output_path"))
-    if found is not None:
+    if listed is not None:
         final = album_ops.final_paths(members, items)
         lists = final.groupBy("album").agg(F.array_sort(F.collect_list(F.struct("position", "output_path"))).alias("x")).select("album", F.col("x.output_path").alias("targets"))
-        written = sinks.write_album_notes(found.join(lists, "album").select("note_path", "title", "album_ordinal", "targets"), root, dry_run)
+        written = sinks.write_album_notes(listed.join(lists, "album").select("note_path", "title", "album_ordinal", "targets"), root, dry_run)
         out = out.unionByName(staged(written, "lists").withColumnRenamed("note_path", "output_path"))
     return out
 
@@ -242,6 +285,8 @@ def main(argv: list[str] | None = None) -> None:
         sub.add_argument(last)
         if name != "sql":
             sub.add_argument("--timezone")
+        if name == "sync":
+            sub.add_argument("--ledger")
         flags = {"db": ["--clear", "--skip-media", "--skip-albums"], "sync": ["--dry-run", "--skip-media", "--skip-albums", "--skip-markdown"], "info": [], "sql": []}[name]
         for flag in flags:
             sub.add_argument(flag, action="store_true")

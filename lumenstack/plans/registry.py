@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, geo, ids, media_types, paths
 from ..operators import albums, dedup
 from ..sources import catalog
-from . import carriers, records, reports
+from . import carriers, records, reports, tables
 from .carriers import MEDIA_SQL, PEOPLE_SQL, media, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,7 +283,7 @@ def classification_counts(spark, sf_dir):
     return classify_paths(spark, sf_dir).agg(F.count("*").alias("files"), F.count("known_type").alias("matched"))
 
 
-for _name, (_query, _sql) in records.RECORDS.items():
+for _name, (_query, _sql) in (records.RECORDS | tables.TABLES).items():
     _register(_name, _sql)(_query)
 
 

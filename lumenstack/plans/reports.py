@@ -5,7 +5,7 @@ Top-k reports order ties by a unique column; sums are bigint and ratios double,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GB, MB = 1073741824.0, 1048576.0
@@ -65,9 +65,18 @@ def album_sizes(album: DataFrame, album_file: DataFrame) -> DataFrame:
 
 
 def live_photo_join(media: DataFrame, k: int | None = 10) -> DataFrame:
-    """Every still with every video of its content identifier; the pipeline itself pairs one with one."""
-    still = media.where("kind = 'p' and content_identifier is not null").select("content_identifier", F.col("media_path").alias("still"))
-    video = media.where("kind = 'v' and content_identifier is not null").select("content_identifier", F.col("media_path").alias("video"), F.round(F.col("duration_ms").cast("double") / 1000, 1).alias("video_seconds"))
+    """Every still with every video of its content identifier; the pipeline itself pairs one with one.
+
+    For the first k pairs only the first k stills that have a video, and each identifier's first k videos, can matter: at most k * k pairs are made. Both
+    limits are taken before rows are shuffled.
+    """
+    named = media.where("content_identifier is not null")
+    still = named.where("kind = 'p'").select("content_identifier", F.col("media_path").alias("still"))
+    video = named.where("kind = 'v'").select("content_identifier", F.col("media_path").alias("video"), F.round(F.col("duration_ms").cast("double") / 1000, 1).alias("video_seconds"))
+    if k:
+        nth = F.row_number().over(Window.partitionBy("content_identifier").orderBy("video", "video_seconds"))
+        video = video.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+        still = still.join(video.select("content_identifier").distinct(), "content_identifier", "left_semi").orderBy("still", "content_identifier").limit(k)
     pairs = still.join(video, "content_identifier").select("still", "video", "video_seconds")
     return pairs.orderBy("still", "video").limit(k) if k else pairs
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import capture_reading, fallback_reading, output_zone, track_reading
 from ..functions.media_types import EXIF_TYPES, TRACK_TYPES
+from ..operators.balance import balanced
 from .files import endpoint_of, open_entry
 from .formats import HEAD, View, read_exif, read_track, sniff
 
@@ -44,8 +45,7 @@ def _inspect(uri: str, path: str, zone, endpoint: str | None = None) -> dict:
 
 
 def inspect(listed: DataFrame, uri: str, timezone: str | None = None) -> DataFrame:
-    """RECORD of each listed file of a source. Files are dealt out in turn by size, so that tasks have like
-    amounts of bytes; status is ok, Unsupported or the error."""
+    """RECORD of each listed file of a source. Files are dealt out by bytes; status is ok, Unsupported or the error."""
     zone, endpoint = output_zone(timezone, os.environ.get("TZ", "")), endpoint_of(listed.sparkSession)
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
@@ -64,6 +64,6 @@ def inspect(listed: DataFrame, uri: str, timezone: str | None = None) -> DataFra
 
     columns = ["path", "file_size", "modified", "created", "quick_file_type"]
     n = max(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), listed.sparkSession.sparkContext.defaultParallelism)
-    # Files of like sizes lie together once they are sorted; each of these ranges is dealt out to all tasks in turn.
-    ranged = listed.select(*columns).orderBy(F.desc("file_size"), "path").withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
-    return ranged.repartitionById(n, F.col("turn")).drop("turn").mapInPandas(run, RECORD)
+    # Tasks get like amounts of bytes; a file of more than a task's part is one task's only work.
+    dealt = balanced(listed.select(*columns), n, "path", "file_size")
+    return dealt.repartitionById(n, F.col("task")).drop("task").mapInPandas(run, RECORD)

@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from random import Random
 from typing import IO
 from urllib.parse import urlsplit
 
@@ -22,6 +23,8 @@ import pyarrow.fs as pafs
 #: Entries of zip files above this size are read through a temporary file.
 IN_MEMORY = 100 << 20
 BLOCK = 1 << 20
+#: Names of a directory that are held at once to find where to cut it.
+SAMPLE = 4096
 #: (path, size, modified in ms, created in ms)
 Entry = tuple[str, int, int | None, int | None]
 
@@ -78,13 +81,61 @@ class Folder:
                 if e.is_dir():
                     folders += [] if e.is_symlink() else [path]
                     continue
-                s = e.stat()
-                birth = getattr(s, "st_birthtime", None)
-                files.append((path, s.st_size, int(s.st_mtime * 1000), int(birth * 1000) if birth else None))
             except OSError:
-                files.append((path, 0, None, None))
+                pass
+            if entry := self._entry(path, e):
+                files.append(entry)
         return files, folders
 
+    def cuts(self, folder: str, most: int) -> tuple[list[str], list[str]]:
+        """(names that part a directory's files into pieces of about `most`, directories in it). Names are drawn from those that
+        pass by; no more than SAMPLE of them are held."""
+        drawn, seen, folders, random = [], 0, [], Random(0)
+        try:
+            with os.scandir(os.path.join(self.root, folder) if folder else self.root) as entries:
+                for e in entries:
+                    try:
+                        if e.is_dir():
+                            folders += [] if e.is_symlink() else [f"{folder}/{e.name}" if folder else e.name]
+                            continue
+                    except OSError:
+                        pass
+                    seen += 1
+                    if len(drawn) < SAMPLE:
+                        drawn.append(e.name)
+                    elif (at := random.randrange(seen)) < SAMPLE:
+                        drawn[at] = e.name
+        except OSError:
+            return [], []
+        drawn.sort()
+        pieces = min(-(-seen // most), len(drawn))
+        return sorted({drawn[i * len(drawn) // pieces] for i in range(1, pieces)}), sorted(folders)
+
+    def between(self, folder: str, low: str | None, high: str | None) -> Iterator[Entry]:
+        """Files of a directory whose names are from low to before high, in order. Only these are looked at closely."""
+        full = os.path.join(self.root, folder) if folder else self.root
+        try:
+            with os.scandir(full) as entries:
+                found = sorted((e for e in entries if (low is None or e.name >= low) and (high is None or e.name < high)), key=lambda e: e.name)
+        except OSError:
+            return
+        for e in found:
+            entry = self._entry(f"{folder}/{e.name}" if folder else e.name, e)
+            if entry:
+                yield entry
+
+    @staticmethod
+    def _entry(path: str, e: os.DirEntry) -> Entry | None:
+        """Null for a directory; a failed stat has no times."""
+        try:
+            if e.is_dir():
+                return None
+            s = e.stat()
+            birth = getattr(s, "st_birthtime", None)
+            return path, s.st_size, s.st_mtime_ns // 1_000_000, int(birth * 1000) if birth else None
+        except OSError:
+            return path, 0, None, None
+
     def open(self, path: str) -> IO[bytes]:
         full = os.path.realpath(os.path.join(self.root, path))
         if not full.startswith(os.path.realpath(self.root) + os.sep):
@@ -96,6 +147,11 @@ class Folder:
         full = os.path.join(self.root, _checked(path))
         return os.path.getsize(full) if os.path.isfile(full) else None
 
+    def stat(self, path: str) -> tuple[int, int | None]:
+        """(size, modified in ms), as in a listing."""
+        s = os.stat(os.path.join(self.root, _checked(path)))
+        return s.st_size, s.st_mtime_ns // 1_000_000
+
     def write(self, path: str, source: IO[bytes], modified: int | None = None) -> None:
         """A file is written beside its place and moved there: a task that is run again leaves no half file."""
         full = os.path.join(self.root, _checked(path))
@@ -148,6 +204,10 @@ class Store:
         found = self.fs.get_file_info(self._full(_checked(path)))
         return found.size if found.type == pafs.FileType.File else None
 
+    def stat(self, path: str) -> tuple[int, int | None]:
+        x = self.fs.get_file_info(self._full(_checked(path)))
+        return x.size or 0, x.mtime_ns // 10**9 * 1000 if x.mtime_ns is not None else None
+
     def write(self, path: str, source: IO[bytes], modified: int | None = None) -> None:
         full = self._full(_checked(path))
         if not isinstance(self.fs, pafs.S3FileSystem):

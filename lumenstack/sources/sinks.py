@@ -57,21 +57,23 @@ def _each(rows: DataFrame, schema: str, one: Callable[[dict], tuple]) -> DataFra
                 try:
                     out.append(one(row))
                 except Exception as e:  # reported, and the rest goes on
-                    out.append((row[names[0]], f"error: {type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=names)
+                    out.append((row[names[0]], f"error: {type(e).__name__}: {e}"[:200], *[None] * (len(names) - 2)))
+            yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names[2:]})
 
     return rows.mapInPandas(run, schema)
 
 
 def copy_media(plan: DataFrame, uri: str, root: str, dry_run: bool = False) -> DataFrame:
-    """STATUS of plan (path, output_path, modified): bytes of a source, copied with their time where the output keeps one."""
+    """STATUS, and size and time as a listing shows them, of plan (path, output_path, modified): bytes of a source, copied with their time where the output keeps one."""
     endpoint = endpoint_of(plan.sparkSession)
 
     def one(row: dict) -> tuple:
         with open_entry(uri, row["path"], endpoint) as f:
-            return row["output_path"], put(open_output(root, endpoint), row["output_path"], f, dry_run, row["modified"] and int(row["modified"]))
+            place = open_output(root, endpoint)
+            status = put(place, row["output_path"], f, dry_run, row["modified"] and int(row["modified"]))
+            return row["output_path"], status, *((None, None) if dry_run else place.stat(row["output_path"]))
 
-    return _each(plan.select("output_path", "path", "modified").repartition(F.col("output_path")), STATUS, one)
+    return _each(plan.select("output_path", "path", "modified").repartition(F.col("output_path")), f"{STATUS}, file_size long, modified long", one)
 
 
 def _existing(place: Folder | Store, path: str) -> str | None:

@@ -101,3 +101,62 @@ def test_info(spark, export):
     assert "- Not an album" in commands.info(spark, str(export), "lists/None.csv")
     with pytest.raises(FileNotFoundError):
         commands.info(spark, str(export), "nowhere.jpg")
+
+
+def test_second_sync_reads_nothing_that_is_recorded(spark, export, tmp_path):
+    """With a ledger, files of the output whose size and time are as recorded are not opened: here they hold other bytes by then."""
+    import os
+
+    out, ledger = tmp_path / "out", f"file://{tmp_path}/ledger"
+    commands.sync(spark, str(export), str(out), "+00:00", skip_markdown=True, skip_albums=True, ledger=ledger).collect()
+    for p in (p for p in out.rglob("*") if p.is_file()):
+        s = p.stat()
+        p.write_bytes(bytes(s.st_size))
+        os.utime(p, ns=(s.st_atime_ns, s.st_mtime_ns))
+    again = commands.sync(spark, str(export), str(out), "+00:00", skip_markdown=True, skip_albums=True, ledger=ledger)
+    assert {r.status for r in again.collect()} == {"skip"}
+    for p in (p for p in out.rglob("*") if p.is_file()):
+        os.utime(p, (1, 1))
+    once_more = commands.sync(spark, str(export), str(out), "+00:00", skip_markdown=True, skip_albums=True, ledger=ledger)
+    assert {r.status for r in once_more.collect()} == {"written"}
+
+
+def _state(cat):
+    people = cat.read("media_person").join(cat.read("person"), "person_id").select("media_item_id", "name")
+    links = cat.read("album_file").join(cat.read("album"), "album_id").select("media_item_id", "title")
+    return [sorted(map(str, t.collect())) for t in (cat.read("media_item"), people, links, cat.read("classified_file").drop("run_id"), cat.read("classified_dir").drop("run_id"))]
+
+
+def test_stream_killed_and_restarted_equals_one_run(spark, export, tmp_path, monkeypatch):
+    """Four files at a time, killed at two places, a sidecar that comes after its photo, and then nothing new."""
+    import os
+
+    from lumenstack.sources.catalog import Catalog
+    from lumenstack.streaming.ingest import ingest
+
+    for i, p in enumerate(sorted(p for p in export.rglob("*") if p.is_file())):
+        os.utime(p, (10**9 + 60 * i, 10**9 + 60 * i))
+    os.utime(export / "Google Photos/Trip/one.jpg.json", (2 * 10**9, 2 * 10**9))  # the stream takes files by age
+    want = _state(commands.db(spark, str(export), f"file://{tmp_path}/whole", "+00:00"))
+    root, calls = f"file://{tmp_path}/stream", {"insert": 0, "upsert": 0}
+    for name, at in (("insert", 1), ("upsert", 5)):
+        plain = getattr(Catalog, name)
+
+        def broken(self, *args, plain=plain, name=name, at=at):
+            calls[name] += 1
+            if calls[name] == at:
+                raise OSError("killed")
+            return plain(self, *args)
+
+        monkeypatch.setattr(Catalog, name, broken)
+    failed = 0
+    for _ in range(4):
+        try:
+            cat = ingest(spark, str(export), root, "+00:00", files_per_batch=4)
+            break
+        except Exception as e:
+            assert "killed" in str(e)
+            failed += 1
+    assert failed == 2 and _state(cat) == want
+    version = cat.tables["media_item"].snapshot().version
+    assert _state(ingest(spark, str(export), root, "+00:00", files_per_batch=4)) == want and cat.tables["media_item"].snapshot().version == version

@@ -1,9 +1,14 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
+# For the object store that tests start: any keys will do. Python workers take them from the session's own process.
+os.environ |= {"AWS_ACCESS_KEY_ID": "key", "AWS_SECRET_ACCESS_KEY": "secret", "AWS_EC2_METADATA_DISABLED": "true", "AWS_DEFAULT_REGION": "us-east-1"}
+
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="session")

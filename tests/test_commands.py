@@ -136,8 +136,10 @@ def test_stream_killed_and_restarted_equals_one_run(spark, export, tmp_path, mon
 
     for i, p in enumerate(sorted(p for p in export.rglob("*") if p.is_file())):
         os.utime(p, (10**9 + 60 * i, 10**9 + 60 * i))
-    os.utime(export / "Google Photos/Trip/one.jpg.json", (2 * 10**9, 2 * 10**9))  # the stream takes files by age
+    late = (export / "Google Photos/Trip/one.jpg.json").rename(export / "Google Photos/Trip/one.jpg.supplemental-metadata.json")
+    os.utime(late, (15 * 10**8, 15 * 10**8))  # the stream takes files by age
     want = _state(commands.db(spark, str(export), f"file://{tmp_path}/whole", "+00:00"))
+    assert len(want[1]) == 2 and "latitude=1.5" in str(want[0])
     root, calls = f"file://{tmp_path}/stream", {"insert": 0, "upsert": 0}
     for name, at in (("insert", 1), ("upsert", 5)):
         plain = getattr(Catalog, name)

@@ -28,13 +28,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "n_chars")
 
 
-_items: dict[tuple[str, str], DataFrame] = {}
+_items: dict[tuple, DataFrame] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables that media_item comes from were written last."""
+    context = spark.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in ("documents", "events")]
+    return tuple(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in paths)
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_item rows (the columns that reports and operators use), one a document: a table of the catalog, which is
-    written when a session first asks for it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    written when a session first asks for it, and anew when its tables have changed."""
+    key = spark.sparkContext.applicationId, sf_dir, _written(spark, sf_dir)
     if key not in _items:
         _items[key] = staged(_media_rows(spark, sf_dir), "media_item")
     return _items[key]

@@ -1,8 +1,8 @@
 """Listings of sources: directories, object stores and zip files, as a data source whose partitions are key ranges.
 
 Planning walks directories until it knows WIDE of them, keeping their names and, of each, where to cut its files into pieces: a flat directory of any size
-is listed by many tasks. Tasks look at the files, and list whatever lies below the directories that planning did not reach. The driver holds no
-rows. An object store's prefix and a zip file's index come in one piece, which one task reads and passes on.
+is listed by many tasks, and so is a zip file's index. Tasks look at the files, and list whatever lies below the directories that planning did not reach. The
+driver holds no rows. An object store's prefix comes in one piece, which one task reads and passes on.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.media_types import quick_file_type
-from .places import Folder, S3Uri, kind_of, open_input, safe_name, walk, zip_times
+from .places import Folder, S3Uri, Zip, kind_of, open_input, safe_name, walk, zip_times
 
 __all__ = ["S3Uri", "endpoint_of", "kind_of", "listing", "open_entry", "safe_name", "zip_times"]
 
@@ -37,12 +37,12 @@ def endpoint_of(spark: SparkSession) -> str | None:
 
 @dataclass
 class Piece(InputPartition):
-    """Files of one directory from low to before high, or, if deep, of all directories below it as well."""
+    """Files of one directory from low to before high, or, if deep, of all directories below it as well; of a zip file, a part of its index."""
 
     number: int
     folder: str
-    low: str | None = None
-    high: str | None = None
+    low: str | int | None = None
+    high: str | int | None = None
     deep: bool = False
 
 
@@ -52,6 +52,8 @@ class ListingReader(DataSourceReader):
 
     def partitions(self) -> list[Piece]:
         place = open_input(self.uri, self.endpoint)
+        if isinstance(place, Zip):
+            return [Piece(i, "", at, end) for i, (at, end) in enumerate(place.cuts(self.piece))]
         if not isinstance(place, Folder):
             return [Piece(0, "", deep=True)]
         found, todo = [], deque([""])
@@ -67,6 +69,8 @@ class ListingReader(DataSourceReader):
         place = open_input(self.uri, self.endpoint)
         if partition.deep:
             rows = walk(place, partition.folder)
+        elif isinstance(place, Zip):
+            rows = place.between(partition.low, partition.high)
         else:
             rows = place.between(partition.folder, partition.low, partition.high)
         names = [c.split(" ")[0] for c in LISTING.split(", ")]

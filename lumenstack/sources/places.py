@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from random import Random
 from typing import IO
 from urllib.parse import urlsplit
@@ -220,14 +221,64 @@ class Store:
 
 
 class Zip:
-    """A zip file, indexed once a process: directories and names that lead out of it are left out."""
+    """A zip file. Its index is a run of records of unlike lengths at its end: planning steps over them to find where to cut it, and tasks read their own parts.
+    Directories and names that lead out of it are left out. Entries are opened through an index that a process makes once, when it first opens one."""
 
     def __init__(self, path: str):
-        self.zip = zipfile.ZipFile(path)
+        self.path = path
+
+    @cached_property
+    def zip(self) -> zipfile.ZipFile:
+        return zipfile.ZipFile(self.path)
+
+    def _index(self, f: IO[bytes]) -> tuple[int, int]:
+        """Where the index begins and ends. The end record is the last thing in the file but for a comment of up to 64 KB; large files have a wider one before it."""
+        size = f.seek(0, os.SEEK_END)
+        f.seek(max(0, size - 22 - 0xFFFF))
+        base, tail = f.tell(), f.read()
+        at = tail.rfind(b"PK\5\6")
+        if at < 0 or at + 22 > len(tail):
+            raise zipfile.BadZipFile(self.path)
+        (length,), end = struct.unpack("<I", tail[at + 12 : at + 16]), base + at
+        if tail[max(at - 20, 0) : at].startswith(b"PK\6\7"):
+            f.seek(end - 20 - 56)
+            wide = f.read(56)
+            if wide.startswith(b"PK\6\6"):
+                (length,), end = struct.unpack("<Q", wide[40:48]), end - 76
+        return end - length, end  # not where the record says: bytes may stand before the first entry
+
+    def _records(self, f: IO[bytes], at: int, end: int) -> Iterator[tuple[int, bytes]]:
+        """(place, record) of the index from one record on, read in blocks."""
+        f.seek(at)
+        held, taken = b"", 0
+        while at < end:
+            while len(held) - taken < 46 + (sum(struct.unpack("<HHH", held[taken + 28 : taken + 34])) if len(held) - taken >= 46 else 0):
+                more = f.read(BLOCK)
+                if not more:
+                    raise zipfile.BadZipFile(self.path)
+                held, taken = held[taken:] + more, 0
+            length = 46 + sum(struct.unpack("<HHH", held[taken + 28 : taken + 34]))
+            yield at, held[taken : taken + length]
+            at, taken = at + length, taken + length
+
+    def cuts(self, most: int) -> list[tuple[int, int]]:
+        """(first byte, end) of parts of the index with `most` records each, but for the last."""
+        with open(self.path, "rb") as f:
+            at, end = self._index(f)
+            starts = [place for i, (place, _) in enumerate(self._records(f, at, end)) if i % most == 0]
+        return list(zip(starts, [*starts, end][1:], strict=True)) or [(end, end)]
+
+    def between(self, at: int, end: int) -> Iterator[Entry]:
+        with open(self.path, "rb") as f:
+            for _, r in self._records(f, at, end):
+                flags, (size,), (n, extra) = r[9], struct.unpack("<I", r[24:28]), struct.unpack("<HH", r[28:32])
+                name, more = r[46 : 46 + n].decode("utf-8" if flags & 8 else "cp437").split("\0")[0], r[46 + n : 46 + n + extra]
+                if name and not name.endswith("/") and safe_name(name):
+                    yield name, _wide_size(more) if size == 0xFFFFFFFF else size, *zip_times(more)
 
     def children(self, folder: str) -> tuple[list[Entry], list[str]]:
         """All entries, in their order."""
-        return [(i.filename, i.file_size, *zip_times(i.extra)) for i in self.zip.infolist() if not i.is_dir() and safe_name(i.filename)], []
+        return [x for part in self.cuts(1 << 30) for x in self.between(*part)], []
 
     def open(self, path: str) -> IO[bytes]:
         out = tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
@@ -237,6 +288,17 @@ class Zip:
         return out
 
 
+def _wide_size(extra: bytes) -> int:
+    """The size of an entry of 4 GB or more."""
+    at = 0
+    while at + 4 <= len(extra):
+        tag, size = struct.unpack("<HH", extra[at : at + 4])
+        if tag == 1 and size >= 8:
+            return int.from_bytes(extra[at + 4 : at + 12], "little")
+        at += 4 + size
+    return 0xFFFFFFFF
+
+
 def zip_times(extra: bytes) -> tuple[int | None, int | None]:
     """(modified, created) in ms from the extended timestamp field; the DOS time has no zone and is not used."""
     at = 0

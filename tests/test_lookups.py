@@ -125,3 +125,33 @@ def test_flat_folder_is_listed_in_pieces(spark, tmp_path):
     assert top == sorted(top)
     (tmp_path / "empty").mkdir()
     assert files.listing(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_zip_index_is_read_in_parts(spark, tmp_path):
+    """Names and sizes as zipfile has them: folders, odd names, a comment, entries of the wide kind, and bytes before the first entry."""
+    import zipfile
+
+    from lumenstack.sources import files
+
+    path = tmp_path / "in.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(2500):
+            z.writestr(f"d{i % 7}/\u00e9 {i}.jpg" if i % 2 else f"plain{i}.mov", b"x" * (i % 50))
+        for bad in ("../out.jpg", "/abs.jpg", "dir/"):
+            z.writestr(bad, b"")
+        with z.open("wide.bin", "w", force_zip64=True) as f:
+            f.write(b"12345")
+        z.comment = b"a comment of the whole " * 9
+    plain = path.read_bytes()
+    (tmp_path / "late.zip").write_bytes(b"#!/bin/sh\n" * 9 + plain)
+    for name in ("in.zip", "late.zip"):
+        with zipfile.ZipFile(tmp_path / name) as z:
+            want = [(i.filename, i.file_size) for i in z.infolist() if i.filename not in ("../out.jpg", "/abs.jpg", "dir/")]
+        assert len(files.ListingReader(str(tmp_path / name), None, 300).partitions()) == 9
+        rows = sorted(files.listing(spark, str(tmp_path / name), piece=300).collect(), key=lambda r: r.scan_ordinal)
+        assert [(r.path, r.file_size) for r in rows] == want
+        with files.open_entry(str(tmp_path / name), "wide.bin") as f:
+            assert f.read() == b"12345"
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    assert files.listing(spark, str(tmp_path / "none.zip")).count() == 0

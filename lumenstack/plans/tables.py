@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import io
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.sidecar import JSON, STEM_CHARS, TAG
 from ..operators import albums, balance, dedup
 from ..sources import files, places
+from ..sources.catalog import Catalog
 from ..sources.layers import LayeredTable
 from ..sources.ledger import Ledger
 from .carriers import MEDIA_SQL, media, table
@@ -173,3 +176,48 @@ def archive_stream(spark, sf_dir):
     titles = cat.read("album_file").join(cat.read("album"), "album_id").select("media_item_id", F.col("title").alias("album"))
     rows = cat.read("media_item").join(people, "media_item_id", "left").join(titles, "media_item_id", "left")
     return rows.select("media_path", "latitude", "person", "album")
+
+
+@_register("zip_entries", "SELECT lang || '/doc_' || doc_id || '.txt' AS path, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS file_size, sha256(COALESCE(text, '')) AS hash FROM documents")
+def zip_entries(spark, sf_dir):
+    """All documents as entries of one zip file, whose index is listed in parts and whose entries are read by tasks."""
+    root = _plain(_folder(spark))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places.open_output(root).prepare()
+        with zipfile.ZipFile(f"{root}/all.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            for frame in frames:
+                for name, text in frame.itertuples(index=False):
+                    z.writestr(name, text or "")
+        yield pd.DataFrame({"done": [1]})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                with files.open_entry(f"{root}/all.zip", path) as f:
+                    out.append((path, sha256(f.read()).hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "hash"])
+
+    named = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    named.coalesce(1).mapInPandas(write, "done int").collect()  # one file is one task's work
+    listed = files.listing(spark, f"{root}/all.zip", piece=200).select("path", "file_size")
+    return listed.join(listed.select("path").repartition(F.col("path")).mapInPandas(read, "path string, hash string"), "path")
+
+
+@_register("catalog_inputs", "SELECT c_mktsegment || '/' || c_custkey AS dir_path, 'in' || c_custkey % 3 AS run_input, CASE WHEN c_custkey % 3 = 1 THEN 'again' ELSE 'once' END AS known FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 2 = 0 UNION ALL SELECT 'shared', 'in' || i, CASE WHEN i = 1 THEN 'again' ELSE 'once' END FROM range(3) t(i)")
+def catalog_inputs(spark, sf_dir):
+    """Three inputs in one catalog, one of them scanned twice, the second time with fewer folders: its rows alone are replaced."""
+    cat = Catalog(spark, _folder(spark))
+    k = F.col("c_custkey")
+    dirs = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("/"), k.cast("string")).alias("path"))
+
+    def scan(i: int, known: str, rows) -> None:
+        run = cat.run(f"in{i}")
+        rows = rows.select("path").union(spark.createDataFrame([("shared",)], "path string"))
+        cat.refresh("classified_dir", rows.select(F.xxhash64(F.lit(run), "path").alias("classified_dir_id"), F.lit(run).cast("long").alias("run_id"), F.col("path").alias("dir_path"), F.lit(known).alias("known_dir_type"), F.lit(None).cast("string").alias("known_dir_value")), run)
+
+    for i in range(3):
+        scan(i, "once", dirs.where(k % 3 == i))
+    scan(1, "again", dirs.where((k % 3 == 1) & (k % 2 == 0)))
+    return cat.read("classified_dir").join(cat.read("run"), "run_id").select("dir_path", "run_input", F.col("known_dir_type").alias("known"))

@@ -347,9 +347,9 @@ class Enrichment:
 
     def _ticks(self, passed: list[int], late_below: list[int], shards: int, parts: int) -> None:
         """Each shard's call of each batch, with H, the H before, and the watermark of changes."""
-        rows = self.spark.range(len(passed)).select(F.col("id").cast("int").alias("batch"))
+        n = shards + parts
         pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("batch") + 1)
-        rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards + parts - 1)))).coalesce(1)
+        rows = self.spark.range(0, n, 1, -(-n // 100_000)).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(len(passed) - 1))).alias("batch"))
         ticks = self._event(rows, F.lit("tick"), F.col("s"), at=pick(passed), id=pick([BEFORE, *passed[:-1]]), first=pick([*late_below, BEFORE]), n=F.col("batch"))
         ticks.write.partitionBy("batch").mode("append").parquet(f"{self.work.root}/all")
 

@@ -138,10 +138,11 @@ def db(spark: SparkSession, uri: str, root: str, timezone: str | None = None, cl
     return cat
 
 
-def _before(media: DataFrame, there: DataFrame, root: str, manifest: DataFrame | None, ledger: Ledger | None, name: str) -> DataFrame:
+def _before(media: DataFrame, root: str, manifest: DataFrame | None, ledger: Ledger | None, name: str) -> DataFrame:
     """(path, existing_hash, file_size, modified, read) of what is there under the names that media may take. Only files of an item's own size are
     hashed, and of those only such as neither the manifest nor the ledger knows."""
-    files = staged(dedup.candidates_there(media, there), f"{name}-candidates")
+    tried = dedup.candidate_paths(media).select(F.col("try").alias("path")).distinct()
+    files = staged(dedup.candidates_there(media, sinks.stats(tried, root)), f"{name}-candidates")
     wanted = files.where("to_read")
     known = [x.select("path", "file_size", "modified", "hash") for x in (manifest, ledger.known(wanted) if ledger else None) if x is not None]
     known = reduce(DataFrame.unionByName, known).groupBy("path", "file_size", "modified").agg(F.min("hash").alias("hash")) if known else None
@@ -182,18 +183,17 @@ def sync(spark: SparkSession, uri: str, root: str, timezone: str | None = None,
     media = media.withColumn("want", desired_media_path(F.col("guessed"), F.col("short_hash")))
     listed, members = (None, None) if skip_albums else albums(staged(read_albums(scan, uri), "albums"), scan)
     output.prepare()
-    there = staged(listing(spark, root), "there")
     pairs = dedup.live_photo_pairs(media)
     videos = pairs.select(F.col("video_hash").alias("long_hash"))
     stills = media.join(videos, "long_hash", "left_anti")
-    before = _before(stills, there, root, manifest, book, "before")
+    before = _before(stills, root, manifest, book, "before")
     first = _placed(stills, uri, root, before, dry_run, "first")
     clips = media.join(videos, "long_hash", "left_semi")
     attached = dedup.sidecar_videos(pairs, first, clips).select(*media.columns)
     loose = clips.join(attached.select("long_hash"), "long_hash", "left_anti")
     clips = staged(attached.unionByName(loose), "clips")
     made = first.where("output_path is not null").select(F.col("output_path").alias("path"), F.col("long_hash").alias("existing_hash"))
-    found = _before(clips, there, root, manifest, book, "before-clips")
+    found = _before(clips, root, manifest, book, "before-clips")
     after = found.select("path", "existing_hash").join(made, "path", "left_anti").unionByName(made)
     second = _placed(clips, uri, root, after.groupBy("path").agg(F.max("existing_hash").alias("existing_hash")), dry_run, "second")
     placed = first.unionByName(second)

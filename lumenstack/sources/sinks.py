@@ -122,6 +122,19 @@ def write_album_notes(albums: DataFrame, root: str, dry_run: bool = False) -> Da
     return _each(dealt.select("note_path", "title", "targets"), STATUS.replace("output_path", "note_path"), one)
 
 
+def stats(paths: DataFrame, root: str) -> DataFrame:
+    """(path, file_size, modified), as in a listing, of those of paths (path) that an output has: it is asked for these alone, however much it holds."""
+    endpoint = endpoint_of(paths.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = open_output(root, endpoint)
+        for frame in frames:
+            found = [(path, *place.stat(path)) for path in frame["path"] if place.size(path) is not None]
+            yield pd.DataFrame(found, columns=["path", "file_size", "modified"]).astype({"modified": "Int64"})
+
+    return paths.select("path").mapInPandas(run, "path string, file_size long, modified long")
+
+
 def hashes(paths: DataFrame, root: str, manifest: DataFrame | None = None) -> DataFrame:
     """(path, existing_hash) of files of an output (path, file_size, modified); null where one cannot be read.
 

@@ -53,10 +53,12 @@ def candidate_paths(media: DataFrame) -> DataFrame:
 
 def candidates_there(media: DataFrame, there: DataFrame) -> DataFrame:
     """(path, file_size, modified, to_read) of the files of an output (path, file_size, modified) that any item of media (want, ext, short_hash,
-    long_hash, file_size) may be named like. Only where the sizes agree can the bytes: to_read marks those; no others need to be read."""
+    long_hash, file_size) may be named like. Only where the sizes agree can the bytes: to_read marks those; no others need to be read. A path that there has
+    more than once comes once, with its largest size, and is read if any of its sizes agrees."""
     tried = candidate_paths(media.select("want", "ext", "short_hash", "long_hash", F.col("file_size").alias("own_size"))).select(F.col("try").alias("path"), "own_size")
     agrees = F.max((F.col("own_size") == F.col("file_size")).cast("int")) == 1
-    return there.select("path", "file_size", "modified").join(tried, "path").groupBy("path", "file_size", "modified").agg(F.coalesce(agrees, F.lit(True)).alias("to_read"))
+    found = there.select("path", "file_size", "modified").join(tried, "path").groupBy("path").agg(F.max(F.struct("file_size", "modified")).alias("x"), F.coalesce(agrees, F.lit(True)).alias("to_read"))
+    return found.select("path", "x.file_size", "x.modified", "to_read")
 
 
 def _step(rows: DataFrame, existing: DataFrame, suffix: Column, *by: str) -> DataFrame:

@@ -1,12 +1,18 @@
 """Look-ups that grow with what they find: sidecars by what they describe, existing output by candidates, recorded checksums."""
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from lumenstack.functions.sidecar import RENDITIONS, TAG, described_names, sidecar_candidates
 from lumenstack.operators import albums
 
+from .conftest import canonical
+
+#: Texts whose SHA-256 begin with the same seven digits.
+SHARING = ("text 20961", "text 103400")
+
 
 def _names(rnd):
     """Media names around the limit, with counters, renditions and dots, and sidecars that fit some of them at any cut."""
@@ -60,6 +66,36 @@ def test_only_candidates_of_one_size_are_read(spark):
     assert got == {"l1": ("a/x-l1.jpg", "write"), "l2": ("a/x.jpg", "skip"), "l3": ("b/y-s3.png", "write")}
 
 
+def _sharing_a_short_hash(spark, folder):
+    """Documents of which two share a short hash and a want, with sizes one apart, as they do in large collections; and DuckDB over them."""
+    import duckdb
+
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(SHARING + ("a", "b", "longer than all others"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, datetime(2020, 1, 1))], "event_id long, ts timestamp_ntz").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    return con
+
+
+def _as_sql(spark, folder, con, name):
+    from lumenstack.plans.tables import TABLES
+
+    query, sql = TABLES[name]
+    got = query(spark, str(folder))
+    want = con.execute(sql)
+    columns = [c[0] for c in want.description]
+    assert canonical(got.collect(), got.columns) == canonical(want.fetchall(), columns)
+    return got
+
+
+def test_a_path_listed_twice_comes_once(spark, tmp_path):
+    """existing_reads: files of two items that want one name, of sizes that one of them has."""
+    found = _as_sql(spark, tmp_path, _sharing_a_short_hash(spark, tmp_path), "existing_reads")
+    assert found.where("path = 'src1-000ef46.txt' and to_read").count() == 1
+
+
 def test_ledger(spark, tmp_path):
     from lumenstack.sources.ledger import Ledger
 

@@ -96,6 +96,12 @@ def test_a_path_listed_twice_comes_once(spark, tmp_path):
     assert found.where("path = 'src1-000ef46.txt' and to_read").count() == 1
 
 
+def test_items_that_share_a_short_hash_are_named_once(spark, tmp_path):
+    """existing_names: both pass over the file that has their short name, and each comes once."""
+    found = _as_sql(spark, tmp_path, _sharing_a_short_hash(spark, tmp_path), "existing_names")
+    assert found.count() == 5 == found.select("output_path").distinct().count()
+
+
 def test_ledger(spark, tmp_path):
     from lumenstack.sources.ledger import Ledger
 

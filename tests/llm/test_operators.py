@@ -299,6 +299,44 @@ def test_verdict_against_brute_force(spark):
     assert rejected
 
 
+def test_bytes_are_told_apart_and_looked_up_in_sorted_arrays():
+    """Folding made one symbol of bytes 32 apart; the model of whole bytes is a distribution, and a search finds what a table of all trigrams holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenstack.llm.words import flat
+
+    texts = pa.array(["слово за словом", "ббббб", "bbbbb \x1f\x00", None, "é", "€uro"])
+    code, first = quality_rules._codes(*flat(texts), fold=False)
+    raw = [(t or "").encode() for t in texts.to_pylist()]
+    assert list(np.diff(first)) == [max(0, len(r) - 2) for r in raw]
+    assert code.tolist() == [r[i] << 16 | r[i + 1] << 8 | r[i + 2] for r in raw for i in range(len(r) - 2)]
+    keys, counts = np.unique(code, return_counts=True)
+    model = quality_rules.Perplexity(keys, counts, 256)
+    table = (model.back_off.reshape(256, 256)[:, :, None] + model.pair[None, :, :]).reshape(-1)
+    table[model.keys] = model.value
+    asked = np.random.default_rng(3).integers(0, 256**3, 10_000).astype(np.int32)
+    for x in (asked, code, keys):
+        assert np.array_equal(model.score(x), table[x])
+    assert np.allclose(np.exp(table.astype(float)).reshape(-1, 256).sum(axis=1), 1, atol=1e-3)
+    none = quality_rules.Perplexity(keys[:0], counts[:0], 256)
+    assert np.allclose(none.score(code), -np.log(256))
+
+
+def test_junk_of_another_script_is_seen_without_folding(spark):
+    """Cyrillic texts, and one whose letters are moved to others that fold to the same symbols: only whole bytes show it."""
+    import random
+
+    rnd = random.Random(11)
+    stock = "день ночь вода земля город река дорога книга время человек место рука слово дело жизнь дом".split()
+    texts = [" ".join(rnd.choice(stock) for _ in range(120)) for _ in range(60)]
+    odd = texts[0].translate({c: c - 0x20 if c >= 0x430 and c < 0x440 else c for c in range(0x430, 0x450)})  # second byte 32 less
+    df = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([*texts, odd])], "doc_id long, text string, lang string")
+    kept = lambda fold: {r.doc_id: r.kept for r in quality_rules.judge(df, fold=fold).collect() if not r.base_failed}
+    folded, whole = kept(True), kept(False)
+    assert folded[60] and not whole[60] and all(whole[i] for i in range(60))
+
+
 def test_perplexity_bands_reject_junk_on_either_side(spark):
     """Planted junk that passes the base rules goes, labelled junk goes, labelled good documents stay."""
     import random

@@ -27,6 +27,19 @@ def test_stages(spark):
     assert {r.doc_id for r in rows[5]} <= {i for i, _ in texts[4]} and all(r.taken > 0 for r in rows[5])
 
 
+def test_quality_tells_scripts_apart(spark):
+    """A text whose letters are moved to others that fold to the same symbols goes; those of real words stay."""
+    import random
+
+    rnd = random.Random(11)
+    stock = "день ночь вода земля город река дорога книга время человек место рука слово дело жизнь дом".split()
+    texts = [" ".join(rnd.choice(stock) for _ in range(120)) for _ in range(60)]
+    odd = texts[0].translate({c: c - 0x20 for c in range(0x430, 0x440)})
+    rows = [(i, t, "ru", "src1") for i, t in enumerate([*texts, odd])]
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), SMALL)
+    assert {r.doc_id for r in kept.collect()} == set(range(60))
+
+
 def test_stages_on_hostile_rows(spark):
     """Null and repeated ids, empty and long texts, columns with the stages' own names: each row is judged by its own text."""
     from pyspark.sql import functions as F

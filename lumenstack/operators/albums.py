@@ -78,13 +78,17 @@ def sidecar_join(media: DataFrame, scan: DataFrame) -> DataFrame:
     First, in the order of what may be described, the name cut at the limit; then, where the limit matters, the longest cut within the tag. All cuts
     of one described name are prefixes of one another, so they are not listed: sidecars are read backwards, and both sides meet on what is
     described. A media file takes part with two rows for each name that it may go by, whatever its length, a sidecar with at most four.
+    Rows are dealt out by path before they are multiplied, and the joins are merges: names take far more room than the compressed files that they
+    come from, by whose size a plan would put all of them into one task or broadcast them.
     """
+    media, scan = media.repartition(F.col("path")), scan.repartition(F.col("path"))
     named = media.select("path", dir_part(F.col("path")).alias("dir"), F.posexplode(described_names(name_part(F.col("path")))).alias("nth", "k")).select("path", "dir", "nth", F.col("k")[0].alias("described"), F.col("k")[1].alias("counter"))
     full = F.concat("described", F.lit(TAG))
     cut = named.select("path", "dir", "counter", F.substring(full, 1, STEM_CHARS).alias("stem"), F.struct(F.lit(0).alias("late"), "nth", F.lit(0).alias("short")).alias("rank"))
     read = _readings(scan)
-    at_limit = cut.join(read.select("dir", "counter", "stem", "sidecar").distinct(), ["dir", "counter", "stem"])
-    long = named.where(F.length(full) > STEM_CHARS).join(read.select("dir", "counter", "described", "cut", "sidecar"), ["dir", "counter", "described"])
+    stems = read.where("cut = 0").select("dir", "counter", "stem", "sidecar")  # each stem is read as a bare name once
+    at_limit = cut.join(stems.hint("merge"), ["dir", "counter", "stem"])
+    long = named.where(F.length(full) > STEM_CHARS).join(read.select("dir", "counter", "described", "cut", "sidecar").hint("merge"), ["dir", "counter", "described"])
     within = long.select("path", "sidecar", F.struct(F.lit(1).alias("late"), "nth", (-F.col("cut")).alias("short")).alias("rank"))
     return at_limit.select("path", "sidecar", "rank").unionByName(within).groupBy("path").agg(F.min_by("sidecar", "rank").alias("sidecar"))
 

@@ -44,6 +44,17 @@ def test_sidecars_by_what_they_describe(spark):
     assert {r.path: r.sidecar for r in got} == want and len(got) == len(want) > 200
 
 
+def test_sidecars_of_one_file_are_met_by_many_tasks(spark):
+    """sidecar_prefixes: a small file may hold many names, so its size must not decide that one task, or a broadcast, takes all of them."""
+    n = spark.range(0, 4000, 1, 1)
+    media, cars = n.select(F.concat(F.lit("d/"), "id", F.lit(".jpg")).alias("path")), n.select(F.concat(F.lit("d/"), "id", F.lit(f".jpg{TAG}.json")).alias("path"))
+    found = albums.sidecar_join(media, media.union(cars).coalesce(1))
+    assert found.count() == 4000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+    assert plan.count("REPARTITION_BY_COL") >= 2, plan
+
+
 def test_rows_of_a_name_do_not_grow_with_it(spark):
     """507 and 921 candidates were listed for names of 54 and 221 characters."""
     for n in (54, 221, 2000):

@@ -180,6 +180,17 @@ def test_flat_folder_is_listed_in_pieces(spark, tmp_path):
     assert files.listing(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_pieces_of_a_flat_folder_are_bounded(spark, tmp_path):
+    """listing_flat: each piece passes by all names, so there were as many passes as pieces, and time grew with the square of the files."""
+    from lumenstack.sources import files, places
+
+    for i in range(2000):
+        (tmp_path / f"{i}.jpg").write_bytes(b"x" * (i % 5))
+    assert 32 <= len(files.ListingReader(str(tmp_path), None, 5).partitions()) <= places.PIECES
+    rows = files.listing(spark, str(tmp_path), piece=5).collect()
+    assert sorted((r.path, r.file_size) for r in rows) == sorted((f"{i}.jpg", i % 5) for i in range(2000))
+
+
 def test_zip_index_is_read_in_parts(spark, tmp_path):
     """Names and sizes as zipfile has them: folders, odd names, a comment, entries of the wide kind, and bytes before the first entry."""
     import zipfile

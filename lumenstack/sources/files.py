@@ -26,7 +26,7 @@ __all__ = ["S3Uri", "endpoint_of", "kind_of", "listing", "open_entry", "safe_nam
 LISTING = "path string, file_size long, modified long, created long, scan_ordinal long"
 #: Directories that planning looks for, rows in one Arrow batch, and files in a piece of a directory.
 WIDE, ROWS, PIECE = 256, 10_000, 20_000
-#: Numbers of a piece's rows begin at multiples of this.
+#: Numbers of a piece's rows begin at multiples of this; rows of a zip file are numbered by the place of their record in its index.
 STRIDE = 1 << 40
 
 
@@ -67,21 +67,19 @@ class ListingReader(DataSourceReader):
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         place = open_input(self.uri, self.endpoint)
-        if partition.deep:
-            rows = walk(place, partition.folder)
-        elif isinstance(place, Zip):
-            rows = place.between(partition.low, partition.high)
+        if isinstance(place, Zip):
+            rows = place.placed(partition.low, partition.high)
         else:
-            rows = place.between(partition.folder, partition.low, partition.high)
+            rows = enumerate(walk(place, partition.folder) if partition.deep else place.between(partition.folder, partition.low, partition.high), partition.number * STRIDE)
         names = [c.split(" ")[0] for c in LISTING.split(", ")]
         kinds = [pa.string(), *[pa.int64()] * 4]
         part: list[tuple] = []
-        for i, row in chain(enumerate(rows), [(0, None)]):
+        for i, row in chain(rows, [(0, None)]):
             if part and (row is None or len(part) == ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
                 part = []
             if row is not None:
-                part.append((*row, partition.number * STRIDE + i))
+                part.append((*row, i))
 
 
 class Listing(DataSource):
@@ -108,6 +106,7 @@ def listing(spark: SparkSession, uri: str, piece: int = PIECE) -> DataFrame:
     return found.withColumn("quick_file_type", quick_file_type(F.col("path")))
 
 
-def open_entry(uri: str, path: str, endpoint: str | None = None) -> IO[bytes]:
-    """A seekable stream of one file of a source."""
-    return open_input(uri, endpoint).open(path)
+def open_entry(uri: str, path: str, endpoint: str | None = None, ordinal: int | None = None) -> IO[bytes]:
+    """A seekable stream of one file of a source. ordinal: its scan_ordinal, by which an entry of a zip file is found without the rest of the index."""
+    place = open_input(uri, endpoint)
+    return place.open(path, ordinal) if isinstance(place, Zip) else place.open(path)

@@ -7,6 +7,10 @@ run again leaves no half file.
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO
 from typing import IO
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.notes import album_markdown, merged_note
 from .files import endpoint_of, open_entry
-from .places import Folder, Store, open_output
+from .places import Folder, Store, Zip, open_output, zip_end, zip_moved
 
 STATUS = "output_path string, status string"
 BLOCK = 1 << 20
@@ -159,3 +163,51 @@ def hashes(paths: DataFrame, root: str, manifest: DataFrame | None = None) -> Da
 
     read = known.where("hash is null").select("path").repartition(F.col("path")).mapInPandas(run, "path string, existing_hash string")
     return read.unionByName(known.where("hash is not null").select("path", F.col("hash").alias("existing_hash")))
+
+
+def write_zip(rows: DataFrame, path: str, level: int = 1) -> None:
+    """rows (name, text) as entries of one zip file, in a folder that all executors see: tasks write zip files of their own rows, then each copies its
+    entries and its part of the index to their places. The driver holds a row a part."""
+    held = f"{path}.{uuid.uuid4().hex}.parts"
+    os.makedirs(held, exist_ok=True)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = f"{held}/{uuid.uuid4().hex}"  # a task that is run again has another one
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED, compresslevel=level) as z:
+            for frame in frames:
+                for name, text in frame.itertuples(index=False):
+                    z.writestr(name, text or "")
+        with open(part, "rb") as f:
+            at, end, _ = Zip(part)._index(f)
+            sizes = [(len(r), len(zip_moved(r, 0, True))) for _, r in Zip(part)._records(f, at, end)]
+        yield pd.DataFrame([(part, at, len(sizes), sum(a for a, _ in sizes), sum(b for _, b in sizes))], columns=["part", "size", "n", "narrow", "wide"])
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, size, to, index, far in frame[["part", "size", "to", "index", "far"]].itertuples(index=False):
+                with open(part, "rb") as f, open(path, "r+b") as out:
+                    out.seek(to)
+                    left = size
+                    while left:
+                        block = f.read(min(BLOCK, left))
+                        out.write(block)
+                        left -= len(block)
+                    out.seek(index)
+                    at, end, _ = Zip(part)._index(f)
+                    out.writelines(zip_moved(r, to, far) for _, r in Zip(part)._records(f, at, end))
+            yield frame[["n"]]
+
+    spark = rows.sparkSession
+    parts = [r for r in rows.select("name", "text").mapInPandas(pack, "part string, size long, n long, narrow long, wide long").collect() if r.n]
+    plan, to, index = [], 0, sum(r.size for r in parts)
+    for r in parts:
+        far = to + r.size > 0xFFFFFFFF - 1
+        plan.append((r.part, r.size, r.n, to, index, far))
+        to, index = to + r.size, index + (r.wide if far else r.narrow)
+    with open(path, "wb") as out:
+        out.seek(index)
+        out.write(zip_end(sum(r.n for r in parts), to, index - to))
+    if plan:
+        dealt = spark.createDataFrame([(i, *x) for i, x in enumerate(plan)], "task int, part string, size long, n long, to long, index long, far boolean")
+        dealt.repartitionById(len(plan), F.col("task")).mapInPandas(place, "n long").write.format("noop").mode("overwrite").save()
+    shutil.rmtree(held, ignore_errors=True)

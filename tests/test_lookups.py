@@ -219,3 +219,50 @@ def test_zip_index_is_read_in_parts(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "none.zip", "w"):
         pass
     assert files.listing(spark, str(tmp_path / "none.zip")).count() == 0
+
+
+def test_zip_is_written_by_many_tasks(spark, tmp_path):
+    """zip_entries: one task wrote all entries. Each task now writes its own, none of them all; zipfile reads the whole as one file."""
+    import zipfile
+
+    from lumenstack.sources import files, sinks
+
+    texts = {f"d{i % 3}/\u00e9 {i}.txt": None if i == 7 else f"text {i} " * (i % 40) for i in range(3000)}
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string").repartition(7, "name")
+    path = str(tmp_path / "all.zip")
+    sinks.write_zip(rows, path)
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == {n: t or "" for n, t in texts.items()}
+    assert [x.name for x in tmp_path.iterdir()] == ["all.zip"]
+    listed = files.listing(spark, path, piece=100).collect()
+    assert len(listed) == 3000
+    for r in listed[::100]:
+        with files.open_entry(path, "", ordinal=r.scan_ordinal) as f:
+            assert f.read().decode() == (texts[r.path] or "")
+    sinks.write_zip(rows.limit(0), path)
+    assert files.listing(spark, path).count() == 0
+
+
+def test_records_beyond_4_gb(tmp_path):
+    """An index whose entries stand beyond 4 GB, in a file with a hole before them, is read by zipfile and by this package."""
+    import zipfile
+
+    from lumenstack.sources.places import Zip, zip_end, zip_moved
+
+    part, path, far = tmp_path / "part.zip", tmp_path / "far.zip", 5 << 30
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "abc" * 99)
+        with z.open("wide.bin", "w", force_zip64=True) as f:
+            f.write(b"12345")
+    with open(part, "rb") as f, open(path, "wb") as out:
+        at, end, _ = Zip(str(part))._index(f)
+        moved = b"".join(zip_moved(r, far, True) for _, r in Zip(str(part))._records(f, at, end))
+        f.seek(0)
+        out.seek(far)
+        out.write(f.read(at) + moved + zip_end(2, far + at, len(moved)))
+    with zipfile.ZipFile(path) as z:
+        assert z.read("a.txt") == b"abc" * 99 and z.read("wide.bin") == b"12345"
+    place = Zip(str(path))
+    found = [x for part in place.cuts(1) for x in place.placed(*part)]
+    assert [(e[0], e[1]) for _, e in found] == [("a.txt", 297), ("wide.bin", 5)]
+    assert [place.open("", at).read() for at, _ in found] == [b"abc" * 99, b"12345"]

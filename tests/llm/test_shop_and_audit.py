@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 import zlib
+from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,6 +80,18 @@ def test_sales_of_empty_tables(spark):
     assert enriched(spark, one, [], 1) == [("sale", 1, 1, 0, None, None, None)]
 
 
+def test_state_is_on_the_heap_and_old_files_go(spark):
+    """A store of RocksDB leaves native memory with each start and partition, also when it is closed."""
+    day = lambda b: NOW + dt.timedelta(days=b)
+    a = spark.createDataFrame([(b, b, 7, day(b)) for b in range(8)], "batch int, sale_id long, client_id long, sold_at timestamp_ntz")
+    b = spark.createDataFrame([(b, b, 7, day(b), "U", 1.0) for b in range(8)], "batch int, change_id long, client_id long, valid_at timestamp_ntz, op string, balance double")
+    run = sale_enrichment.Enrichment(spark)
+    assert run.run(a, b, 8).count() == 8
+    files = [p for p in Path(run.work.root.removeprefix("file://"), "checkpoint/state/0").glob("[0-9]*/*") if p.suffix != ".crc" and p.is_file()]
+    assert {p.suffix for p in files} == {".delta", ".snapshot"}
+    assert max(Counter(p.parent for p in files).values()) <= 8  # of nine starts, each with a delta, and a snapshot each second time
+
+
 def test_batches_of_days(spark):
     days = [(None,), (dt.datetime(2023, 1, 1),), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 14),), (dt.datetime(2030, 1, 1),)]
     df = spark.createDataFrame(days, "at timestamp_ntz").coalesce(1)
